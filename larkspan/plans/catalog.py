@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-OPERATORS: dict = {}
+from larkspan.plans import reference_queries
+
+OPERATORS: dict = {**reference_queries.OPERATORS}
 
 
 def queries() -> dict:
