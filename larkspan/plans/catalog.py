@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.plans import reference_queries
+from larkspan.plans import graph_queries, reference_queries
 
-OPERATORS: dict = {**reference_queries.OPERATORS}
+OPERATORS: dict = {**graph_queries.OPERATORS, **reference_queries.OPERATORS}
 
 
 def queries() -> dict:
