@@ -16,7 +16,10 @@ _EDGE = 1 << 16
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits, row by row."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    total = np.bitwise_count(a[:, 0] ^ b[:, 0]).astype(np.int32)
+    for i in range(1, a.shape[1]):
+        total += np.bitwise_count(a[:, i] ^ b[:, i])
+    return total
 
 
 class Forest:
@@ -34,7 +37,7 @@ class Forest:
         at = at[left]
         parent, edge, child = [], [], []
         while len(left):
-            d = hamming(prints[left], prints[at])
+            d = hamming(prints[left], prints[at]).astype(np.int64)
             same = d == 0
             self.node_of[left[same]] = at[same]
             left, at, d = left[~same], at[~same], d[~same]
@@ -52,14 +55,16 @@ class Forest:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         key = join(parent) * _EDGE + join(edge)
         order = np.argsort(key, kind="stable")
-        self.key, self.child = key[order], join(child)[order]
+        self.key, self.child = key[order], join(child)[order].astype(np.int32)
+        self.inner = np.zeros(n, bool)  # nodes with children
+        self.inner[join(parent).astype(np.int64)] = True
         order = np.argsort(self.node_of, kind="stable")
         self.members, self.member_node = order, self.node_of[order]
 
-    def within(self, tree: np.ndarray, prints: np.ndarray, radius: np.ndarray, before: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def within(self, tree: np.ndarray, prints: np.ndarray, radius: np.ndarray, before: np.ndarray, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Query number, item, distance of all items within the queries' radii whose number is smaller than before[query]."""
         for low in range(0, len(tree), block):
-            q = np.arange(low, min(low + block, len(tree)))
+            q = np.arange(low, min(low + block, len(tree)), dtype=np.int32)
             at = np.searchsorted(self.tree_labels, tree[q])
             there = at < len(self.tree_labels)
             q, at = q[there], at[there]
@@ -71,11 +76,14 @@ class Forest:
                 d = hamming(prints[q], self.prints[node])
                 hit = d <= radius[q]
                 yield from self._members(q[hit], node[hit], d[hit], before)
+                inner = self.inner[node]
+                q, node, d = q[inner], node[inner].astype(np.int64), d[inner]
                 first = np.searchsorted(self.key, node * _EDGE + np.maximum(d - radius[q], 1), "left")
                 last = np.searchsorted(self.key, node * _EDGE + np.minimum(d + radius[q], _EDGE - 1), "right")
                 many = last - first
                 total = int(many.sum())
-                to = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+                to = np.repeat((first - np.cumsum(many) + many).astype(np.int32), many)
+                to += np.arange(total, dtype=np.int32)
                 q, node = np.repeat(q, many), self.child[to]
 
     def _members(self, q: np.ndarray, node: np.ndarray, d: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -3,8 +3,9 @@
 A fingerprint bit is the parity of the shingles that hash to it, so two texts whose shingle sets differ in s shingles differ in at most s bits.
 A similarity of t over sets of sizes x and y leaves at most (1-t)/(1+t)(x+y) differing shingles: that is the search radius, and it loses nothing.
 One tree over everything would have to be visited almost whole, as unrelated texts all lie equally far apart; and no tree over everything can be
-broadcast. So the trees are shards: one for each shingle among the rarest n-ceil(tn)+1 of its texts. Texts of similarity t share such a shingle
-under any total order, so each pair meets in a tree at least once, and the trees are spread by a shuffle instead of a broadcast.
+broadcast. So the trees are shards, one for each shingle: a text of n shingles is a member of the trees of its rarest n-ceil(2tn/(1+t))+1 shingles and
+searches those of its rarest n-ceil(tn)+1 for texts that are not larger. Under any total order two texts of similarity t share a shingle that is among
+the former of the smaller and the latter of the larger, so each pair meets in a tree, and the trees are spread by a shuffle instead of a broadcast.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from larkspan.plans.lineage import store
 
 SLOTS = 1 << 20  # of the rarity sketch: 4 MB as sent to the executors, whatever the input
 PART = 4096  # slots in one row of the sketch while it is summed
-HOT = 20_000  # texts of one tree; beyond that it is split into several, each searched by the later ones
-PRINT_WORDS = 4  # fingerprint of 256 bits
+HOT = 20_000  # texts of one tree; beyond that it is split into several, each searched by all
+PRINT_WORDS = 8  # fingerprint of 512 bits: unrelated texts of up to some 400 shingles lie well beyond the radius
 
 
 def words(*columns: str) -> F.Column:
@@ -59,35 +60,80 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, member: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+def _pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, member: np.ndarray, rank: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
     """A row for each partition: its keys, and what is known of the texts that have them, column by column in one binary."""
     order = np.lexsort((doc, part))
-    part, key, doc, member = part[order], key[order], doc[order], member[order]
+    part, key, doc, member, rank = part[order], key[order], doc[order], member[order], rank[order]
     parts, first = np.unique(part, return_index=True)
     blobs = []
     for a, b in zip(first, [*first[1:], len(part)], strict=True):
         own, local = np.unique(doc[a:b], return_inverse=True)
         head = np.array([len(own), b - a], np.int64)
-        blobs.append(b"".join(x.tobytes() for x in (head, ids[own], n[own], prints[own], key[a:b], (local * 2 + member[a:b]).astype(np.uint32))))
+        blobs.append(b"".join(x.tobytes() for x in (head, ids[own], n[own], prints[own], key[a:b], (local * 2 + member[a:b]).astype(np.uint32), rank[a:b])))
     return pa.RecordBatch.from_pydict({"part": pa.array(parts.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
     docs = 0
     for blob in blobs:
         nd, nk = np.frombuffer(blob, np.int64, 2)
         at = 16
-        for slot, (kind, many) in enumerate(((np.int64, nd), (np.int64, nd), (np.uint64, nd * PRINT_WORDS), (np.uint32, nk), (np.uint32, nk))):
+        for slot, (kind, many) in enumerate(((np.int64, nd), (np.int64, nd), (np.uint64, nd * PRINT_WORDS), (np.uint32, nk), (np.uint32, nk), (np.uint8, nk))):
             x = np.frombuffer(blob, kind, int(many), at)
             at += x.nbytes
-            out[slot].append(x)
+            out[slot if slot < 5 else 6].append(x)
         last = out[4].pop()
         out[4].append((last >> np.uint32(1)).astype(np.int64) + docs)
         out[5].append((last & np.uint32(1)).astype(bool))
         docs += int(nd)
-    ids, n, prints, key, doc, member = (np.concatenate(x) for x in out)
-    return ids, n, prints.reshape(-1, PRINT_WORDS), key, doc, member
+    ids, n, prints, key, doc, member, rank = (np.concatenate(x) for x in out)
+    return ids, n, prints.reshape(-1, PRINT_WORDS), key, doc, member, rank
+
+
+_EDGES = np.unique(np.ceil(1.25 ** np.arange(0, 63)).astype(np.int64))  # fewer than 64 bands
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_EDGES, n, "right")
+
+
+def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.where(high >= low, _band(high) - _band(low) + 1, 0)
+
+
+def _meet(table: pa.Table, up: int, down: int) -> pa.Table:
+    """The pairs within each other's radius in the trees of a part, each once."""
+    ids, n, prints, key, doc, member, rank = _unpack([c.as_py() for c in table.column("blob")])
+    found = []
+    order = np.lexsort((ids[doc], n[doc], key))
+    key, doc, member, rank = key[order].astype(np.int64), doc[order], member[order], rank[order].astype(np.int64)
+    _, which = np.unique(key, return_inverse=True)
+    keep = (np.bincount(which)[which] > 1) & (np.bincount(which, member)[which] > 0)
+    key, doc, member, rank = key[keep], doc[keep], member[keep], rank[keep]
+    if len(key):
+        # A pair is sought at its first common shingle, so a text that has the key at a late rank can only be like a much smaller one.
+        x = n[doc]
+        most = (up + down) * (x - rank * x // 255) // up - x
+        tree, item = key[member], doc[member]
+        before = np.cumsum(member) - member  # members of this key that are smaller, or equal with a smaller id; and all of earlier keys
+        before = np.minimum(before, np.searchsorted(tree << 32 | n[item], key << 32 | np.maximum(most, 0), "right"))
+        # A key has a tree for each band of sizes, and a text searches the bands that hold its possible partners.
+        least = -(-x * up // down)
+        n_bands, low = _bands(least, np.minimum(most, x)), _band(least)
+        band = np.cumsum(n_bands) - n_bands
+        at = np.repeat(np.arange(len(x)), n_bands)
+        own = (key[at] << 6) | (low[at] + np.arange(len(at)) - band[at])
+        query, before, radius = doc[at], before[at], (2 * x * (down - up) // (down + up))[at]
+        forest = Forest((tree << 6) | _band(n[item]), prints[item])
+        for q, i, d in forest.within(own, prints[query], radius, before):
+            x, y = n[query[q]], n[item[i]]
+            fit = (d * (down + up) <= (down - up) * (x + y)) & (y * down >= x * up)
+            one, two = ids[query[q[fit]]], ids[item[i[fit]]]
+            found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -98,7 +144,8 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     table = _sketch(texts, k)
     noise = int(table.sum(dtype=np.int64) // SLOTS)
     known = spark.sparkContext.broadcast(table)  # SLOTS numbers
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A print goes once to each part that has a shingle of its text, so parts are fewer than partitions.
+    spread = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,41 +163,18 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
                 row, h, seen = row[order], h[order], seen[order]
                 rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
                 keep = rank < (n - (n * up + down - 1) // down + 1)[row]
-                row, h, seen = row[keep], mix(h[keep] + np.uint64(1)), seen[keep]
+                row, h, seen, rank = row[keep], mix(h[keep] + np.uint64(1)), seen[keep], rank[keep]
+                early = rank < (n - (2 * n * up + up + down - 1) // (up + down) + 1)[row]
                 blocks = 1 + np.maximum(seen - 2 * noise, 0) // HOT
                 own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % blocks
-                times = own + 1  # the own block as a member, the earlier ones as a query
-                at = np.repeat(np.arange(len(row)), times)
-                block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                at = np.repeat(np.arange(len(row)), blocks)  # a query of every block, a member of its own
+                block = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 key = np.where(blocks[at] > 1, mix(h[at] + block.astype(np.uint64)), h[at])
                 part = (key >> np.uint64(32)).astype(np.int64) % spread
-                yield _pack(part, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[at], block == own[at], ids, n, flips.reshape(-1, PRINT_WORDS))
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, n, prints, key, doc, member = _unpack([c.as_py() for c in table.column("blob")])
-        found = []
-        order = np.lexsort((ids[doc], ~member, key))
-        key, doc, member = key[order], doc[order], member[order]
-        _, which, many = np.unique(key, return_inverse=True, return_counts=True)
-        keep = many[which] > 1
-        key, doc, member = key[keep], doc[keep], member[keep]
-        if member.any() and len(key):
-            place = np.cumsum(member) - 1  # the item number of a member
-            tree, item = key[member], doc[member]
-            before = np.where(member, place, len(item))
-            radius = (n[doc] * (down - up)) // up
-            forest = Forest(tree, prints[item])
-            for q, i, d in forest.within(key, prints[doc], radius, before):
-                x, y = n[doc[q]], n[item[i]]
-                fit = (d * (down + up) <= (down - up) * (x + y)) & (np.minimum(x, y) * down >= np.maximum(x, y) * up)
-                one, two = ids[doc[q[fit]]], ids[item[i[fit]]]
-                found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                yield _pack(part, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[at], early[at] & (block == own[at]), (rank * 255 // n[row]).astype(np.uint8)[at], ids, n, flips.reshape(-1, PRINT_WORDS))
 
     routed = texts.select("id", "w").mapInArrow(route, "part int, blob binary")
-    return routed.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return routed.groupBy("part").applyInArrow(lambda table: _meet(table, up, down), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
