@@ -15,11 +15,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.bktree import Forest
-from larkspan.llm.hashing import chunks, distinct, mix, shingles
+from larkspan.llm.hashing import chunks, distinct, mix, shingles, word_form
 from larkspan.plans.lineage import store
 
 SLOTS = 1 << 20  # of the rarity sketch: 4 MB as sent to the executors, whatever the input
@@ -28,10 +29,21 @@ HOT = 20_000  # texts of one tree; beyond that it is split into several, each se
 PRINT_WORDS = 8  # fingerprint of 512 bits: unrelated texts of up to some 400 shingles lie well beyond the radius
 
 
-def words(*columns: str) -> F.Column:
-    """Maximal runs of ASCII letters and digits in lower case, joined by single blanks. Null columns count as empty."""
-    text = F.concat_ws("\n", *[F.col(c) for c in columns])
-    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
+def word_forms(rows: DataFrame, id_column: str, text_columns: list[str], least: int) -> DataFrame:
+    """(id, w) of the rows with an id and at least so many words: the words of all columns, put together by line breaks; nulls count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(1)
+            for i in range(2, batch.num_columns):
+                text = pc.binary_join_element_wise(text, batch.column(i), "\n")
+            for a, b in chunks(text):
+                w, n = word_form(text.slice(a, b - a))
+                keep = pa.array(n >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(keep), w.filter(keep)], ["id", "w"])
+
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"t{i}") for i, c in enumerate(text_columns)]
+    return rows.select(F.col(id_column).cast("long").alias("id"), *texts).filter("id IS NOT NULL").mapInArrow(run, "id long, w string")
 
 
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
@@ -211,8 +223,7 @@ def near_duplicates(rows: DataFrame, id_column: str, text_columns: list[str], k:
     table gives empty results. Only the named columns are read. Every pair of classes of the threshold's similarity is linked; none is lost.
     """
     least = max(least_words, k)
-    named = rows.select(F.col(id_column).cast("long").alias("id"), words(*text_columns).alias("w")).filter("id IS NOT NULL")
-    named = named.filter(F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) >= least - 1).filter("w <> ''")
+    named = word_forms(rows, id_column, text_columns, least)
     classes = store(named.groupBy("w").agg(F.min("id").alias("id"), F.max("id").alias("most")), "classes")
     links = verified(candidates(classes, k, threshold), classes, k, threshold)
     # Only classes of several ids need a look at the members; the rest stand for themselves.
