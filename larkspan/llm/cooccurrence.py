@@ -25,9 +25,10 @@ def fit(item_counts: np.ndarray, items: np.ndarray, sizes: np.ndarray, records:
     x = item_counts / max(1.0, np.sqrt((item_counts * items).sum()))
     y = sizes / max(1.0, np.sqrt((sizes * records).sum()))
     full, n_items, n_records = 1e12, items.sum(), records.sum()
-    for _ in range(rounds):
-        new_x = np.where(item_counts >= n_records, full, item_counts / ((records * y)[None, :] / (1 + x[:, None] * y[None, :])).sum(axis=1))
-        new_y = np.where(sizes >= n_items, full, sizes / ((items * new_x)[:, None] / (1 + new_x[:, None] * y[None, :])).sum(axis=0))
+    for _ in range(rounds if n_items and n_records else 0):
+        with np.errstate(divide="ignore"):
+            new_x = np.where(item_counts >= n_records, full, item_counts / ((records * y)[None, :] / (1 + x[:, None] * y[None, :])).sum(axis=1))
+            new_y = np.where(sizes >= n_items, full, sizes / ((items * new_x)[:, None] / (1 + new_x[:, None] * y[None, :])).sum(axis=0))
         done = max(np.abs(new_x / x - 1).max(), np.abs(new_y / y - 1).max()) < 1e-10
         x, y = np.minimum(new_x, full), np.minimum(new_y, full)
         if done:

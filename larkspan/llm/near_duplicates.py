@@ -110,6 +110,11 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(_EDGES, n, "right")
 
 
+def _place(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A number that sorts by key of 32 bits, then by size."""
+    return key.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
+
+
 def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(high >= low, _band(high) - _band(low) + 1, 0)
 
@@ -129,7 +134,7 @@ def _meet(table: pa.Table, up: int, down: int) -> pa.Table:
         most = (up + down) * (x - rank * x // 255) // up - x
         tree, item = key[member], doc[member]
         before = np.cumsum(member) - member  # members of this key that are smaller, or equal with a smaller id; and all of earlier keys
-        before = np.minimum(before, np.searchsorted(tree << 32 | n[item], key << 32 | np.maximum(most, 0), "right"))
+        before = np.minimum(before, np.searchsorted(_place(tree, n[item]), _place(key, np.maximum(most, 0)), "right"))
         # A key has a tree for each band of sizes, and a text searches the bands that hold its possible partners.
         least = -(-x * up // down)
         n_bands, low = _bands(least, np.minimum(most, x)), _band(least)
