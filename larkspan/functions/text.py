@@ -64,7 +64,7 @@ def suggestion_label(pattern: str, name: Column | str) -> Column:
 def constructor_name(qualified: Column | str) -> Column:
     """Ns.Type..ctor(p) as Ns.Type.Type(p); null where nothing stands before .ctor."""
     q = _c(qualified)
-    owner = F.regexp_extract(q, r"^(.+?)\.?\.ctor", 1)
+    owner = F.regexp_extract(q, r"^(.*?[^.])\.?\.ctor", 1)
     rest = F.regexp_extract(q, r"\.ctor(.*)$", 1)
     return F.when(owner != "", F.concat(owner, F.lit("."), F.element_at(F.split(owner, "[.]"), -1), rest))
 

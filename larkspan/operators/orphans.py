@@ -37,7 +37,7 @@ def key_runs(states: DataFrame, page_bits: int) -> DataFrame:
     return marked.groupBy("page", "run").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.any_value("states").alias("states")).drop("run")
 
 
-def match_runs(refs: DataFrame, runs: DataFrame, page_bits: int, hot: int = HOT) -> DataFrame:
+def match_runs(refs: DataFrame, runs: DataFrame, page_bits: int, hot: int) -> DataFrame:
     """refs (key, ...) with states: those of the run that holds the key, null if none does."""
     refs = refs.withColumn("page", F.shiftright("key", page_bits))
     copies = refs.groupBy("page").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / hot).cast("int")).select("page", "copies")
@@ -55,7 +55,7 @@ def match_runs(refs: DataFrame, runs: DataFrame, page_bits: int, hot: int = HOT)
     return seen.select("key", *names, F.when(F.col("key") <= F.col("asof.last"), F.col("asof.states")).alias("states"))
 
 
-def orphans(refs: DataFrame, parents: DataFrame, page_bits: int = INT_PAGE, hot: int = HOT) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, page_bits: int = INT_PAGE, hot: int | None = None) -> DataFrame:
     """(ref_table, ref_field, row_key, reason, period) of the references whose parent is missing, deleted, or was added later.
 
     refs: ref_table, ref_field, row_key, key (bigint), name (the referred text where key is its hash, else null), at (timestamp). parents: key, name, added_at, removed_at.
@@ -64,7 +64,7 @@ def orphans(refs: DataFrame, parents: DataFrame, page_bits: int = INT_PAGE, hot:
     they stand in refs; repeated parents count once. Empty parents make every reference missing; empty refs give no row. Other columns are not read.
     """
     used = refs.filter("key IS NOT NULL").select("ref_table", "ref_field", "row_key", "key", "name", "at")
-    found = match_runs(used, key_runs(parent_states(parents), page_bits), page_bits, hot)
+    found = match_runs(used, key_runs(parent_states(parents), page_bits), page_bits, hot or HOT)
     own = F.filter("states", lambda s: s["name"] == F.coalesce(F.col("name"), F.lit("")))
     found = found.withColumn("state", F.try_element_at(own, F.lit(1)))
     reason = F.when(F.col("state").isNull(), "missing").when(~F.col("state.alive"), "deleted").when(F.col("state.since") > F.col("at"), "late")

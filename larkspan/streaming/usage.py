@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def signature(key: bytes, payload: str) -> str:
 
 def sign(key: bytes, payload: str) -> Column:
     """signature of a column; Spark has no HMAC of its own."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda p: None if p is None else signature(key, p))
