@@ -73,7 +73,7 @@ class Index:
             need.append(bound)
             self.ids.append(ident)
             self.texts.append(words)
-            self.passages.append(runs)
+            self.passages.append(np.array(runs))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         g = join(grams, np.uint64)
         order = np.argsort(g, kind="stable")
@@ -110,7 +110,8 @@ class Index:
         hit = np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)
         pos, item = np.repeat(pos, many), self.item[hit]
         doc = np.searchsorted(at, pos, "right") - 1
-        diagonal = pos - at[doc] - self.place[hit]
+        place = self.place[hit]
+        diagonal = pos - at[doc] - place
         width = self.edits + 1
         found: set[tuple[int, int]] = set()
         # Bands of twice the width, each overlapping the next by half, hold any e+1 neighbouring diagonals together.
@@ -121,22 +122,26 @@ class Index:
             d, i, b = doc[order], item[order], band[order]
             new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
             n = np.diff(np.r_[new, len(d)])
-            for x in new[n >= self.need[i[new]]]:
+            for x, many in zip(new[keep := n >= self.need[i[new]]], n[keep], strict=True):
                 key = (start + int(d[x]), self.ids[int(i[x])])
-                if key not in found and self._aligned(texts[key[0]], int(i[x]), int(b[x]) * span - shift, span):
+                if key not in found and self._aligned(texts[key[0]], int(i[x]), int(b[x]) * span - shift, span, np.unique(place[order[x : x + many]])):
                     found.add(key)
         return found
 
-    def _aligned(self, text: str, item: int, first: int, span: int) -> bool:
-        """Whether a passage of the item lies in the text, on whole words, within the diagonals first to first+span-1 and the edit budget."""
-        words = self.texts[item]
-        for a, b in self.passages[item]:
-            for d in range(first, first + span) if not self.edits else (first,):
-                if not self.edits:
-                    x, y = a + d, b + d
-                    if x >= 0 and y <= len(text) and text[x:y] == words[a:b] and (x == 0 or text[x - 1] == " ") and (y == len(text) or text[y] == " "):
-                        return True
-                elif banded_distance(words[a:b], text, a + first - self.edits, a + first + span - 1 + self.edits) <= self.edits:
+    def _aligned(self, text: str, item: int, first: int, span: int, places: np.ndarray) -> bool:
+        """Whether a passage of the item lies in the text, on whole words, within the diagonals first to first+span-1 and the edit budget.
+
+        Only passages that themselves keep enough of the q-grams found in the band (at these places of the item) are aligned.
+        """
+        words, runs = self.texts[item], self.passages[item]
+        seen = np.searchsorted(places, runs[:, 1] - self.q, "right") - np.searchsorted(places, runs[:, 0], "left")
+        for a, b in runs[seen >= runs[:, 1] - runs[:, 0] - self.q + 1 - self.q * self.edits].tolist():
+            if self.edits:
+                if banded_distance(words[a:b], text, a + first - self.edits, a + first + span - 1 + self.edits) <= self.edits:
+                    return True
+            else:
+                x, y = a + first, b + first
+                if x >= 0 and y <= len(text) and text[x:y] == words[a:b] and (x == 0 or text[x - 1] == " ") and (y == len(text) or text[y] == " "):
                     return True
         return False
 
