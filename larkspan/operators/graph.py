@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.predicates import entry_point, excluded, private_name, test_file
 from larkspan.functions.text import containing_type, project_name
-from larkspan.plans.lineage import checkpoint
+from larkspan.plans.lineage import store
 
 EXTERNAL = "external"
 
@@ -37,21 +37,24 @@ def neighbours(symbols: DataFrame, edges: DataFrame, ids: list[int], callers: bo
 def reach(edges: DataFrame, seeds: DataFrame, callers: bool = True, max_depth: int = -1, edge_type: str | None = None) -> DataFrame:
     """(id, depth) of everything reached from the seeds (id) within max_depth steps, all if negative; never the seeds themselves.
 
-    Level by level: the frontier joins the edges, what was visited is taken out, and each level is checkpointed in the shared folder, so that neither the
-    plan nor a lost executor makes the walk start again. Each vertex is expanded once, so cycles end and no walk is counted twice.
+    Level by level: the frontier joins the edges, what was visited is taken out, and each level is a table in the shared folder, so that neither the plan
+    nor a lost executor makes the walk start again, and the planner knows how small a frontier is: then the edges are not shuffled. Each vertex is
+    expanded once, so cycles end and no walk is counted twice.
     """
     at, to = ("dst", "src") if callers else ("src", "dst")
     used = edges if edge_type is None else edges.filter(F.col("edge_type") == edge_type)
-    used = used.select(F.col(at).alias("id"), F.col(to).alias("next")).distinct()
-    visited = checkpoint(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    used = store(used.select(F.col(at).alias("id"), F.col(to).alias("next")).distinct(), "edges")
+    visited = store(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "visited")
     frontier, depth = visited, 0
     while max_depth < 0 or depth < max_depth:
         depth += 1
         found = used.join(frontier.select("id"), "id").select(F.col("next").alias("id")).distinct()
-        frontier = checkpoint(found.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = store(found.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
-        visited = checkpoint(visited.unionByName(frontier)) if depth % 8 == 0 else visited.unionByName(frontier)
+        visited = visited.unionByName(frontier)
+        if depth % 8 == 0:  # else a long walk would read a table for each of its levels
+            visited = store(visited, "visited")
     return visited.filter("depth > 0")
 
 
