@@ -119,9 +119,9 @@ def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(high >= low, _band(high) - _band(low) + 1, 0)
 
 
-def _meet(table: pa.Table, up: int, down: int) -> pa.Table:
+def _meet(blobs: list[bytes], up: int, down: int) -> pa.RecordBatch:
     """The pairs within each other's radius in the trees of a part, each once."""
-    ids, n, prints, key, doc, member, rank = _unpack([c.as_py() for c in table.column("blob")])
+    ids, n, prints, key, doc, member, rank = _unpack(blobs)
     found = []
     order = np.lexsort((ids[doc], n[doc], key))
     key, doc, member, rank = key[order].astype(np.int64), doc[order], member[order], rank[order].astype(np.int64)
@@ -150,7 +150,7 @@ def _meet(table: pa.Table, up: int, down: int) -> pa.Table:
             found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -190,8 +190,13 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
                 part = (key >> np.uint64(32)).astype(np.int64) % spread
                 yield _pack(part, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[at], early[at] & (block == own[at]), (rank * 255 // n[row]).astype(np.uint8)[at], ids, n, flips.reshape(-1, PRINT_WORDS))
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [c.as_py() for batch in batches for c in batch.column("blob")]
+        if blobs:
+            yield _meet(blobs, up, down)
+
     routed = texts.select("id", "w").mapInArrow(route, "part int, blob binary")
-    return routed.groupBy("part").applyInArrow(lambda table: _meet(table, up, down), "a long, b long").distinct()
+    return routed.repartitionById(spread, F.col("part")).select("blob").mapInArrow(meet, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
