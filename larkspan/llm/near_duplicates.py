@@ -254,9 +254,35 @@ def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, root) of every linked class: root is the smallest class that a chain of links leads to.
+
+    Stars are made larger and smaller in turn, each round a few joins and a table in the shared folder; the rounds grow with the logarithm of the longest chain, and no
+    component is ever gathered in one place. Ends when a round changes nothing.
+    """
+    edges = store(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "links")  # u > v
+    mark = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = store(small.unionByName(least.toDF("u", "v")).distinct(), "stars")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        mark = now
+
+
 def note_groups(links: DataFrame, members: DataFrame) -> DataFrame:
-    """A row for each id: its class of equal texts, the size of that class, and the number of other classes linked to it."""
+    """A row for each id: its class of equal texts, the size of that class, the number of other classes linked to it, and its group: the classes that links hold together,
+    named by the smallest id in it."""
+    links = store(links, "links")
     ends = links.select(F.col("a").alias("class_id")).unionByName(links.select(F.col("b").alias("class_id")))
     degree = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    groups = components(links).select(F.col("id").alias("class_id"), F.col("root").alias("group_id"))
     size = members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    return members.join(size, "class_id").join(degree, "class_id", "left").select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.join(size, "class_id").join(degree, "class_id", "left").join(groups, "class_id", "left")
+    return out.select("id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))

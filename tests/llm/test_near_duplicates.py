@@ -47,8 +47,8 @@ def test_odd_rows(spark):
     data = [(1, None, text, None, 1), (1, None, text, None, 1), (2, "", text.upper().replace(" ", " ,\n"), None, 2), (None, None, text, None, 3), (3, None, None, None, 4), (4, "", "", None, 5), (5, "few", "words", None, 6), (6, long, None, None, 7), (7, long, "tail", None, 8), (8, "é" * 50, "ü ö", None, 9)]
     got, links, members = found(spark, data)
     assert got == [(1, 2), (6, 7)]
-    groups = {r["id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in near_duplicates.note_groups(links, members).collect()}
-    assert groups == {1: (1, 2, 0), 2: (1, 2, 0), 6: (6, 1, 1), 7: (7, 1, 1)}
+    groups = {r["id"]: (r["class_id"], r["n_copies"], r["n_links"], r["group_id"]) for r in near_duplicates.note_groups(links, members).collect()}
+    assert groups == {1: (1, 2, 0, 1), 2: (1, 2, 0, 1), 6: (6, 1, 1, 6), 7: (7, 1, 1, 6)}
 
 
 def test_empty(spark):
@@ -95,3 +95,21 @@ def test_forest_finds_all_within_radius():
         got |= set(zip(q.tolist(), i.tolist(), strict=True))
     expected = {(q, i) for q in range(400) for i in range(q) if tree[q] == tree[i] and bktree.hamming(prints[q : q + 1], prints[i : i + 1])[0] <= radius[q]}
     assert got == expected
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(i, i + rng.randrange(1, 9)) for i in range(100, 160, 2)] + [(500, i) for i in range(501, 540)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    got = near_duplicates.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in list(root))
+    assert near_duplicates.components(spark.createDataFrame([], "a long, b long")).count() == 0
