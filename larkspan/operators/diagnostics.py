@@ -40,45 +40,50 @@ def first_per_line(diagnostics: DataFrame) -> DataFrame:
 def nearest(wanted: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """For each wanted (key, file, at) the diagnostic of its file whose line is nearest, the first to arrive of equals: key, seq, line.
 
-    The lines of a file are searched in order from both sides, so no pair of a wanted line and a diagnostic is made but the two that can win.
+    Both sides are reduced to the distinct lines of a file first, so a file with many diagnostics costs no more than its length. Its lines are then passed in order from
+    both sides, so no pair is made but the two that can win.
     """
     d = diagnostics.groupBy("file", "line").agg(F.min("seq").alias("seq"))
-    left = wanted.select("file", F.col("at").alias("line"), F.lit(1).alias("side"), "key", F.lit(None).cast("struct<line:int,seq:bigint>").alias("d"))
-    right = d.select("file", "line", F.lit(0).alias("side"), F.lit(None).cast(wanted.schema["key"].dataType).alias("key"), F.struct(F.col("line").cast("int").alias("line"), F.col("seq").cast("bigint").alias("seq")).alias("d"))
+    left = wanted.select("file", F.col("at").alias("line")).distinct().withColumn("side", F.lit(1)).withColumn("d", F.lit(None).cast("struct<line:int,seq:bigint>"))
+    right = d.select("file", "line", F.lit(0).alias("side"), F.struct(F.col("line").cast("int").alias("line"), F.col("seq").cast("bigint").alias("seq")).alias("d"))
     both = left.unionByName(right)
     up = Window.partitionBy("file").orderBy("line", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy("file").orderBy(F.desc("line"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("low", F.last("d", ignorenulls=True).over(up)).withColumn("high", F.last("d", ignorenulls=True).over(down)).filter("side = 1")
-    one = lambda c: F.struct(F.abs(F.col(c + ".line") - F.col("line")).alias("gap"), F.col(c + ".seq").alias("seq"), F.col(c + ".line").alias("at"))
-    best = F.array_min(F.filter(F.array(F.when(F.col("low").isNotNull(), one("low")), F.when(F.col("high").isNotNull(), one("high"))), lambda x: x.isNotNull()))
-    return seen.select("key", best.alias("b")).filter("b IS NOT NULL").select("key", "b.seq", F.col("b.at").alias("line"))
+    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c + ".line") - F.col("line")).alias("gap"), F.col(c + ".seq").alias("seq"), F.col(c + ".line").alias("at")))
+    best = F.array_min(F.filter(F.array(one("low"), one("high")), lambda x: x.isNotNull()))
+    lines = seen.select("file", F.col("line").alias("at"), best.alias("b")).filter("b IS NOT NULL")
+    return wanted.join(lines, ["file", "at"]).select("key", "b.seq", F.col("b.at").alias("line"))
 
 
 def overlapping(spans: DataFrame, others: DataFrame) -> DataFrame:
     """Spans (file, first, last, ...) that share a place with one of the others of their file.
 
-    The others are merged into disjoint runs; a span meets one of them if and only if the run that starts last before the span's end reaches its start.
+    The others are merged into disjoint runs; a span meets one of them if and only if the run that starts last before the span's end reaches its start. Equal spans of
+    a file are looked at once.
     """
     order = Window.partitionBy("file").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    o = others.select("file", "first", "last").withColumn("reach", F.max("last").over(order))
+    o = others.select("file", "first", "last").distinct().withColumn("reach", F.max("last").over(order))
     whole = Window.partitionBy("file").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     o = o.withColumn("run", F.sum(F.when(F.col("reach").isNull() | (F.col("first") > F.col("reach")), 1).otherwise(0)).over(whole))
-    runs = o.groupBy("file", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
-    rest = [c for c in spans.columns if c != "file"]
-    left = spans.select("file", F.col("last").alias("at"), F.lit(1).alias("side"), F.struct(*rest).alias("r"), F.lit(None).cast(runs.schema["last"].dataType).alias("end"))
-    right = runs.select("file", F.col("first").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(left.schema["r"].dataType).alias("r"), F.col("last").alias("end"))
+    runs = o.groupBy("file", "run").agg(F.min("first").alias("first"), F.max("last").alias("end"))
+    none = F.lit(None).cast(runs.schema["end"].dataType)
+    left = spans.select("file", "first", "last").distinct().select("file", "first", "last", F.col("last").alias("at"), F.lit(1).alias("side"), none.alias("end"))
+    right = runs.select("file", "first", none.alias("last"), F.col("first").alias("at"), F.lit(0).alias("side"), "end")
     asof = Window.partitionBy("file").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = left.unionByName(right).withColumn("reach", F.last("end", ignorenulls=True).over(asof)).filter("side = 1")
-    return seen.filter(F.col("reach") >= F.col("r.first")).select("file", "r.*")
+    seen = left.unionByName(right).withColumn("reach", F.last("end", ignorenulls=True).over(asof)).filter("side = 1 AND reach >= first")
+    return spans.join(seen.select("file", "first", "last"), ["file", "first", "last"], "left_semi")
 
 
 def enclosing(places: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFrame:
     """The smallest span (file, first, last, name) around each place (key, file, at): first <= at < last; ties: the smaller name. Spans are cut into buckets of
-    lines, so a place meets only the spans over its own bucket."""
-    cut = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("last") - 1) / bucket))))
-    p = places.withColumn("bucket", F.floor(F.col("at") / bucket))
+    lines, so a place meets only the spans over its own bucket; equal places and equal spans of a file meet once."""
+    s = spans.groupBy("file", "first", "last").agg(F.min("name").alias("name"))
+    cut = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor((F.col("last") - 1) / bucket))))
+    p = places.select("file", "at").distinct().withColumn("bucket", F.floor(F.col("at") / bucket))
     hits = p.join(cut, ["file", "bucket"]).filter("first <= at AND at < last")
-    return hits.groupBy("key").agg(F.min_by("name", F.struct(F.col("last") - F.col("first"), F.col("name"))).alias("name"))
+    best = hits.groupBy("file", "at").agg(F.min_by("name", F.struct(F.col("last") - F.col("first"), F.col("name"))).alias("name"))
+    return places.join(best, ["file", "at"]).select("key", "name")
 
 
 def in_span(statements: DataFrame, file: str, first: int, last: int) -> DataFrame:

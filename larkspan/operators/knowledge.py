@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import search_terms, tokens
@@ -99,26 +99,26 @@ def fuse(layers: list[tuple[str, float, DataFrame]], most: int = 10) -> DataFram
     for i, (name, weight, hits) in enumerate(layers):
         part = hits.select("id", (F.col("score") * weight).alias("score"), F.lit(i).alias("layer"), F.lit(name).alias("source"), "rank")
         every = part if every is None else every.unionByName(part)
-    seen = F.min(F.struct("layer", "rank")).alias("seen")
+    seen = F.min(F.struct("layer", F.col("rank").cast("double"))).alias("seen")
     sources = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("layer", "source"))), lambda x: x["source"]), "+").alias("sources")
     return every.groupBy("id").agg(F.sum("score").alias("score"), sources, seen).orderBy(F.desc("score"), "seen", "id").limit(most).drop("seen")
 
 
-def ranked(hits: DataFrame, *order) -> DataFrame:  # noqa: ANN002
-    """The hits numbered in that order; they are the few of a limit or of a lookup."""
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+def ranked(hits: DataFrame, by: str) -> DataFrame:
+    """The hits with a rank, the smaller the better, by a falling column; ties are left to the id. No order over all hits is made, so their number is free."""
+    return hits.withColumn("rank", F.coalesce(-F.col(by), F.lit(float("inf"))))
 
 
 def hybrid(entries: DataFrame, links: DataFrame, query: str, vector: list[float] | None, names: list[str] | None = None, most: int = 10) -> DataFrame:
     """Links (weight 1), full text (0.7) and vectors (0.8; left out without a vector) in one list."""
     layers = []
     if names:
-        hits = entries.select("id", "confidence").join(link_hits(links, names), "id", "left_semi").orderBy(F.desc("confidence"), "id").limit(1000)
-        layers.append(("symbol", 1.0, ranked(hits.withColumn("score", F.lit(1.0)), F.desc("confidence"), "id")))
+        hits = entries.select("id", "confidence").join(link_hits(links, names), "id", "left_semi")
+        layers.append(("symbol", 1.0, ranked(hits.withColumn("score", F.lit(1.0)), "confidence")))
     if search_terms(query):
-        layers.append(("fts", 0.7, ranked(scaled(bm25(entries, query)), F.desc("score"), "id")))
+        layers.append(("fts", 0.7, ranked(scaled(bm25(entries, query)), "score")))
     if vector is not None:
-        layers.append(("vector", 0.8, ranked(vector_hits(entries, vector), F.desc("score"), "id")))
+        layers.append(("vector", 0.8, ranked(vector_hits(entries, vector), "score")))
     return fuse(layers, most)
 
 

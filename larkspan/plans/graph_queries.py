@@ -164,9 +164,9 @@ def file_symbol_counts(spark: SparkSession, d: str) -> DataFrame:
     return sym(spark, d).groupBy("file_path").agg(F.count("*").alias("n"))
 
 
-@_add("all_solutions", "SELECT id, path, name, last_analyzed, solution_hash FROM solutions")
+@_add("all_solutions", "SELECT id, path, name, epoch_us(last_analyzed) AS analyzed_us, solution_hash FROM solutions")
 def all_solutions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "solutions").select("id", "path", "name", "last_analyzed", "solution_hash")
+    return table(spark, d, "solutions").select("id", "path", "name", F.unix_micros("last_analyzed").alias("analyzed_us"), "solution_hash")
 
 
 @_add("all_symbols_project", "SELECT id, file_path FROM sym WHERE file_path ILIKE '%billing%'")

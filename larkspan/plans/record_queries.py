@@ -169,9 +169,9 @@ SELECT id, round(sum(score), 4) AS score, string_agg(source, '+' ORDER BY layer)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     e = _entries(spark, d)
     layers = [
-        ("symbol", 1.0, knowledge.ranked(e.join(knowledge.link_hits(_links(spark, d), _NAMES), "id", "left_semi").select("id", "confidence", F.lit(1.0).alias("score")), F.desc("confidence"), "id")),
-        ("fts", 0.7, knowledge.ranked(knowledge.scaled(knowledge.bm25(e, QUERY)), F.desc("score"), "id")),
-        ("vector", 0.8, knowledge.ranked(knowledge.vector_hits(e, _QUERY_VECTOR, 0.2), F.desc("score"), "id")),
+        ("symbol", 1.0, knowledge.ranked(e.join(knowledge.link_hits(_links(spark, d), _NAMES), "id", "left_semi").select("id", "confidence", F.lit(1.0).alias("score")), "confidence")),
+        ("fts", 0.7, knowledge.ranked(knowledge.scaled(knowledge.bm25(e, QUERY)), "score")),
+        ("vector", 0.8, knowledge.ranked(knowledge.vector_hits(e, _QUERY_VECTOR, 0.2), "score")),
     ]
     return knowledge.fuse(layers, 10).select("id", F.round("score", 4).alias("score"), "sources")
 
