@@ -78,28 +78,28 @@ def test_changes_to_the_graph(spark):
 
 
 RESOLVE = [
-    ("Method", "GetCallersAsync", "MyApp.Services.UserService.GetCallersAsync(string, int)"),
-    ("Method", "GetCallersAsync", "MyApp.Services.OrderService.GetCallersAsync()"),
-    ("Method", "SaveAsync", "MyApp.Services.UserService.SaveAsync(MyApp.Models.User)"),
-    ("Property", "Name", "MyApp.Models.User.Name"),
-    ("Constructor", ".ctor", "MyApp.Models.User.User(string)"),
-    ("Constructor", ".ctor", "MyApp.Models.User.User(string, int)"),
-    ("Constructor", ".ctor", "MyApp.Services.OrderService.OrderService()"),
+    ("Method", "LoadItemsAsync", "Shop.Core.CartService.LoadItemsAsync(string, int)"),
+    ("Method", "LoadItemsAsync", "Shop.Core.StockService.LoadItemsAsync()"),
+    ("Method", "StoreAsync", "Shop.Core.CartService.StoreAsync(Shop.Data.Item)"),
+    ("Property", "Name", "Shop.Data.Item.Name"),
+    ("Constructor", ".ctor", "Shop.Data.Item.Item(string)"),
+    ("Constructor", ".ctor", "Shop.Data.Item.Item(string, int)"),
+    ("Constructor", ".ctor", "Shop.Core.StockService.StockService()"),
 ]
 
 
 @pytest.mark.parametrize(
     ("wanted", "status", "n"),
     [
-        ("MyApp.Models.User.Name", "found", 1),
+        ("Shop.Data.Item.Name", "found", 1),
         ("Name", "found", 1),
-        ("saveasync", "found", 1),
-        ("UserService.GetCallersAsync", "found", 1),
-        ("GetCallersAsync", "ambiguous", 2),
+        ("storeasync", "found", 1),
+        ("CartService.LoadItemsAsync", "found", 1),
+        ("LoadItemsAsync", "ambiguous", 2),
         ("Nothing", "not_found", 0),
-        ("MyApp.Models.User..ctor(string)", "found", 1),
-        ("MyApp.Models.User..ctor", "ambiguous", 2),
-        ("OrderService..ctor", "found", 1),
+        ("Shop.Data.Item..ctor(string)", "found", 1),
+        ("Shop.Data.Item..ctor", "ambiguous", 2),
+        ("StockService..ctor", "found", 1),
         (".ctor", "not_found", 0),
     ],
 )
@@ -112,7 +112,7 @@ def test_resolution(spark, wanted, status, n):
 def test_overloads_and_single_rows(spark):
     s = spark.createDataFrame([(i, 1, k, a, q, "f", 1, "Analyzed") for i, (k, a, q) in enumerate(RESOLVE)], SYMBOLS)
     assert resolve.pick_overload(s, ".ctor", params="String,int").first()["status"] == "found"
-    assert resolve.pick_overload(s, "SaveAsync", params="User").first()["status"] == "found"
+    assert resolve.pick_overload(s, "StoreAsync", params="Item").first()["status"] == "found"
     assert resolve.pick_overload(s, ".ctor", "constructor").first()["n"] == 3
     assert resolve.exactly_one(s.filter("id = 3")).count() == 1 and resolve.exactly_one(s.filter("id = 99")).count() == 0
     with pytest.raises(Exception, match="more than one row"):

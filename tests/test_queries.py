@@ -33,5 +33,5 @@ def test_vectors_survive_coding(spark):
 
 
 def test_nothing_else_imports_llm():
-    code = "import sys, pkgutil, importlib, larkspan\nfor m in pkgutil.walk_packages(larkspan.__path__, 'larkspan.'):\n  if not m.name.startswith('larkspan.llm'): importlib.import_module(m.name)\nassert not [m for m in sys.modules if m.startswith('larkspan.llm')]"
+    code = "import sys, pkgutil, importlib, larkspan\nfor m in pkgutil.walk_packages(larkspan.__path__, 'larkspan.'):\n  if not m.name.startswith('larkspan.llm'): importlib.import_module(m.name)\nassert not [m for m in sys.modules if m.startswith('larkspan.llm.')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry_points.__file__))
