@@ -55,7 +55,8 @@ def _tags(spark: SparkSession, d: str, min_count: int) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _tags(spark, d, 5).filter("n_ab * n_records >= 3 * n_a * n_b")
+    wide = {c: F.col(c).cast("decimal(18,0)") for c in ("n_a", "n_b", "n_ab", "n_records")}  # whole numbers, and no product overflows
+    found = _tags(spark, d, 5).withColumns(wide).filter("n_ab * n_records >= n_a * n_b * 3")
     return found.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
