@@ -140,3 +140,15 @@ def required_int(args: dict, name: str, least: int) -> int:
     if isinstance(v, bool) or not isinstance(v, int) or v < least:
         raise ValueError(f"{name} must be a whole number of at least {least}")
     return v
+
+
+def member_matches(kind: Column | str, name: Column | str, wanted: str = "all") -> Column:
+    """Members of the kind (all without one), letter case ignored, without accessors and compiler-made ones."""
+    made = _c(name).rlike(r"^(get_|set_|add_|remove_|<)")
+    return ~made & (F.lit(True) if wanted.lower() == "all" else F.lower(_c(kind)) == wanted.lower())
+
+
+def kind_label(kind: Column | str, type_kind: Column | str) -> Column:
+    """What a symbol is called: its kind, and for types the kind of type."""
+    t = F.lower(_c(type_kind))
+    return F.when((_c(kind) == "Type") & t.isin("class", "interface", "struct", "enum", "delegate", "record"), F.initcap(t)).otherwise(_c(kind))

@@ -106,3 +106,13 @@ def fix_counts(fixes: DataFrame) -> DataFrame:
 def change_impact(changes: DataFrame) -> DataFrame:
     """Files affected and text changes of changes (file, n)."""
     return changes.agg(F.count_distinct("file").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("changes"))
+
+
+def positions(places: DataFrame, line_starts: DataFrame) -> DataFrame:
+    """places (key, file, line, col_no) with at, their position in the file: the start of the line (file, line, start) and the column, counted from 1."""
+    return places.join(line_starts, ["file", "line"]).select("key", "file", (F.col("start") + F.col("col_no") - 1).alias("at"))
+
+
+def symbol_at(places: DataFrame, line_starts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(key, name) of the smallest declared span (file, first, last, name) around each place."""
+    return enclosing(positions(places, line_starts), spans, 4096)

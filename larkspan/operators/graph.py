@@ -178,3 +178,30 @@ def pending_targets(symbols: DataFrame, targets: DataFrame) -> DataFrame:
     new = targets.filter(F.col("file_path") != EXTERNAL).dropDuplicates(["solution_id", "qualified_name"])
     new = new.join(symbols.select("solution_id", "qualified_name"), ["solution_id", "qualified_name"], "left_anti")
     return new.select("solution_id", F.lit("Method").alias("kind"), "name", "qualified_name", "file_path", F.lit("Pending").alias("status"))
+
+
+def symbols_where(symbols: DataFrame, solution: int, kind: str | None = None, status: str | None = None) -> DataFrame:
+    """The solution's symbols, of the kind and in the state if given."""
+    s = symbols.filter(F.col("solution_id") == solution)
+    s = s if kind is None else s.filter(F.col("kind") == kind)
+    return s if status is None else s.filter(F.col("status") == status)
+
+
+def mark_dirty(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols of the files (file_path) become Dirty."""
+    hit = files.select("file_path", F.lit(True).alias("hit")).distinct()
+    return symbols.join(hit, "file_path", "left").withColumn("status", F.when(F.col("hit"), "Dirty").otherwise(F.col("status"))).drop("hit").select(*symbols.columns)
+
+
+def set_hashes(symbols: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Symbols of the files (file_path, new_hash) get the hash and become Analyzed."""
+    out = symbols.join(hashes.select("file_path", "new_hash", F.lit(True).alias("hit")), "file_path", "left")
+    out = out.withColumns({"file_hash": F.when(F.col("hit"), F.col("new_hash")).otherwise(F.col("file_hash")), "status": F.when(F.col("hit"), "Analyzed").otherwise(F.col("status"))})
+    return out.select(*symbols.columns)
+
+
+def set_analyzed(solutions: DataFrame, solution: int, at: str, solution_hash: str | None = None) -> DataFrame:
+    """The solution's time of analysis, and its hash if given."""
+    own = F.col("id") == solution
+    new = solutions.withColumn("last_analyzed", F.when(own, F.lit(at).cast("timestamp")).otherwise(F.col("last_analyzed")))
+    return new if solution_hash is None else new.withColumn("solution_hash", F.when(own, solution_hash).otherwise(F.col("solution_hash")))

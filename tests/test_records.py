@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import predicates as P
 from larkspan.functions import text as T
-from larkspan.operators import changes, diagnostics, knowledge, orphans, usage
+from larkspan import schemas
+from larkspan.operators import build, changes, diagnostics, graph, knowledge, orphans, usage
 from larkspan.sources import logs
 from larkspan.streaming import usage as streams
 
@@ -246,3 +247,46 @@ def test_names_that_share_a_hash(spark, rows):
     parents = spark.createDataFrame([(7, "a", day(0), None), (7, "b", day(0), day(1))], "key long, name string, added_at timestamp, removed_at timestamp")
     refs = spark.createDataFrame([("t", "f", n, 7, n, day(2)) for n in ("a", "b", "c")], "ref_table string, ref_field string, row_key string, key long, name string, at timestamp")
     assert [(r["row_key"], r["reason"]) for r in orphans.orphans(refs, parents, orphans.HASH_PAGE).orderBy("row_key").collect()] == [("b", "deleted"), ("c", "missing")]
+
+
+def test_building(spark, rows):
+    store = schemas.in_memory(spark)
+    facts = spark.createDataFrame([(1, "a", "A"), (2, "b", "B"), (3, "b", "I"), (4, "c", "C")], "id long, file_path string, qualified_name string")
+    occ = spark.createDataFrame([("a", "A", "I", "invocation", "Method", False, False), ("b", "B", "C", "identifier", "Field", True, False), ("b", "B", "C", "identifier", "Field", False, True)], schemas.SCHEMAS["occurrences"])
+    impl = spark.createDataFrame([("I", "B")], "interface_name string, member_name string")
+    none = facts.limit(0)
+    now = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "file_path string, content_hash string")
+    empty = now.limit(0)
+    e0 = store["edges"].select("src", "dst", "edge_type")
+    s1, e1, f1 = build.incremental(empty, now, none, e0, facts, occ, impl)
+    assert s1.count() == 4 and rows(e1) == [(1, 2, "Calls"), (1, 3, "Calls"), (2, 4, "Writes")]
+    later = spark.createDataFrame([("a", "1"), ("b", "2")], now.schema)
+    s2, e2, _ = build.incremental(f1, later, s1, e1, facts.filter("id <> 3"), occ.filter("false"), impl)
+    assert rows(s2.select("id")) == [(1,), (2,)] and rows(e2) == [(1, 2, "Calls")]
+    assert tuple(build.counts(now, later).first()) == (1, 1, 1)
+
+
+def test_store(spark, tmp_path):
+    store = schemas.in_memory(spark, knowledge_tags=[(1, "a")])
+    store["knowledge_tags"].write.parquet(str(tmp_path / "knowledge_tags.parquet"))
+    again = schemas.open_store(spark, str(tmp_path))
+    assert again["knowledge_tags"].count() == 1 and again["symbols"].count() == 0 and not schemas.exists(str(tmp_path))
+
+
+def test_updates(spark, rows):
+    s = spark.createDataFrame([(1, 1, "Method", "f", "h", "Pending"), (2, 1, "Field", "g", "h", "Pending")], "id long, solution_id long, kind string, file_path string, file_hash string, status string")
+    assert rows(graph.mark_dirty(s, spark.createDataFrame([("f",)], "file_path string")).select("id", "status")) == [(1, "Dirty"), (2, "Pending")]
+    assert rows(graph.set_hashes(s, spark.createDataFrame([("g", "n")], "file_path string, new_hash string")).select("id", "file_hash", "status")) == [(1, "h", "Pending"), (2, "n", "Analyzed")]
+    assert graph.symbols_where(s, 1, "Method", "Pending").count() == 1 and graph.symbols_where(s, 1).count() == 2
+    sol = spark.createDataFrame([(1, None, None)], "id long, last_analyzed timestamp, solution_hash string")
+    assert graph.set_analyzed(sol, 1, "2030-01-01", "x").first()["solution_hash"] == "x"
+
+
+def test_symbol_at_a_place(spark, rows):
+    places = spark.createDataFrame([(1, "f", 2, 3)], "key int, file string, line int, col_no int")
+    starts = spark.createDataFrame([("f", 1, 0), ("f", 2, 10)], "file string, line int, start int")
+    spans = spark.createDataFrame([("f", 0, 100, "type"), ("f", 12, 20, "method"), ("f", 13, 20, "later")], "file string, first int, last int, name string")
+    assert rows(diagnostics.symbol_at(places, starts, spans)) == [(1, "method")]
+    kinds = spark.createDataFrame([("Type", "INTERFACE", "a"), ("Method", None, "get_x")], "k string, t string, n string")
+    assert [r["x"] for r in kinds.select(P.kind_label("k", "t").alias("x")).collect()] == ["Interface", "Method"]
+    assert kinds.filter(P.member_matches("k", "n")).count() == 1
