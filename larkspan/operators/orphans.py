@@ -1,107 +1,126 @@
 """References to records that do not exist: runs of parent keys and an as-of match.
 
-Sorted integer parent keys in the same state are compressed into contiguous runs (first key, last key, state). A reference is matched as of its key: the
-run that starts last at or before it. Beyond the end of that run the key has no parent; inside it, the state says whether the parent is deleted or
-came later. Runs and references meet in one sorted pass of a window over pages of keys, so no join on the key takes place, and a page that holds
-many references is split into salted copies, each with the page's few runs. Names are matched by the same runs over their 64-bit hashes.
+Sorted integer parent keys are compressed into contiguous runs (first key, last key, whether they live, and the times between which they came). A reference is matched as of its
+key, with the run that starts last at or before it: beyond the end of that run the key has no parent, a run of removed keys makes it deleted, and a reference older than
+everything in its run came too early. Only references whose time lies among the times of their run are looked up by key. Runs stand in pages, rows of at most 2 ** PAGE keys, so
+the parents shrink to a row a page, and the planner sends the pages to the references where they are small; else both are shuffled by page and skewed pages are split.
+
+References are judged row by row, and only those that fail are grouped: the earliest row of a reference is late if any of its rows is.
+
+Names become integer keys by their rank among all names, of parents and references, within a bucket of their hash; a run of ranks then ends only where a name has no parent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT = 1_000_000  # references of a page that one task may hold
-INT_PAGE = 12  # bits of an integer key within its page
-HASH_PAGE = 48  # the same for hashes, which spread over all 64 bits
+from larkspan.plans.lineage import store
 
+PAGE = 6  # bits of a key within its page
+BUCKETS = 1 << 16  # of names that are ranked together
 
-def parent_states(parents: DataFrame) -> DataFrame:
-    """parents (key, name, added_at, removed_at) as a row for each key, with the state of each name under it.
 
-    name tells apart keys that share a hash; for plain keys it is empty. A state is (name, alive, since): alive if some row is not removed, since its smallest added_at.
-    """
+def parent_states(parents: DataFrame, key: str = "key") -> DataFrame:
+    """A row for each key of parents (key, added_at, removed_at): alive if some row is not removed, since its smallest added_at."""
     alive = F.col("removed_at").isNull()
-    one = parents.filter("key IS NOT NULL").groupBy("key", F.coalesce("name", F.lit("")).alias("name"))
-    one = one.agg(F.max(alive).alias("alive"), F.min(F.when(alive, F.col("added_at"))).alias("since"))
-    return one.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("name", "alive", "since"))).alias("states"))  # one, but for colliding hashes
+    return parents.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(alive).alias("alive"), F.min(F.when(alive, F.col("added_at"))).alias("since"))
 
 
-def key_runs(states: DataFrame, page_bits: int) -> DataFrame:
-    """(page, first, last, states): runs of consecutive keys in equal states. A run ends with its page, so pages are compressed apart."""
-    paged = states.withColumn("page", F.shiftright("key", page_bits))
+def key_runs(states: DataFrame) -> DataFrame:
+    """(page, first, last, alive, low, high): runs of consecutive keys that all live or all do not, cut at the ends of pages.
+
+    high is the greatest since of the run, low the smallest, null if a key of the run has none.
+    """
+    paged = states.withColumn("page", F.shiftright("key", PAGE))
     order = Window.partitionBy("page").orderBy("key")
-    fresh = (F.col("key") - 1 != F.lag("key").over(order)) | (F.col("states") != F.lag("states").over(order))
-    # Runs of names consist of a key each, as no two names follow each other; only equal plain keys grow long.
+    fresh = (F.try_subtract("key", F.lit(1)) != F.lag("key").over(order)) | (F.col("alive") != F.lag("alive").over(order))
     marked = paged.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("long")).over(order))
-    return marked.groupBy("page", "run").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.any_value("states").alias("states")).drop("run")
-
-
-def match_runs(refs: DataFrame, runs: DataFrame, page_bits: int, hot: int) -> DataFrame:
-    """refs (key, ...) with states: those of the run that holds the key, null if none does."""
-    refs = refs.withColumn("page", F.shiftright("key", page_bits))
-    copies = refs.groupBy("page").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / hot).cast("int")).select("page", "copies")
-    many = copies.filter("copies > 1")
-    salted = refs.join(many, "page", "left").withColumn("salt", F.pmod(F.xxhash64("row_key", "ref_field"), F.coalesce("copies", F.lit(1)))).drop("copies")
-    spread = runs.join(copies, "page").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1))).drop("copies")
-
-    run = F.struct("first", "last", "states")
-    none = F.lit(None).cast(spread.select(run.alias("r")).schema["r"].dataType)
-    names = [c for c in refs.columns if c not in ("key", "page")]
-    left = spread.select("page", "salt", F.col("first").alias("key"), F.lit(0).alias("side"), run.alias("run"), *[F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in names])
-    right = salted.select("page", "salt", "key", F.lit(1).alias("side"), none.alias("run"), *names)
-    order = Window.partitionBy("page", "salt").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = left.unionByName(right).withColumn("asof", F.last("run", ignorenulls=True).over(order)).filter("side = 1")
-    return seen.select("key", *names, F.when(F.col("key") <= F.col("asof.last"), F.col("asof.states")).alias("states"))
-
-
-def orphans(refs: DataFrame, parents: DataFrame, page_bits: int = INT_PAGE, hot: int | None = None) -> DataFrame:
-    """(ref_table, ref_field, row_key, reason, period) of the references whose parent is missing, deleted, or was added later.
-
-    refs: ref_table, ref_field, row_key, key (bigint), name (the referred text where key is its hash, else null), at (timestamp). parents: key, name, added_at, removed_at.
-    A null key is no reference. reason is missing if no parent has the key, deleted if all that have it have a removed_at, late if the smallest added_at of
-    the others is after at; a null at or added_at is never late. period is the month of at, null without it. Repeated references come out as often as
-    they stand in refs; repeated parents count once. Empty parents make every reference missing; empty refs give no row. Other columns are not read.
+    low = F.when(F.count("since") == F.count("*"), F.min("since"))
+    one = marked.groupBy("page", "run").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.any_value("alive").alias("alive"), low.alias("low"), F.max("since").alias("high"))
+    return one.drop("run")
+
+
+def run_pages(runs: DataFrame) -> DataFrame:
+    """(page, runs): the runs of a page in order."""
+    return runs.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("first", "last", "alive", "low", "high"))).alias("runs"))
+
+
+def judged(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """refs (key, at, ...) that the run before them does not clear, with reason: missing, deleted, late, or open where only the key itself can tell."""
+    seen = refs.withColumn("page", F.shiftright("key", PAGE)).join(run_pages(runs), "page", "left")
+    seen = seen.withColumn("run", F.try_element_at(F.filter("runs", lambda r: r["first"] <= F.col("key")), F.lit(-1)))
+    inside = F.coalesce(F.col("key") <= F.col("run.last"), F.lit(False))
+    reason = F.when(~inside, "missing").when(~F.col("run.alive"), "deleted").when(F.col("at") < F.col("run.low"), "late").when(F.col("at") < F.col("run.high"), "open")
+    return seen.select(*refs.columns, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """The rows of refs (key bigint, at timestamp, ...) whose parent is missing, deleted, or was added later, with the reason.
+
+    parents: key, added_at, removed_at. A null key is no reference. reason is missing if no parent has the key, deleted if all that have it have a removed_at, late if the
+    smallest added_at of the others is after at; a null at or added_at is never late. Repeated references come out as often as they stand in refs; repeated parents
+    count once. Empty parents make every reference missing; empty refs give no row. Other columns of refs are kept (but for page, run, runs, reason, since), of parents not read.
     """
-    used = refs.filter("key IS NOT NULL").select("ref_table", "ref_field", "row_key", "key", "name", "at")
-    found = match_runs(used, key_runs(parent_states(parents), page_bits), page_bits, hot or HOT)
-    own = F.filter("states", lambda s: s["name"] == F.coalesce(F.col("name"), F.lit("")))
-    found = found.withColumn("state", F.try_element_at(own, F.lit(1)))
-    reason = F.when(F.col("state").isNull(), "missing").when(~F.col("state.alive"), "deleted").when(F.col("state.since") > F.col("at"), "late")
-    return found.withColumn("reason", reason).filter("reason IS NOT NULL").select("ref_table", "ref_field", "row_key", "reason", F.date_format("at", "yyyy-MM").alias("period"))
+    return by_states(refs, parent_states(parents))
 
 
-def edge_references(edges: DataFrame) -> DataFrame:
-    """Both ends of each edge as references; an edge (src, dst, edge_type) counts once, at its earliest recorded_at. A null part is empty in the row key."""
-    once = edges.groupBy("src", "dst", "edge_type").agg(F.min("recorded_at").alias("at"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    key = F.concat(text("src"), F.lit("|"), text("dst"), F.lit("|"), text("edge_type"))
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("ref_field"), F.col(c).alias("key")) for c in ("src", "dst")]))
-    return once.select(F.lit("edges").alias("ref_table"), key.alias("row_key"), "at", ends.alias("end")).select("ref_table", "end.ref_field", "row_key", "end.key", F.lit(None).cast("string").alias("name"), "at")
+def by_states(refs: DataFrame, states: DataFrame) -> DataFrame:
+    """orphans() of the states of the parents (key, alive, since)."""
+    found = store(judged(refs.filter("key IS NOT NULL"), key_runs(states)), "judged")
+    late = found.filter("reason = 'open'").join(states.select("key", "since"), "key").filter("since > at")
+    return found.filter("reason <> 'open'").unionByName(late.select(*refs.columns, F.lit("late").alias("reason")))
 
 
-def link_references(links: DataFrame) -> DataFrame:
-    """The trimmed names of the links as references; a link (knowledge_id, symbol_name) counts once, at its earliest linked_at."""
-    once = links.groupBy("knowledge_id", "symbol_name").agg(F.min("linked_at").alias("at"))
-    key = F.concat(F.coalesce(F.col("knowledge_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("symbol_name", F.lit("")))
-    name = F.regexp_replace("symbol_name", r"^[ \t]+|[ \t]+$", "")
-    return once.select(F.lit("knowledge_links").alias("ref_table"), F.lit("symbol_name").alias("ref_field"), key.alias("row_key"), F.xxhash64(name).alias("key"), name.alias("name"), "at").filter("name IS NOT NULL")
+def ranked(names: DataFrame) -> DataFrame:
+    """names (name, ...), each once, with key: hash bucket and rank of the name in it."""
+    bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("name")).cast("long")
+    return names.withColumn("bucket", bucket).withColumn("key", F.shiftleft("bucket", 32) + rank).drop("bucket")
+
+
+def _month(at: str) -> Column:
+    return F.date_format(at, "yyyy-MM").alias("period")
 
 
-def id_parents(symbols: DataFrame) -> DataFrame:
-    return symbols.select(F.col("id").alias("key"), F.lit(None).cast("string").alias("name"), "added_at", "removed_at")
+def edge_orphans(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """The orphans among both ends of the edges; an edge (src, dst, edge_type) counts once, at its earliest recorded_at. A null part is empty in the row key."""
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("ref_field"), F.col(c).alias("key")) for c in ("src", "dst")]))
+    refs = edges.select("src", "dst", "edge_type", F.col("recorded_at").alias("at"), ends.alias("end")).select("src", "dst", "edge_type", "at", "end.*")
+    found = orphans(refs, symbols.select(F.col("id").alias("key"), "added_at", "removed_at"))
+    once = found.groupBy("src", "dst", "edge_type", "ref_field", "reason").agg(F.min("at").alias("at"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.concat(text("src"), F.lit("|"), text("dst"), F.lit("|"), text("edge_type"))
+    return once.select(F.lit("edges").alias("ref_table"), "ref_field", key.alias("row_key"), "reason", _month("at"))
 
 
-def name_parents(symbols: DataFrame) -> DataFrame:
-    """Every symbol under its qualified name and under what stands before the first parenthesis."""
+def name_states(symbols: DataFrame, named: DataFrame) -> DataFrame:
+    """(name, alive, since, at) of every name a symbol has, alive null for names only references (name, at) have; at is their earliest time. A symbol stands under its
+    qualified name and under what comes before the first parenthesis."""
     both = F.explode(F.array_distinct(F.array(F.col("qualified_name"), F.substring_index("qualified_name", "(", 1))))
-    named = symbols.filter("qualified_name IS NOT NULL").select(both.alias("name"), "added_at", "removed_at")
-    return named.select(F.xxhash64("name").alias("key"), "name", "added_at", "removed_at")
+    own = symbols.filter("qualified_name IS NOT NULL").select(both.alias("name"), "added_at", "removed_at")
+    own = own.select("name", F.col("removed_at").isNull().alias("alive"), F.when(F.col("removed_at").isNull(), F.col("added_at")).alias("since"), F.lit(None).cast("timestamp").alias("at"), F.lit(False).alias("asked"))
+    asked = named.select("name", F.lit(None).cast("boolean").alias("alive"), F.lit(None).cast("timestamp").alias("since"), "at", F.lit(True).alias("asked"))
+    return own.unionByName(asked).groupBy("name").agg(F.max("alive").alias("alive"), F.min("since").alias("since"), F.min("at").alias("at"), F.max("asked").alias("asked"))
+
+
+def link_orphans(symbols: DataFrame, links: DataFrame) -> DataFrame:
+    """The orphans among the linked names, trimmed; a link (knowledge_id, symbol_name) counts once, at its earliest linked_at. A null part is empty in the row key."""
+    name = F.regexp_replace("symbol_name", r"^[ \t]+|[ \t]+$", "")
+    refs = links.select("knowledge_id", "symbol_name", name.alias("name"), F.col("linked_at").alias("at")).filter("name IS NOT NULL")
+    names = store(ranked(name_states(symbols, refs.select("name", "at"))), "names")
+    states = names.filter("alive IS NOT NULL").select("key", "alive", "since")
+    # Judged once for each name, at its earliest reference; a name that is late for that one can be there in time for another.
+    failed = by_states(names.filter("asked").select("key", "name", "at", F.col("since").alias("known")), states)
+    found = refs.join(failed.select("name", "reason", "known"), "name").filter("reason <> 'late' OR at < known")
+    once = found.groupBy("knowledge_id", "symbol_name", "reason").agg(F.min("at").alias("at"))
+    key = F.concat(F.coalesce(F.col("knowledge_id").cast("string"), F.lit("")), F.lit("|"), F.col("symbol_name"))
+    return once.select(F.lit("knowledge_links").alias("ref_table"), F.lit("symbol_name").alias("ref_field"), key.alias("row_key"), "reason", _month("at"))
 
 
 def orphan_references(symbols: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
-    """The orphans among edge ends and linked names."""
-    return orphans(edge_references(edges), id_parents(symbols)).unionByName(orphans(link_references(links), name_parents(symbols), HASH_PAGE))
+    """(ref_table, ref_field, row_key, reason, period) of the orphans among edge ends and linked names; period is the month of the reference, null without a time."""
+    return edge_orphans(symbols, edges).unionByName(link_orphans(symbols, links))
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

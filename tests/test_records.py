@@ -206,9 +206,7 @@ def day(n):
     return datetime.datetime(2030, 1, 1) + datetime.timedelta(days=n)
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 3])
-def test_orphans(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(orphans, "HOT", hot)
+def test_orphans(spark, rows):
     s = [(i, f"N.T.m{i}(int)", day(0), None, 1, 1) for i in range(1, 50)] + [(60, "N.T.gone", day(0), day(1), 1, 1), (61, "N.T.back", day(0), day(1), 1, 1), (61, "N.T.back", day(20), None, 1, 1), (62, "N.T.null", None, None, 1, 1), (None, None, None, None, 1, 1), (-5, "N.T.neg", day(0), None, 1, 1)]
     s += s[:3]
     e = [(1, 2, "Calls", day(5), None, 1), (1, 60, "Calls", day(5), None, 1), (1, 60, "Calls", day(2), None, 1), (1, 61, "Calls", day(5), None, 1), (1, 61, "Reads", day(25), None, 1), (1, 62, "Calls", None, None, 1), (99, 50, None, day(40), None, 1), (None, 4, "Calls", day(1), None, 1), (-5, -6, "Calls", day(1), None, 1), (10**12, 1, "Calls", None, None, 1)]
@@ -238,15 +236,47 @@ def test_orphans_of_empty_tables(spark, rows):
 
 
 def test_runs(spark, rows):
-    parents = spark.createDataFrame([(i, None, day(0), None) for i in (1, 2, 3, 7, 8, 4095, 4096)] + [(9, None, day(1), None)], "key long, name string, added_at timestamp, removed_at timestamp")
-    runs = orphans.key_runs(orphans.parent_states(parents), orphans.INT_PAGE)
-    assert rows(runs.select("first", "last")) == [(1, 3), (4095, 4095), (4096, 4096), (7, 8), (9, 9)]
-
-
-def test_names_that_share_a_hash(spark, rows):
-    parents = spark.createDataFrame([(7, "a", day(0), None), (7, "b", day(0), day(1))], "key long, name string, added_at timestamp, removed_at timestamp")
-    refs = spark.createDataFrame([("t", "f", n, 7, n, day(2)) for n in ("a", "b", "c")], "ref_table string, ref_field string, row_key string, key long, name string, at timestamp")
-    assert [(r["row_key"], r["reason"]) for r in orphans.orphans(refs, parents, orphans.HASH_PAGE).orderBy("row_key").collect()] == [("b", "deleted"), ("c", "missing")]
+    data = [(i, day(i % 5), None) for i in (1, 2, 3, 7, 8, 63, 64)] + [(9, day(1), day(2)), (10, None, None), (-(2**63), day(0), None), (2**63 - 1, day(0), None)]
+    runs = orphans.key_runs(orphans.parent_states(spark.createDataFrame(data, "key long, added_at timestamp, removed_at timestamp")))
+    ends = [(-(2**63), -(2**63)), (1, 3), (10, 10), (2**63 - 1, 2**63 - 1), (63, 63), (64, 64), (7, 8), (9, 9)]
+    assert rows(runs.select("first", "last")) == sorted(ends, key=repr)
+
+
+def test_times_do_not_break_runs(spark):
+    data = [(i, day(i % 28), day(30) if i % 100 == 7 else None) for i in range(1000) if i % 50]
+    runs = orphans.key_runs(orphans.parent_states(spark.createDataFrame(data, "key long, added_at timestamp, removed_at timestamp")))
+    assert runs.count() <= 20 + 2 * 10 + 1000 // 64 + 1  # holes, changes of state, pages
+
+
+def test_ranked_names(spark, rows, monkeypatch):
+    monkeypatch.setattr(orphans, "BUCKETS", 2)
+    names = spark.createDataFrame([(f"n{i}",) for i in range(50)] + [("",)], "name string")
+    got = orphans.ranked(names).collect()
+    assert len({r["key"] for r in got}) == 51
+    for bucket in (0, 1):
+        own = sorted((r["key"], r["name"]) for r in got if r["key"] >> 32 == bucket)
+        assert [k & 0xFFFFFFFF for k, _ in own] == list(range(1, len(own) + 1)) and [n for _, n in own] == sorted(n for _, n in own)
+
+
+def test_orphans_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    parents = [(rng.randrange(-40, 300), day(rng.randrange(40)) if rng.random() < 0.95 else None, day(50) if rng.random() < 0.2 else None) for _ in range(260)]
+    refs = [(rng.choice([None, 5, rng.randrange(-60, 330)]), day(rng.randrange(40)) if rng.random() < 0.9 else None, i) for i in range(900)]
+    by = {}
+    for k, added, removed in parents:
+        by.setdefault(k, []).append((added, removed))
+    expected = []
+    for k, at, n in refs:
+        if k is None:
+            continue
+        live = [a for a, r in by.get(k, []) if r is None]
+        times = [a for a in live if a is not None]
+        reason = "missing" if k not in by else "deleted" if not live else "late" if times and at is not None and min(times) > at else None
+        expected += [(n, reason)] if reason else []
+    got = orphans.orphans(spark.createDataFrame(refs, "key long, at timestamp, added_at int"), spark.createDataFrame(parents, "key long, added_at timestamp, removed_at timestamp"))
+    assert sorted((r["added_at"], r["reason"]) for r in got.collect()) == sorted(expected)
 
 
 def test_building(spark, rows):
