@@ -48,7 +48,8 @@ def run_pages(runs: DataFrame) -> DataFrame:
 
 def judged(refs: DataFrame, runs: DataFrame) -> DataFrame:
     """refs (key, at, ...) that the run before them does not clear, with reason: missing, deleted, late, or open where only the key itself can tell."""
-    seen = refs.withColumn("page", F.shiftright("key", PAGE)).join(run_pages(runs), "page", "left")
+    pages = store(run_pages(runs), "pages")  # a table of known size, so that the planner can send it to the references
+    seen = refs.withColumn("page", F.shiftright("key", PAGE)).join(pages, "page", "left")
     seen = seen.withColumn("run", F.try_element_at(F.filter("runs", lambda r: r["first"] <= F.col("key")), F.lit(-1)))
     inside = F.coalesce(F.col("key") <= F.col("run.last"), F.lit(False))
     reason = F.when(~inside, "missing").when(~F.col("run.alive"), "deleted").when(F.col("at") < F.col("run.low"), "late").when(F.col("at") < F.col("run.high"), "open")
