@@ -49,11 +49,12 @@ def run_pages(runs: DataFrame) -> DataFrame:
 def judged(refs: DataFrame, runs: DataFrame) -> DataFrame:
     """refs (key, at, ...) that the run before them does not clear, with reason: missing, deleted, late, or open where only the key itself can tell."""
     pages = store(run_pages(runs), "pages")  # a table of known size, so that the planner can send it to the references
+    key, at = F.col("key"), F.col("at")
     seen = refs.withColumn("page", F.shiftright("key", PAGE)).join(pages, "page", "left")
-    seen = seen.withColumn("run", F.try_element_at(F.filter("runs", lambda r: r["first"] <= F.col("key")), F.lit(-1)))
-    inside = F.coalesce(F.col("key") <= F.col("run.last"), F.lit(False))
-    reason = F.when(~inside, "missing").when(~F.col("run.alive"), "deleted").when(F.col("at") < F.col("run.low"), "late").when(F.col("at") < F.col("run.high"), "open")
-    return seen.select(*refs.columns, reason.alias("reason")).filter("reason IS NOT NULL")
+    # The runs are in order, so what the last one that starts at or before the key says is what stays.
+    says = lambda r: F.when(key > r["last"], "missing").when(~r["alive"], "deleted").when(at < r["low"], "late").when(at < r["high"], "open").otherwise("clear")
+    reason = F.aggregate("runs", F.lit("missing"), lambda so_far, r: F.when(r["first"] > key, so_far).otherwise(says(r)))
+    return seen.select(*refs.columns, F.coalesce(reason, F.lit("missing")).alias("reason")).filter("reason <> 'clear'")
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
