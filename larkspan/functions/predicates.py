@@ -75,9 +75,12 @@ def source_file(path: Column | str, ignore_case: bool = True) -> Column:
     return ~(p.endswith(".g.cs") | p.endswith(".designer.cs") | (p.contains("/obj/") if ignore_case else F.lit(False)))
 
 
-def suppression(in_pragma: Column, project_option: Column, enabled_by_default: Column) -> Column:
-    """Why a diagnostic is suppressed: pragma, then project settings, then disabled by default, else null."""
-    return F.when(in_pragma, "pragma").when(F.lower(project_option) == "suppress", "project").when(~enabled_by_default, "disabled by default")
+def suppression(ident: Column | str, in_source: Column, project_option: Column, enabled_by_default: Column, default_severity: Column) -> Column:
+    """Why a diagnostic is suppressed, null if it is not: by a pragma or attribute; by the project, if it sets the id to Suppress or Hidden (letter case ignored); or, for ids that
+    begin with CA and for which the project sets nothing (a null option), because the rule is off or hidden by default."""
+    by_project = F.lower(project_option).isin("suppress", "hidden")
+    by_default = _c(ident).startswith("CA") & project_option.isNull() & (~enabled_by_default | (F.lower(default_severity) == "hidden"))
+    return F.when(in_source, "pragma/attribute").when(by_project, "project settings").when(by_default, "disabled by default")
 
 
 def near_location(line: Column | str, column: Column | str, at_line: int, at_column: int, tolerance: int = 5) -> Column:
@@ -120,8 +123,12 @@ def file_matches(path: Column | str, part: str | None) -> Column:
     return F.lit(True) if not part else F.lower(base_name(path)).contains(part.lower()) | F.lower(_c(path)).contains(part.lower())
 
 
+# The marks of a project with a window toolkit.
+WPF_MARKS = r"<usewpf>true</usewpf>|presentationcore|presentationframework|\.xaml"
+
+
 def wpf_project(text: Column | str) -> Column:
-    return F.lower(_c(text)).rlike(r"<usewpf>true</usewpf>|presentationcore|presentationframework|\.xaml")
+    return F.lower(_c(text)).rlike(WPF_MARKS)
 
 
 def valid_category(column: Column | str, vocabulary: list[str]) -> Column:

@@ -102,7 +102,8 @@ def relative_path(path: Column | str, root: str) -> Column:
     """The path below root with / as separator; letter case of the root ignored."""
     p = F.regexp_replace(_c(path), r"\\", "/")
     base = root.replace("\\", "/").rstrip("/")
-    return F.when(F.lower(p).startswith(base.lower()), F.regexp_replace(F.substring(p, len(base) + 1, 1 << 30), "^/+", "")).otherwise(p)
+    below = (F.lower(p) == base.lower()) | F.lower(p).startswith(base.lower() + "/")  # /a/repo2 is not below /a/repo
+    return F.when(below, F.regexp_replace(F.substring(p, len(base) + 1, 1 << 30), "^/+", "")).otherwise(p)
 
 
 def base_name(path: Column | str) -> Column:

@@ -58,9 +58,10 @@ def upsert_hash(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def get_or_create(solutions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every wanted path (path, name) with its solution's id; unknown ones get one by the hash of the path."""
-    known = solutions.select(F.lower("path").alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
-    asked = wanted.withColumn("key", F.lower(F.regexp_replace("path", r"\\", "/"))).dropDuplicates(["key"])
+    """Every wanted path (path, name) with its solution's id; unknown ones get one by the hash of the path. Letter case and the kind of slash are ignored."""
+    key = F.lower(F.regexp_replace("path", r"\\", "/"))
+    known = solutions.select(key.alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
+    asked = wanted.withColumn("key", key).dropDuplicates(["key"])
     return asked.join(known, "key", "left").select("path", "name", F.coalesce("id", F.xxhash64("key")).alias("id"), F.col("id").isNull().alias("created"))
 
 
@@ -69,20 +70,23 @@ def known_hashes(symbols: DataFrame) -> DataFrame:
     return symbols.filter("file_hash IS NOT NULL").groupBy(F.lower("file_path").alias("file_key")).agg(F.min_by("file_hash", "id").alias("file_hash"))
 
 
-def refresh(symbols: DataFrame, edges: DataFrame, stale_paths: DataFrame, rebuilt_symbols: DataFrame, rebuilt_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols of stale files are replaced by the rebuilt ones, and edges are carried by qualified name, so that calls from files that did not change stay.
+def refresh(symbols: DataFrame, edges: DataFrame, stale_files: DataFrame, rebuilt_symbols: DataFrame, rebuilt_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols of stale files are replaced by the rebuilt ones, and edges into them are led to the symbol that has the same name in the same solution now.
 
-    rebuilt_edges is (src_name, dst_name, edge_type). Only edges out of a stale symbol are dropped; an edge into one is resolved again.
+    stale_files is (solution_id, file_path), rebuilt_edges (solution_id, src_name, dst_name, edge_type). Edges between symbols that stay keep their ids, whatever their
+    names; edges out of a stale symbol go, as its file was analysed again; an edge into one goes if no symbol of its solution has the name any more. If several symbols of
+    a solution have a name, the smallest id stands for it.
     """
-    old = symbols.join(stale_paths.select("file_path"), "file_path", "left_semi")
-    kept = symbols.join(stale_paths.select("file_path"), "file_path", "left_anti").unionByName(rebuilt_symbols)
-    names = symbols.select("id", "qualified_name")
-    named = edges.join(old.select(F.col("id").alias("src")), "src", "left_anti")
-    named = named.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst").select("src_name", "dst_name", "edge_type")
-    every = named.unionByName(rebuilt_edges).distinct()
-    ids = kept.groupBy("qualified_name").agg(F.min("id").alias("id"))
-    out = every.join(ids.select(F.col("qualified_name").alias("src_name"), F.col("id").alias("src")), "src_name").join(ids.select(F.col("qualified_name").alias("dst_name"), F.col("id").alias("dst")), "dst_name")
-    return kept, out.select("src", "dst", "edge_type").distinct()
+    stale = stale_files.select("solution_id", "file_path").distinct()
+    old = symbols.join(stale, ["solution_id", "file_path"], "left_semi").select("id", "solution_id", "qualified_name").distinct()
+    kept = symbols.join(stale, ["solution_id", "file_path"], "left_anti").unionByName(rebuilt_symbols)
+    ids = kept.filter("qualified_name IS NOT NULL").groupBy("solution_id", "qualified_name").agg(F.min("id").alias("now"))
+    staying = edges.join(old.select(F.col("id").alias("src")), "src", "left_anti")
+    calm = staying.join(old.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "edge_type")
+    into = staying.join(old.withColumnRenamed("id", "dst"), "dst").join(ids, ["solution_id", "qualified_name"]).select("src", F.col("now").alias("dst"), "edge_type")
+    end = lambda c: ids.select("solution_id", F.col("qualified_name").alias(f"{c}_name"), F.col("now").alias(c))
+    made = rebuilt_edges.join(end("src"), ["solution_id", "src_name"]).join(end("dst"), ["solution_id", "dst_name"]).select("src", "dst", "edge_type")
+    return kept, calm.unionByName(into).unionByName(made).distinct()
 
 
 def latest(rows: DataFrame, key: list[str], at: str) -> DataFrame:

@@ -103,6 +103,24 @@ def fix_counts(fixes: DataFrame) -> DataFrame:
     return fixes.agg(F.count("*").alias("found"), F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("failed"), F.count_distinct(F.when(F.col("applied"), F.col("file"))).alias("files"))
 
 
+def gathered(*parts: DataFrame) -> DataFrame:
+    """The diagnostics of several producers as one bag: nothing is taken out."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def by_file(diagnostics: DataFrame) -> DataFrame:
+    """(file, n, first, last) of the diagnostics of each file: their number and their first and last line; those without a file are left out."""
+    return diagnostics.filter("file IS NOT NULL").groupBy("file").agg(F.count("*").alias("n"), F.min("line").alias("first"), F.max("line").alias("last"))
+
+
+def batch(diagnostics: DataFrame, ident: str, most: int = 100) -> DataFrame:
+    """The first `most` diagnostics of the id, in order of arrival: what one batch of fixes takes on."""
+    return detail(diagnostics, ident, most)
+
+
 def change_impact(changes: DataFrame) -> DataFrame:
     """Files affected and text changes of changes (file, n)."""
     return changes.agg(F.count_distinct("file").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("changes"))
@@ -113,6 +131,18 @@ def positions(places: DataFrame, line_starts: DataFrame) -> DataFrame:
     return places.join(line_starts, ["file", "line"]).select("key", "file", (F.col("start") + F.col("col_no") - 1).alias("at"))
 
 
-def symbol_at(places: DataFrame, line_starts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, name) of the smallest declared span (file, first, last, name) around each place."""
-    return enclosing(positions(places, line_starts), spans, 4096)
+def symbol_at(places: DataFrame, line_starts: DataFrame, spans: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(key, name) of the symbol at each place (key, file, line, col_no), by the first of three ways that gives one.
+
+    A declared span (file, first, last, name) that starts exactly there; the smallest span around the start of the token (file, first, last, name may be null) that covers the
+    place; the smallest span around the place itself. Spans with a null name declare nothing. Places outside all spans are left out.
+    """
+    at = positions(places, line_starts)
+    named = spans.filter("name IS NOT NULL")
+    exact = at.join(named.groupBy("file", F.col("first").alias("at")).agg(F.min_by("name", F.struct(F.col("last") - F.col("first"), F.col("name"))).alias("name")), ["file", "at"]).select("key", "name", F.lit(0).alias("way"))
+    found = exact.unionByName(enclosing(at, named, 4096).withColumn("way", F.lit(2)))
+    if tokens is not None:
+        starts = enclosing(at, tokens.select("file", "first", "last", F.col("first").cast("string").alias("name")), 4096)
+        moved = at.join(starts.withColumnRenamed("name", "start"), "key").select("key", "file", F.col("start").cast("bigint").alias("at"))
+        found = found.unionByName(enclosing(moved, named, 4096).withColumn("way", F.lit(1)))
+    return found.groupBy("key").agg(F.min_by("name", "way").alias("name"))

@@ -16,8 +16,8 @@ EXTERNAL = "external"
 
 
 def live_symbols(symbols: DataFrame) -> DataFrame:
-    """Symbols that were not removed, repeated rows once."""
-    return symbols.filter("removed_at IS NULL").drop("removed_at", "added_at").distinct()
+    """Symbols that were not removed, a row for each id: what lives under an id is one symbol, however often it is repeated. Only the columns a query uses are read and shuffled."""
+    return symbols.filter("removed_at IS NULL").drop("removed_at", "added_at").dropDuplicates(["id"])
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -34,30 +34,42 @@ def neighbours(symbols: DataFrame, edges: DataFrame, ids: list[int], callers: bo
     return e.select(F.col(to).alias("id"), F.col(at).alias("target"), "edge_type").join(symbols, "id")
 
 
+IN_LIST = 1000  # ids that are sent to a scan as a list of values
+
+
 def reach(edges: DataFrame, seeds: DataFrame, callers: bool = True, max_depth: int = -1, edge_type: str | None = None) -> DataFrame:
     """(id, depth) of everything reached from the seeds (id) within max_depth steps, all if negative; never the seeds themselves.
 
-    Level by level: the frontier joins the edges, what was visited is taken out, and each level is a table in the shared folder, so that neither the plan
-    nor a lost executor makes the walk start again, and the planner knows how small a frontier is: then the edges are not shuffled. Each vertex is
-    expanded once, so cycles end and no walk is counted twice.
+    Level by level, each a table in the shared folder, so that neither the plan nor a lost executor makes the walk start again. The edges are only read: a frontier of
+    few ids goes to their scan as a filter, which skips row groups (and, in a table that bucketed() wrote, buckets), a larger one is joined with them, and the
+    planner knows how large it is. Each vertex is expanded once, so cycles end and no walk is counted twice. Edges may be repeated; those with a null end are none.
     """
     at, to = ("dst", "src") if callers else ("src", "dst")
-    used = edges if edge_type is None else edges.filter(F.col("edge_type") == edge_type)
-    used = store(used.select(F.col(at).alias("id"), F.col(to).alias("next")).distinct(), "edges")
+    used = edges.filter(F.col(at).isNotNull() & F.col(to).isNotNull())
+    used = (used if edge_type is None else used.filter(F.col("edge_type") == edge_type)).select(F.col(at).alias("id"), F.col(to).alias("next"))
     visited = store(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "visited")
     frontier, depth = visited, 0
     while max_depth < 0 or depth < max_depth:
+        few = [r["id"] for r in frontier.select("id").limit(IN_LIST + 1).collect()]
+        if not few:
+            break
         depth += 1
-        found = used.join(frontier.select("id"), "id").select(F.col("next").alias("id")).distinct()
+        out = used.filter(F.col("id").isin(few)) if len(few) <= IN_LIST else used.join(frontier.select("id"), "id")
+        found = out.select(F.col("next").alias("id")).distinct()
         frontier = store(found.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            break
         visited = visited.unionByName(frontier)
         if depth % 8 == 0:  # else a long walk would read a table for each of its levels
             visited = store(visited, "visited")
     return visited.filter("depth > 0")
 
 
+def bucketed(edges: DataFrame, name: str, path: str, buckets: int, by: str = "dst") -> DataFrame:
+    """edges, each once, as a table bucketed and sorted by one end, made once per store: walks and neighbour queries then read only the buckets of the ids they ask for, and joins on
+    that end need no shuffle."""
+    edge_set(edges).write.bucketBy(buckets, by).sortBy(by).option("path", path).mode("overwrite").saveAsTable(name)
+    return edges.sparkSession.table(name)
+
+
 def reached_symbols(symbols: DataFrame, reached: DataFrame) -> DataFrame:
     return symbols.join(reached, "id")
 
@@ -187,6 +199,34 @@ def symbols_where(symbols: DataFrame, solution: int, kind: str | None = None, st
     return s if status is None else s.filter(F.col("status") == status)
 
 
+def lookup(rows: DataFrame, **values) -> DataFrame:  # noqa: ANN003
+    """Rows whose columns equal the values given; a None asks for null. The filters reach the scan."""
+    for column, value in values.items():
+        rows = rows.filter(F.col(column).isNull() if value is None else F.col(column) == value)
+    return rows
+
+
+def by_ids(symbols: DataFrame, ids: DataFrame) -> DataFrame:
+    """The symbols of the ids (id)."""
+    return symbols.join(ids.select("id"), "id", "left_semi")
+
+
+def ids_of_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id) of the symbols in the files (file_path)."""
+    return symbols.join(files.select("file_path"), "file_path", "left_semi").select("id")
+
+
+def has_file(symbols: DataFrame, path: str) -> DataFrame:
+    """One row, present: whether a symbol lies in the file. Ends at the first one found."""
+    return symbols.filter(F.col("file_path") == path).select("file_path").limit(1).agg((F.count("*") > 0).alias("present"))
+
+
+def file_list(symbols: DataFrame, solution: int | None = None) -> DataFrame:
+    """(file_path) of every file that has a symbol, once, external ones left out."""
+    s = symbols if solution is None else symbols.filter(F.col("solution_id") == solution)
+    return s.filter(F.col("file_path") != EXTERNAL).select("file_path").distinct()
+
+
 def mark_dirty(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols of the files (file_path) become Dirty."""
     hit = files.select("file_path", F.lit(True).alias("hit")).distinct()

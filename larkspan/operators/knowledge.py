@@ -5,7 +5,10 @@ entries has id, category, title, content, embedding, confidence, updated_at; lin
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -60,24 +63,15 @@ def scaled(hits: DataFrame) -> DataFrame:
     return hits.crossJoin(F.broadcast(ends)).select("id", value.alias("score"))
 
 
-def cosine(column: str, query: list[float]):  # noqa: ANN201
-    """Cosine of a vector column with a query, in double precision; null for vectors of another length, of length zero or with parts that are not finite."""
-    q = np.asarray(query, dtype=np.float64)
-    q = q / np.linalg.norm(q)
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            fits = np.array([v is not None and len(v) == len(q) for v in s], dtype=bool)
-            out = np.full(len(s), np.nan)
-            if fits.any():
-                m = np.array([np.asarray(v, dtype=np.float64) for v, f in zip(s, fits, strict=True) if f])
-                norm = np.linalg.norm(m, axis=1)
-                with np.errstate(all="ignore"):
-                    out[fits] = np.where((norm > 0) & np.isfinite(norm), m @ q / norm, np.nan)
-            yield pd.Series(out).astype(object).where(~np.isnan(out), None)
-
-    return run(F.col(column))
+def cosine(column: str, query: list[float]) -> Column:
+    """Cosine of a vector column with a query, in double precision, inside the JVM; null for vectors of another length, of length zero or with parts that are null or not finite."""
+    length = sum(x * x for x in query) ** 0.5
+    q = F.array(*[F.lit(float(x) / length) for x in query])
+    v = F.transform(F.col(column), lambda x: x.cast("double"))
+    both = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    usable = (F.size(F.col(column)) == len(query)) & (own > 0) & (own < float("inf"))
+    return F.when(usable, both / own)
 
 
 def vector_hits(entries: DataFrame, query: list[float], floor: float = 0.3, most: int = 20) -> DataFrame:
@@ -154,8 +148,11 @@ def known_symbols(symbols: DataFrame, links: DataFrame) -> DataFrame:
     return below.select("id").unionByName(above.select("id")).distinct()
 
 
-def add_entries(entries: DataFrame, links: DataFrame, tags: DataFrame, new: DataFrame, as_of: str, categories: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """new (category, title, content, symbols, tags, embedding) added: unknown categories fail the job, ids come from a hash, links are of type about, tags in lower case."""
+def add_entries(entries: DataFrame, links: DataFrame, tags: DataFrame, new: DataFrame, as_of: str, categories: tuple[str, ...], embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """new (category, title, content, symbols, tags, and embedding unless an embedder makes it of title and content) added: unknown categories fail the job, ids come from a hash,
+    links are of type about, tags in lower case."""
+    if embedder is not None:
+        new = embedded(new, F.concat_ws("\n", "title", "content"), embedder)
     bad = F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce("category", F.lit("null"))))
     ok = new.withColumn("category", F.when(F.lower("category").isin(*categories), F.col("category")).otherwise(bad))
     ok = ok.withColumn("id", F.xxhash64("title", "content"))
@@ -171,17 +168,29 @@ def delete_entry(entries: DataFrame, links: DataFrame, tags: DataFrame, ident: i
     return entries.filter(F.col("id") != ident), links.filter(F.col("knowledge_id") != ident), tags.filter(F.col("knowledge_id") != ident)
 
 
-def encode_vector(column: str):  # noqa: ANN201
-    """float array to little-endian bytes."""
+def encode_vector(column: str) -> Column:
+    """Float array to little-endian bytes. The bits of an IEEE float are put together from its sign, exponent and fraction, which the JVM's hexadecimal form does not give away;
+    so this is one Arrow pass over whole columns."""
 
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+        kept = [v for v in s if v is not None]
+        raw = np.concatenate([np.asarray(v, dtype="<f4") for v in kept]).tobytes() if kept else b""
+        ends = iter(np.cumsum([0, *(4 * len(v) for v in kept)]).tolist())
+        low, out = next(ends), []
+        for v in s:
+            if v is None:
+                out.append(None)
+            else:
+                high = next(ends)
+                out.append(raw[low:high])
+                low = high
+        return pd.Series(out, dtype=object)
 
     return run(F.col(column))
 
 
-def decode_vector(column: str):  # noqa: ANN201
+def decode_vector(column: str) -> Column:
     """Little-endian bytes to float array."""
 
     @F.pandas_udf("array<float>")
@@ -189,3 +198,48 @@ def decode_vector(column: str):  # noqa: ANN201
         return s.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
     return run(F.col(column))
+
+
+class Embedder(Protocol):
+    """What turns texts into vectors: a name, a number of dimensions, and embed(texts) -> (n, dimensions) floats. It is sent to the executors, so it must be picklable."""
+
+    name: str
+    dimensions: int
+
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class HashingEmbedder:
+    """A deterministic embedder without a model: signed counts of words hashed into the dimensions, of unit length; a text without words is the zero vector."""
+
+    def __init__(self, dimensions: int = 384):
+        self.dimensions, self.name = dimensions, f"hashing-{dimensions}"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions), np.float32)
+        for i, text in enumerate(texts):
+            for w in re.findall(r"[^\W_]+", text.lower()):
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                out[i, (h >> 1) % self.dimensions] += 1 if h & 1 else -1
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, length, out=out, where=length > 0)
+
+
+def embedded(rows: DataFrame, text: Column, embedder: Embedder) -> DataFrame:
+    """rows with embedding and embedding_model of the text; a null text has neither. Texts go to the embedder in whole Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            there = s.notna().to_numpy()
+            vectors = iter(embedder.embed(s[there].tolist())) if there.any() else iter(())
+            yield pd.Series([next(vectors) if t else None for t in there], dtype=object)
+
+    return rows.withColumn("embedding", run(text)).withColumn("embedding_model", F.when(F.col("embedding").isNotNull(), F.lit(embedder.name)))
+
+
+def similarity_search(entries: DataFrame, text: str, embedder: Embedder, floor: float = 0.3, most: int = 20) -> DataFrame:
+    """vector_hits of a query text among the entries of the embedder's model; none for a text without words."""
+    vector = embedder.embed([text])[0].tolist()
+    own = entries.filter(F.col("embedding_model") == embedder.name)
+    return vector_hits(own, vector, floor, most) if any(vector) else own.select("id", F.lit(0.0).alias("score")).filter("false")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.plans.lineage import checkpoint
+from larkspan.plans.lineage import checkpoint, drop, store
 
 
 def in_order(members: DataFrame) -> DataFrame:
@@ -13,40 +13,76 @@ def in_order(members: DataFrame) -> DataFrame:
     return members.orderBy("type_name", F.when(F.col("kind") == "Constructor", 0).otherwise(1), "kind", "name")
 
 
-def with_inherited(members: DataFrame, bases: DataFrame, most: int = 64) -> DataFrame:
-    """members (type_name, name, kind) of each type with those of its bases (type_name, base), and inherited_from: the nearest base, null for its own.
+def ancestors(bases: DataFrame) -> DataFrame:
+    """(type_name, base, level) of every base above a type, the nearest first at level 1; bases is (type_name, base). A cycle ends where it closes.
 
-    A member that a nearer type has is hidden; constructors are not inherited. Chains are walked a level at a time; a cycle ends where it closes.
+    Each round joins the chains with themselves and so doubles their reach, until nothing new is reached: the rounds grow with the logarithm of the longest chain.
     """
-    have = checkpoint(members.select("type_name", "name", "kind", F.lit(None).cast("string").alias("inherited_from")).distinct())
-    step = checkpoint(bases.select("type_name", "base").filter("type_name <> base").distinct())
-    seen = step
-    for _ in range(most):
-        found = step.join(members.filter("kind <> 'Constructor'").select(F.col("type_name").alias("base"), "name", "kind"), "base")
-        new = found.select("type_name", "name", "kind", F.col("base").alias("inherited_from")).dropDuplicates(["type_name", "name", "kind"])
-        have = checkpoint(have.unionByName(new.join(have.select("type_name", "name", "kind"), ["type_name", "name", "kind"], "left_anti")))
-        up = step.join(bases.select(F.col("type_name").alias("base"), F.col("base").alias("next")), "base").select("type_name", F.col("next").alias("base"))
-        step = checkpoint(up.filter("type_name <> base").distinct().join(seen, ["type_name", "base"], "left_anti"))
-        if step.isEmpty():
+    have = store(bases.select("type_name", "base", F.lit(1).alias("level")).filter("type_name <> base").distinct(), "bases")
+    n = have.count()
+    while n:
+        further = have.select("type_name", F.col("base").alias("via"), F.col("level").alias("l1")).join(have.select(F.col("type_name").alias("via"), "base", F.col("level").alias("l2")), "via")
+        further = further.filter("type_name <> base").select("type_name", "base", (F.col("l1") + F.col("l2")).alias("level"))
+        old, have = have, store(have.unionByName(further).groupBy("type_name", "base").agg(F.min("level").alias("level")), "bases")
+        before, n = n, have.count()
+        drop(old)
+        if n == before:
             break
-        seen = seen.unionByName(step)
     return have
 
 
+def with_inherited(members: DataFrame, bases: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
+    """members of each type with those of all its bases (type_name, base) and inherited_from, the base they come from, null for the type's own.
+
+    members: type_name, name, kind, is_virtual, is_abstract, is_override, and others, all of which are kept; a signature tells overloads apart for interfaces. A base's virtual or
+    abstract method is left out if the type itself, not one between, overrides a method of that name, whatever its parameters; everything else of a base comes
+    out, also what a nearer type hides, and constructors. interfaces (type_name, interface) adds the members of each interface of a type that neither the type nor a
+    base of it has by name, kind and signature. Repeated rows count once; a base without members adds nothing. Chains have any length.
+    """
+    own = members.distinct()
+    above = ancestors(bases)
+    overridden = own.filter("kind = 'Method' AND is_override").select("type_name", "name").distinct()
+    found = above.select("type_name", "base").join(own.withColumnRenamed("type_name", "base"), "base")
+    open_method = (F.col("kind") == "Method") & (F.coalesce("is_virtual", F.lit(False)) | F.coalesce("is_abstract", F.lit(False)))
+    hit = overridden.withColumn("hit", F.lit(True))
+    found = found.join(hit, ["type_name", "name"], "left").filter(~(open_method & F.col("hit").isNotNull())).drop("hit")
+    out = own.withColumn("inherited_from", F.lit(None).cast("string")).unionByName(found.withColumnRenamed("base", "inherited_from"))
+    if interfaces is not None:
+        key = ["type_name", "name", "kind", "signature"]
+        wanted = interfaces.select("type_name", F.col("interface").alias("inherited_from")).distinct().join(own.withColumnRenamed("type_name", "inherited_from"), "inherited_from")
+        has = own.select(*key).unionByName(above.select("type_name", "base").join(own.withColumnRenamed("type_name", "base"), "base").select(*key)).distinct()
+        out = out.unionByName(wanted.join(has, key, "left_anti").select(*out.columns))
+    return out
+
+
 def insert_index(members: DataFrame) -> DataFrame:
-    """Per type of members (type_name, kind, pos): where a new field, constructor, property and method goes.
+    """Per type of members (type_name, kind, pos from 0 without gaps), the place where a new member goes.
 
-    After the last of its kind, else after the kinds that stand before it; methods stand last, and a property without a precursor goes before the first method.
+    after_fields, after_constructors and after_properties stand behind the last of their kind; without one, properties go where constructors would, constructors where fields would,
+    fields to the start. before_methods is the place of the first method, else the end. Fields, constructors and properties go behind their kind, all others to the end.
     """
     after = lambda k: F.max(F.when(F.col("kind") == k, F.col("pos"))) + 1
+    start, end = F.lit(0).cast("long"), F.count("*")
     field, ctor, prop = after("Field"), after("Constructor"), after("Property")
-    first_method = F.min(F.when(F.col("kind") == "Method", F.col("pos")))
-    c = F.coalesce(ctor, field, F.lit(0))
     return members.groupBy("type_name").agg(
-        F.coalesce(field, F.lit(0)).alias("field_at"), c.alias("constructor_at"), F.coalesce(prop, ctor, field, first_method, F.lit(0)).alias("property_at"), (F.max("pos") + 1).alias("method_at")
+        start.alias("start"),
+        end.alias("end"),
+        F.coalesce(field, start).alias("after_fields"),
+        F.coalesce(ctor, field, start).alias("after_constructors"),
+        F.coalesce(prop, ctor, field, start).alias("after_properties"),
+        F.coalesce(F.min(F.when(F.col("kind") == "Method", F.col("pos"))), end).alias("before_methods"),
     )
 
 
+def insert_at(places: DataFrame, kind: str | None = None, point: str | None = None) -> DataFrame:
+    """(type_name, at) of insert_index for a new member of the kind, or at the point start, end, after-fields, after-constructors, after-properties or before-methods (any letter
+    case; an unknown point is the end)."""
+    points = {p.replace("_", "-"): p for p in ("start", "end", "after_fields", "after_constructors", "after_properties", "before_methods")}
+    kinds = {"Field": "after_fields", "Constructor": "after_constructors", "Property": "after_properties"}
+    column = points.get(point.lower(), "end") if point else kinds.get(kind or "", "end")
+    return places.select("type_name", F.col(column).alias("at"))
+
+
 def build_order(projects: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(name, level): 0 without dependencies (name, needs), else one more than the highest it needs. Projects on a cycle, or behind one, have a null level.
 

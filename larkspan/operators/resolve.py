@@ -9,11 +9,12 @@ from larkspan.functions.predicates import partial_name
 from larkspan.functions.text import parameters
 
 
-def _result(hits: DataFrame) -> DataFrame:
-    """One row: status found, ambiguous or not_found, the id if found, and the candidates' names in order."""
-    one = hits.agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sort_array(F.collect_list("qualified_name")).alias("candidates"))
+def _result(hits: DataFrame, most: int = 100) -> DataFrame:
+    """One row: status found, ambiguous or not_found, the id if found, the number of candidates n, and the names of the first candidates in order; the list is cut, the number is not."""
+    one = hits.agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    first = hits.select("qualified_name").orderBy("qualified_name").limit(most).agg(F.sort_array(F.collect_list("qualified_name")).alias("candidates"))
     status = F.when(F.col("n") == 0, "not_found").when(F.col("n") == 1, "found").otherwise("ambiguous")
-    return one.select(status.alias("status"), F.when(F.col("n") == 1, F.col("id")).alias("id"), "n", "candidates")
+    return one.crossJoin(F.broadcast(first)).select(status.alias("status"), F.when(F.col("n") == 1, F.col("id")).alias("id"), "n", "candidates")  # a row each
 
 
 def _best_tier(tiers: list[DataFrame]) -> DataFrame:

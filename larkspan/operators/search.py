@@ -29,6 +29,11 @@ def suggestions(symbols: DataFrame, pattern: str, most: int = 5) -> DataFrame:
     return scored.orderBy("score", "name").limit(most).withColumn("label", suggestion_label(pattern, "name"))
 
 
+def first_per_name(symbols: DataFrame) -> DataFrame:
+    """(id, name): the smallest id of each name, letter case ignored."""
+    return symbols.filter("name IS NOT NULL").groupBy(F.lower("name").alias("key")).agg(F.min(F.struct("id", "name")).alias("r")).select("r.*")
+
+
 def callers_page(callers: DataFrame, most: int, offset: int = 0, project: str | None = None, file: str | None = None) -> DataFrame:
     """A page of callers by file, line and id, with the total after filtering and a compact line for each."""
     kept = callers.filter(graph_path("file_path", project) & graph_path("file_path", file, file_only=True))

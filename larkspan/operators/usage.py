@@ -37,6 +37,13 @@ def by_tool(calls: DataFrame, tool_filter: str | None = None) -> DataFrame:
     )
 
 
+def token_figures(calls: DataFrame) -> DataFrame:
+    """One row over the calls that have output tokens: their number, input and output tokens, and the mean speed."""
+    has = calls.filter("outputTokens IS NOT NULL")
+    s = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).cast("bigint")
+    return has.agg(F.count("*").alias("calls"), s("inputTokens").alias("input_tokens"), s("outputTokens").alias("output_tokens"), F.bround(F.avg(F.coalesce("tokensPerSecond", F.lit(0.0))), 1).alias("avg_speed"))
+
+
 def report(calls: DataFrame, tool_filter: str | None = None) -> str:
     """The report as Markdown: two small aggregates are collected, a row and a row for each tool."""
     t = totals(calls).first()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspan.plans import graph_queries, record_queries, reference_queries
+from larkspan.plans import build_queries, graph_queries, record_queries, reference_queries
 
-OPERATORS: dict = {**graph_queries.OPERATORS, **record_queries.OPERATORS, **reference_queries.OPERATORS}
+OPERATORS: dict = {**graph_queries.OPERATORS, **record_queries.OPERATORS, **build_queries.OPERATORS, **reference_queries.OPERATORS}
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import predicates as P
@@ -45,9 +45,9 @@ def direct_callees(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(sym(spark, d), edg(spark, d), [OTHER], callers=False).select("id", "name", "qualified_name", "edge_type")
 
 
-@_add("callers_by_edge_type", f"SELECT s.id, name FROM edg JOIN sym s ON s.id = src WHERE dst = {HUB} AND edge_type = 'Reads'")
+@_add("callers_by_edge_type", f"SELECT s.id, name FROM edg JOIN sym s ON s.id = src WHERE dst = {HUB} AND edge_type = 'Calls'")
 def callers_by_edge_type(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(sym(spark, d), edg(spark, d), [HUB], edge_type="Reads").select("id", "name")
+    return graph.neighbours(sym(spark, d), edg(spark, d), [HUB], edge_type="Calls").select("id", "name")
 
 
 def _seed(spark: SparkSession, i: int) -> DataFrame:
@@ -62,29 +62,29 @@ def _walk(at: str, to: str, seed: int, depth: int | None, where: str = "") -> st
 
 @_add("recursive_callers_d3", _walk("dst", "src", OTHER, 3) + "SELECT s.id, qualified_name, depth FROM r JOIN sym s USING (id)")
 def recursive_callers_d3(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.reach(edg(spark, d), _seed(spark, OTHER), max_depth=3)
+    found = graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), max_depth=3)
     return graph.reached_symbols(sym(spark, d), found).select("id", "qualified_name", "depth")
 
 
 @_add("recursive_callees_d3", _walk("src", "dst", OTHER, 3) + "SELECT s.id, qualified_name, depth FROM r JOIN sym s USING (id)")
 def recursive_callees_d3(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.reach(edg(spark, d), _seed(spark, OTHER), callers=False, max_depth=3)
+    found = graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), callers=False, max_depth=3)
     return graph.reached_symbols(sym(spark, d), found).select("id", "qualified_name", "depth")
 
 
 @_add("recursive_callers_all", _walk("dst", "src", OTHER, None) + "SELECT s.id, qualified_name FROM r JOIN sym s USING (id)")
 def recursive_callers_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reached_symbols(sym(spark, d), graph.reach(edg(spark, d), _seed(spark, OTHER))).select("id", "qualified_name")
+    return graph.reached_symbols(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER))).select("id", "qualified_name")
 
 
 @_add("recursive_callers_typed", _walk("dst", "src", OTHER, None, " AND edge_type = 'Calls'") + "SELECT s.id FROM r JOIN sym s USING (id)")
 def recursive_callers_typed(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reached_symbols(sym(spark, d), graph.reach(edg(spark, d), _seed(spark, OTHER), edge_type="Calls")).select("id")
+    return graph.reached_symbols(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), edge_type="Calls")).select("id")
 
 
 @_add("transitive_caller_files", _walk("dst", "src", OTHER, None) + "SELECT min(file_path) AS file_path FROM r JOIN sym s USING (id) WHERE file_path <> 'external' GROUP BY lower(file_path)")
 def transitive_caller_files(spark: SparkSession, d: str) -> DataFrame:
-    return graph.caller_files(sym(spark, d), graph.reach(edg(spark, d), _seed(spark, OTHER)))
+    return graph.caller_files(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER)))
 
 
 @_add("no_caller_symbols", "SELECT id, kind, qualified_name FROM sym WHERE file_path <> 'external' AND NOT EXISTS (SELECT 1 FROM edg WHERE dst = sym.id)")
@@ -139,24 +139,34 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 # filters and lookups
 @_add("symbols_by_kind_status", "SELECT id, name FROM sym WHERE solution_id = 1 AND kind = 'Method' AND status = 'Analyzed'")
 def symbols_by_kind_status(spark: SparkSession, d: str) -> DataFrame:
-    return sym(spark, d).filter("solution_id = 1 AND kind = 'Method' AND status = 'Analyzed'").select("id", "name")
+    return graph.symbols_where(sym(spark, d), 1, "Method", "Analyzed").select("id", "name")
 
 
 @_add("symbols_by_ids", "SELECT id, qualified_name FROM sym WHERE id IN (SELECT src FROM edg WHERE edge_type = 'Writes')")
 def symbols_by_ids(spark: SparkSession, d: str) -> DataFrame:
     ids = edg(spark, d).filter("edge_type = 'Writes'").select(F.col("src").alias("id"))
-    return sym(spark, d).join(ids, "id", "left_semi").select("id", "qualified_name")
+    return graph.by_ids(sym(spark, d), ids).select("id", "qualified_name")
 
 
 @_add("symbol_ids_for_files", "SELECT id FROM sym WHERE file_path IN (SELECT file_path FROM sym WHERE kind = 'Constructor')")
 def symbol_ids_for_files(spark: SparkSession, d: str) -> DataFrame:
     s = sym(spark, d)
-    return s.join(s.filter("kind = 'Constructor'").select("file_path"), "file_path", "left_semi").select("id")
+    return graph.ids_of_files(s, s.filter("kind = 'Constructor'"))
 
 
 @_add("file_in_graph", "SELECT count(*) > 0 AS present FROM sym WHERE file_path = 'external'")
 def file_in_graph(spark: SparkSession, d: str) -> DataFrame:
-    return sym(spark, d).filter("file_path = 'external'").agg((F.count("*") > 0).alias("present"))
+    return graph.has_file(sym(spark, d), "external")
+
+
+@_add("symbols_by_file", "SELECT id, line FROM sym WHERE solution_id = 1 AND kind = 'Method' AND file_hash IS NULL")
+def symbols_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return graph.lookup(sym(spark, d), solution_id=1, kind="Method", file_hash=None).select("id", "line")
+
+
+@_add("solution_files", "SELECT DISTINCT file_path FROM sym WHERE solution_id = 1 AND file_path <> 'external'")
+def solution_files(spark: SparkSession, d: str) -> DataFrame:
+    return graph.file_list(sym(spark, d), 1)
 
 
 @_add("file_symbol_counts", "SELECT file_path, count(*) AS n FROM sym GROUP BY file_path")
@@ -305,7 +315,8 @@ def delete_solution(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("mark_dirty", "SELECT id, CASE WHEN file_path LIKE 'gen/%' THEN 'Dirty' ELSE status END AS status FROM sym")
 def mark_dirty(spark: SparkSession, d: str) -> DataFrame:
-    return sym(spark, d).select("id", F.when(F.col("file_path").startswith("gen/"), "Dirty").otherwise(F.col("status")).alias("status"))
+    s = sym(spark, d)
+    return graph.mark_dirty(s, s.filter("file_path LIKE 'gen/%'")).select("id", "status")
 
 
 _IMPL = ", i AS (SELECT a.id AS im, b.id AS m FROM sym a JOIN sym b ON a.name = b.name AND a.id < b.id AND a.kind = 'Method' AND b.kind = 'Method')"
@@ -335,7 +346,6 @@ def edge_rules(spark: SparkSession, d: str) -> DataFrame:
     return e.select("src", "dst", graph.edge_type_of(node, F.col("kind"), F.col("edge_type") == "Writes", F.lit(False)).alias("made"))
 
 
-@_add("name_duplicates", ", r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS n FROM sym) SELECT id, name FROM r WHERE n = 1")
+@_add("name_duplicates", ", r AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS n FROM sym) SELECT id, name FROM r WHERE n = 1 AND name IS NOT NULL")
 def name_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    first = Window.partitionBy(F.lower("name")).orderBy("id")
-    return sym(spark, d).withColumn("n", F.row_number().over(first)).filter("n = 1").select("id", "name")
+    return search.first_per_name(sym(spark, d))

@@ -13,6 +13,8 @@ from larkspan.functions import text as T
 from larkspan.operators import changes, diagnostics, knowledge, members, search, usage
 from larkspan.plans.graph_queries import SQL as GRAPH
 from larkspan.plans.graph_queries import sym
+from larkspan.plans.lineage import new_path
+from larkspan.sources import logs
 from larkspan.sources.tables import table
 from larkspan.streaming import usage as streams
 
@@ -217,11 +219,11 @@ def valid_categories(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("id", F.coalesce(P.valid_category("category", list(P.CATEGORIES)), F.lit(False)).alias("valid"))
 
 
-@_add("vector_codec", None)
+@_add("vector_codec", "SELECT id, list_transform(any_value(embedding), lambda x: CASE WHEN isnan(x) THEN NULL ELSE x END) AS vector FROM knowledge_entries WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY id")
 def vector_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors to bytes and back."""
+    """Vectors to bytes and back; what is not a number, which equals nothing, comes out as null."""
     e = _entries(spark, d).filter("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").select("id", "embedding").withColumn("raw", knowledge.encode_vector("embedding"))
-    return e.select("id", knowledge.decode_vector("raw").alias("vector"))
+    return e.select("id", F.transform(knowledge.decode_vector("raw"), lambda x: F.when(~F.isnan(x), x)).alias("vector"))
 
 
 # usage log: the events
@@ -258,6 +260,38 @@ def usage_last_hours(spark: SparkSession, d: str) -> DataFrame:
     return usage.totals(usage.since(calls(spark, d), "2024-01-30 00:00:00", 48))
 
 
+@_add("usage_tokens", _CALLS + "SELECT count(*) AS calls, coalesce(sum(coalesce(it, 0)), 0)::BIGINT AS input_tokens, coalesce(sum(ot), 0)::BIGINT AS output_tokens, round_even(avg(coalesce(tps, 0)), 1) AS avg_speed FROM calls WHERE ot IS NOT NULL")
+def usage_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return usage.token_figures(calls(spark, d))
+
+
+def _log(spark: SparkSession, d: str) -> str:
+    """The calls as a log of JSON lines, with a blank and a broken line, in the shared folder."""
+    path = new_path(spark, "log")
+    logs.append_log(calls(spark, d), path)
+    spark.createDataFrame([("",), ('{"tool": ',)], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@_add("log_by_tool", _CALLS + _BY_TOOL + " GROUP BY tool")
+def log_by_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The figures per tool of a log written and read as JSON lines."""
+    return usage.by_tool(logs.read_log(spark, _log(spark, d)))
+
+
+@_add("log_stream_hourly", _CALLS + "SELECT date_trunc('hour', ts) AS hour, tool, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS failed FROM calls GROUP BY ALL")
+def log_stream_hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly figures of a stream over the log."""
+    return streams.run_to_end(streams.stream_hourly(logs.stream_log(spark, _log(spark, d))), "hourly")
+
+
+@_add("usage_report", None)
+def usage_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report's text, a row for each line."""
+    lines = usage.report(calls(spark, d), "R").splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "line_no long, text string")
+
+
 @_add("usage_stream_totals", _CALLS + _BY_TOOL + " GROUP BY tool")
 def usage_stream_totals(spark: SparkSession, d: str) -> DataFrame:
     """The same figures from a stream over the file."""
@@ -297,10 +331,47 @@ def diagnostics_detail(spark: SparkSession, d: str) -> DataFrame:
     return diagnostics.detail(kept, "click", 100, 20).select("seq", diagnostics.line_of().alias("compact"))
 
 
-@_add("diagnostics_suppression", _DIAGS + "SELECT seq, CASE WHEN line % 10 = 0 THEN 'pragma' WHEN line % 4 = 0 THEN 'project' WHEN line % 9 = 0 THEN 'disabled by default' END AS reason FROM dg")
+# Every option there is, no option, ids of both families, rules that are on, off and hidden.
+@_add(
+    "diagnostics_suppression",
+    _DIAGS
+    + """, x AS (SELECT seq, CASE WHEN line % 2 = 0 THEN 'CA' ELSE 'CS' END || line AS rule, line % 10 = 0 AS in_source, CASE line % 7 WHEN 0 THEN 'Suppress' WHEN 1 THEN 'Hidden' WHEN 2 THEN 'Warn' WHEN 3 THEN 'Error' END AS opt,
+ line % 9 <> 0 AS enabled, CASE WHEN line % 8 = 0 THEN 'Hidden' ELSE 'Warning' END AS sev FROM dg)
+SELECT seq, CASE WHEN in_source THEN 'pragma/attribute' WHEN opt IN ('Suppress', 'Hidden') THEN 'project settings' WHEN rule LIKE 'CA%' AND opt IS NULL AND (sev = 'Hidden' OR NOT enabled) THEN 'disabled by default' END AS reason FROM x""",
+)
 def diagnostics_suppression(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("line")
-    return diags(spark, d).select("seq", P.suppression(line % 10 == 0, F.when(line % 4 == 0, "Suppress").otherwise("warn"), line % 9 != 0).alias("reason"))
+    rule = F.concat(F.when(line % 2 == 0, "CA").otherwise("CS"), line)
+    option = F.when(line % 7 == 0, "Suppress").when(line % 7 == 1, "Hidden").when(line % 7 == 2, "Warn").when(line % 7 == 3, "Error")
+    return diags(spark, d).select("seq", P.suppression(rule, line % 10 == 0, option, line % 9 != 0, F.when(line % 8 == 0, "Hidden").otherwise("Warning")).alias("reason"))
+
+
+@_add("diagnostics_by_file", _DIAGS + "SELECT file, count(*) AS n, min(line) AS first, max(line) AS last FROM (SELECT * FROM dg WHERE id = 'CLICK' UNION ALL SELECT * FROM dg WHERE severity = 'Error') GROUP BY file")
+def diagnostics_by_file(spark: SparkSession, d: str) -> DataFrame:
+    g = diags(spark, d)
+    return diagnostics.by_file(diagnostics.gathered(g.filter("id = 'CLICK'"), g.filter("severity = 'Error'")))
+
+
+@_add("diagnostics_batch", _DIAGS + "SELECT seq, file, line FROM dg WHERE id = 'VIEW' ORDER BY seq LIMIT 100")
+def diagnostics_batch(spark: SparkSession, d: str) -> DataFrame:
+    return diagnostics.batch(diags(spark, d), "view").select("seq", "file", "line")
+
+
+@_add(
+    "symbol_at_place",
+    _DIAGS
+    + """, s AS (SELECT DISTINCT file, line * 100 AS f, line * 100 + 40 + seq % 3 * 100 AS l, title AS name FROM dg WHERE seq % 2 = 1), p AS (SELECT seq AS key, file, line * 100 + seq % 45 AS x, (line * 100 + seq % 45) // 10 * 10 AS tok FROM dg WHERE seq % 2 = 0),
+j AS (SELECT key, name, 0 AS way, l - f AS len FROM p JOIN s ON s.file = p.file AND f = x UNION ALL SELECT key, name, 1, l - f FROM p JOIN s ON s.file = p.file AND f <= tok AND tok < l UNION ALL SELECT key, name, 2, l - f FROM p JOIN s ON s.file = p.file AND f <= x AND x < l),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY way, len, name) AS n FROM j) SELECT key, name FROM r WHERE n = 1""",
+)
+def symbol_at_place(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of 100 characters, in which every tenth begins a token."""
+    g = diags(spark, d)
+    spans = g.filter("seq % 2 = 1").select("file", (F.col("line") * 100).alias("first"), (F.col("line") * 100 + 40 + F.col("seq") % 3 * 100).alias("last"), F.col("title").alias("name")).distinct()
+    places = g.filter("seq % 2 = 0").select(F.col("seq").alias("key"), "file", "line", (F.col("seq") % 45 + 1).alias("col_no"))
+    starts = g.select("file", "line", (F.col("line") * 100).alias("start")).distinct()
+    tokens = starts.select("file", F.explode(F.sequence("start", F.col("start") + 90, F.lit(10))).alias("first")).select("file", "first", (F.col("first") + 10).alias("last"))
+    return diagnostics.symbol_at(places, starts, spans, tokens)
 
 
 @_add("diagnostics_dedup", _DIAGS + "SELECT file, line, min(seq) AS seq, arg_min(id, seq) AS id FROM dg GROUP BY file, line")
@@ -394,17 +465,25 @@ def members_sorted(spark: SparkSession, d: str) -> DataFrame:
 
 @_add(
     "members_inherited",
-    """WITH RECURSIVE mem AS (SELECT DISTINCT 'n' || n_nationkey AS t, 'm' || (s_suppkey % 20) AS name FROM supplier JOIN nation ON n_nationkey = s_nationkey), base AS (SELECT 'n' || n_nationkey AS t, 'n' || (n_nationkey // 2) AS b FROM nation WHERE n_nationkey > 0),
-up AS (SELECT t, b, 1 AS lv FROM base UNION SELECT up.t, base.b, lv + 1 FROM up JOIN base ON base.t = up.b),
-a AS (SELECT t, name, NULL::VARCHAR AS f, 0 AS lv FROM mem UNION ALL SELECT up.t, name, up.b, lv FROM up JOIN mem ON mem.t = up.b), r AS (SELECT *, row_number() OVER (PARTITION BY t, name ORDER BY lv) AS n FROM a)
-SELECT t AS type_name, name, f AS inherited_from FROM r WHERE n = 1""",
+    """WITH RECURSIVE mem AS (SELECT DISTINCT 'n' || s_nationkey AS t, 'm' || (s_suppkey % 20) AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'Property' ELSE 'Method' END AS kind, '(' || (s_suppkey % 2) || ')' AS sig,
+ s_suppkey % 3 = 0 AS v, s_suppkey % 7 = 0 AS a, s_suppkey % 4 = 1 AS o FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)),
+base AS (SELECT 'n' || n_nationkey AS t, 'n' || (n_nationkey // 2) AS b FROM nation WHERE n_nationkey > 0), up AS (SELECT t, b FROM base UNION SELECT up.t, base.b FROM up JOIN base ON base.t = up.b),
+itf AS (SELECT 'n' || n_nationkey AS t, 'n' || ((n_nationkey + 11) % 25) AS i FROM nation WHERE n_nationkey % 3 = 0),
+has AS (SELECT t, name, kind, sig FROM mem UNION SELECT up.t, name, kind, sig FROM up JOIN mem ON mem.t = up.b)
+SELECT t AS type_name, name, kind, sig AS signature, NULL::VARCHAR AS inherited_from FROM mem
+UNION ALL SELECT up.t, m.name, m.kind, m.sig, up.b FROM up JOIN mem m ON m.t = up.b WHERE NOT (m.kind = 'Method' AND (m.v OR m.a) AND EXISTS (SELECT 1 FROM mem d WHERE d.t = up.t AND d.name = m.name AND d.kind = 'Method' AND d.o))
+UNION ALL SELECT itf.t, m.name, m.kind, m.sig, itf.i FROM itf JOIN mem m ON m.t = itf.i WHERE NOT EXISTS (SELECT 1 FROM has h WHERE h.t = itf.t AND h.name = m.name AND h.kind = m.kind AND h.sig = m.sig)""",
 )
 def members_inherited(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation")
-    m = table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("type_name"), F.concat(F.lit("m"), F.col("s_suppkey") % 20).alias("name"), F.lit("Method").alias("kind")).distinct()
-    m = m.join(n.select(F.concat(F.lit("n"), "n_nationkey").alias("type_name")), "type_name", "left_semi")
-    bases = n.filter("n_nationkey > 0").select(F.concat(F.lit("n"), "n_nationkey").alias("type_name"), F.concat(F.lit("n"), F.expr("n_nationkey DIV 2")).alias("base"))
-    return members.with_inherited(m, bases).select("type_name", "name", "inherited_from")
+    n, s = table(spark, d, "nation"), F.col("s_suppkey")
+    type_name = lambda e: F.concat(F.lit("n"), F.expr(e))
+    m = table(spark, d, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey")), "s_nationkey", "left_semi").select(
+        type_name("s_nationkey").alias("type_name"), F.concat(F.lit("m"), s % 20).alias("name"), F.when(s % 5 == 0, "Property").otherwise("Method").alias("kind"), F.concat(F.lit("("), s % 2, F.lit(")")).alias("signature"),
+        (s % 3 == 0).alias("is_virtual"), (s % 7 == 0).alias("is_abstract"), (s % 4 == 1).alias("is_override"),
+    )
+    bases = n.filter("n_nationkey > 0").select(type_name("n_nationkey").alias("type_name"), type_name("n_nationkey DIV 2").alias("base"))
+    interfaces = n.filter("n_nationkey % 3 = 0").select(type_name("n_nationkey").alias("type_name"), type_name("(n_nationkey + 11) % 25").alias("interface"))
+    return members.with_inherited(m, bases, interfaces).select("type_name", "name", "kind", "signature", "inherited_from")
 
 
 @_add(
@@ -419,13 +498,13 @@ def build_order(spark: SparkSession, d: str) -> DataFrame:
     return members.build_order(n.select(named("n_nationkey").alias("name")), deps)
 
 
-@_add("insert_positions", _MEMBERS + """, q AS (SELECT type_name, kind, row_number() OVER (PARTITION BY type_name ORDER BY line, id) - 1 AS pos FROM m WHERE type_name IS NOT NULL),
-x AS (SELECT type_name, max(pos) FILTER (WHERE kind = 'Field') + 1 AS f, max(pos) FILTER (WHERE kind = 'Constructor') + 1 AS c, max(pos) FILTER (WHERE kind = 'Property') + 1 AS p, min(pos) FILTER (WHERE kind = 'Method') AS m1, max(pos) + 1 AS e FROM q GROUP BY type_name)
-SELECT type_name, coalesce(f, 0) AS field_at, coalesce(c, f, 0) AS constructor_at, coalesce(p, c, f, m1, 0) AS property_at, e AS method_at FROM x""")
+@_add("insert_positions", _MEMBERS + """, q AS (SELECT type_name, CASE WHEN id % 7 = 0 THEN 'Event' ELSE kind END AS kind, row_number() OVER (PARTITION BY type_name ORDER BY line, id) - 1 AS pos FROM m WHERE type_name IS NOT NULL),
+x AS (SELECT type_name, max(pos) FILTER (WHERE kind = 'Field') + 1 AS f, max(pos) FILTER (WHERE kind = 'Constructor') + 1 AS c, max(pos) FILTER (WHERE kind = 'Property') + 1 AS p, min(pos) FILTER (WHERE kind = 'Method') AS m1, count(*) AS e FROM q GROUP BY type_name)
+SELECT type_name, 0::BIGINT AS "start", e AS "end", coalesce(f, 0) AS after_fields, coalesce(c, f, 0) AS after_constructors, coalesce(p, c, f, 0) AS after_properties, coalesce(m1, e) AS before_methods FROM x""")
 def insert_positions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("type_name").orderBy("line", "id")
     m = _members(spark, d).filter("type_name IS NOT NULL").withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
-    return members.insert_index(m)
+    return members.insert_index(m.withColumn("kind", F.when(F.col("id") % 7 == 0, "Event").otherwise(F.col("kind"))))
 
 
 @_add("pure_model_types", _MEMBERS + "SELECT type_name FROM m WHERE type_name IS NOT NULL AND kind IN ('Field', 'Property', 'Event') GROUP BY type_name HAVING bool_and(kind = 'Field' OR (kind = 'Property' AND line % 2 = 0))")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspan.operators.usage import COLUMNS
+from larkspan.plans import lineage
 from larkspan.sources.tables import table
 
 SCHEMAS = {
@@ -31,9 +30,9 @@ def in_memory(spark: SparkSession, **rows: list) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in SCHEMAS.items()}
 
 
-def exists(folder: str) -> bool:
-    """Whether a local folder holds a store."""
-    return os.path.exists(f"{folder}/symbols.parquet")
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder of any file system holds a store."""
+    return lineage.exists(spark, f"{folder.rstrip('/')}/symbols.parquet")
 
 
 def open_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -134,10 +134,32 @@ def test_build_order_with_a_cycle(spark):
 
 
 def test_inherited_members(spark):
-    m = spark.createDataFrame([("A", "f", "Method"), ("A", "A", "Constructor"), ("B", "g", "Method"), ("C", "f", "Method")], "type_name string, name string, kind string")
+    schema = "type_name string, name string, kind string, signature string, is_virtual boolean, is_abstract boolean, is_override boolean"
+    m = [("A", "f", "Method", "()", True, False, False), ("A", "f", "Method", "(int)", False, False, False), ("A", "A", "Constructor", "()", None, None, None), ("A", "P", "Property", "", True, False, False), ("B", "g", "Method", "()", False, False, False)]
+    m += [("C", "f", "Method", "()", False, False, True), ("C", "P", "Property", "", False, False, True), ("I", "g", "Method", "()", False, True, False), ("I", "h", "Method", "()", False, True, False)]
     b = spark.createDataFrame([("C", "B"), ("B", "A"), ("A", "C")], "type_name string, base string")
-    got = {(r["type_name"], r["name"]): r["inherited_from"] for r in members.with_inherited(m, b).collect()}
-    assert got[("B", "f")] == "A" and got[("C", "f")] is None and got[("C", "g")] == "B" and ("B", "A") not in got
+    i = spark.createDataFrame([("C", "I")], "type_name string, interface string")
+    got = {(r["type_name"], r["name"], r["signature"], r["inherited_from"]) for r in members.with_inherited(spark.createDataFrame(m, schema), b, i).collect()}
+    of_c = {x[1:] for x in got if x[0] == "C" and x[3]}
+    # Overrides hide open methods of their name only; hidden properties, overloads and constructors come out, and what a base has is no missing interface member.
+    assert of_c == {("f", "(int)", "A"), ("A", "()", "A"), ("P", "", "A"), ("g", "()", "B"), ("h", "()", "I")}
+    assert ("B", "f", "()", "A") in got and ("A", "g", "()", "B") in got
+
+
+def test_long_chains(spark):
+    bases = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(150)], "type_name string, base string")
+    above = members.ancestors(bases)
+    assert above.count() == 150 * 151 // 2 and above.filter("type_name = 't0' AND base = 't150'").first()["level"] == 150
+    assert members.ancestors(bases.limit(0)).count() == 0
+
+
+def test_places_for_members(spark):
+    m = spark.createDataFrame([("A", k, i) for i, k in enumerate(["Event", "Method", "Field"])] + [("B", "Method", 0), ("B", "Event", 1)], "type_name string, kind string, pos int")
+    places = members.insert_index(m)
+    at = lambda **how: {r["type_name"]: r["at"] for r in members.insert_at(places, **how).collect()}
+    assert at(kind="Field") == at(kind="Constructor") == at(kind="Property") == {"A": 3, "B": 0}
+    assert at(kind="Method") == at(kind="Event") == at(point="end") == at(point="nowhere") == {"A": 3, "B": 2}
+    assert at(point="Before-Methods") == {"A": 1, "B": 0} and at(point="start", kind="Method") == {"A": 0, "B": 0}
 
 
 def test_types_without_files_and_usings(spark):

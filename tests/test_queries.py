@@ -26,12 +26,6 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-def test_vectors_survive_coding(spark):
-    got = {r["id"]: r["vector"] for r in catalog.queries()["vector_codec"](spark, DATA).collect()}
-    stored = {r["id"]: r["embedding"] for r in spark.read.parquet(f"{DATA}/knowledge_entries.parquet").collect()}
-    assert got and all(repr(got[i]) == repr(stored[i]) for i in got)
-
-
 def test_nothing_else_imports_llm():
     code = "import sys, pkgutil, importlib, larkspan\nfor m in pkgutil.walk_packages(larkspan.__path__, 'larkspan.'):\n  if not m.name.startswith('larkspan.llm'): importlib.import_module(m.name)\nassert not [m for m in sys.modules if m.startswith('larkspan.llm.')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry_points.__file__))

@@ -28,6 +28,7 @@ def test_text_functions(spark):
     assert one(spark, T.project_name("a"), a="C:\\x\\My.App\\src\\f.cs") == "My.App"
     assert one(spark, T.project_name("a"), a="f.cs") is None and one(spark, T.project_name("a"), a="src/f.cs") == "src"
     assert one(spark, T.relative_path("a", "/Root/x"), a="/root/X/y/z.cs") == "y/z.cs"
+    assert one(spark, T.relative_path("a", "/a/repo"), a="/a/repo2/x.cs") == "/a/repo2/x.cs"
     assert one(spark, T.using_name("a"), a=" using System.Linq; ") == "System.Linq"
     assert one(spark, T.shortened("a"), a="x" * 101) == "x" * 100 + "..." and one(spark, T.shortened("a"), a="x" * 100) == "x" * 100
     assert one(spark, T.version_key("a"), a="10.0.1-rc") == [10, 0, 1] and one(spark, T.version_key("a"), a="x") is None
@@ -50,7 +51,9 @@ def test_glob(spark, pattern, value, fits):
 def test_other_predicates(spark):
     assert one(spark, P.source_file("p"), p="a/X.G.CS") is False and one(spark, P.source_file("p", False), p="a/obj/X.cs") is True
     assert one(spark, P.wpf_project("p"), p="<UseWPF>true</UseWPF>") is True
-    assert one(spark, P.suppression(F.lit(False), F.lit("suppress"), F.lit(False))) == "project"
+    rule = lambda ident, option, on=True, severity="Warning": one(spark, P.suppression(F.lit(ident), F.lit(False), F.lit(option).cast("string"), F.lit(on), F.lit(severity)))
+    assert rule("CS1", "Suppress") == rule("CA1", "hidden") == "project settings" and rule("CS1", None, False) is None and rule("CA1", "warn", False) is None
+    assert rule("CA1", None, False) == rule("CA1", None, True, "Hidden") == "disabled by default" and rule("CA1", None) is None
     assert P.required({"a": "x"}, "a") == "x" and P.required_int({"a": 2}, "a", 1) == 2
     for bad in ({}, {"a": " "}):
         with pytest.raises(ValueError, match="required"):
@@ -69,18 +72,30 @@ def test_file_changes(spark, rows):
 
 
 def test_refresh_keeps_calls_from_unchanged_files(spark, rows):
-    s = spark.createDataFrame([(1, "a", "A"), (2, "b", "B"), (3, "b", "C")], "id long, file_path string, qualified_name string")
-    e = spark.createDataFrame([(1, 2, "Calls"), (2, 3, "Calls")], "src long, dst long, edge_type string")
-    stale = spark.createDataFrame([("b",)], "file_path string")
-    again = spark.createDataFrame([(20, "b", "B")], s.schema)
-    kept, out = changes.refresh(s, e, stale, again, spark.createDataFrame([("B", "A", "Reads")], "src_name string, dst_name string, edge_type string"))
+    s = spark.createDataFrame([(1, 1, "a", "A"), (2, 1, "b", "B"), (3, 1, "b", "C")], "id long, solution_id long, file_path string, qualified_name string")
+    e = spark.createDataFrame([(1, 2, "Calls"), (2, 3, "Calls"), (1, 3, "Calls")], "src long, dst long, edge_type string")
+    stale = spark.createDataFrame([(1, "b")], "solution_id long, file_path string")
+    again = spark.createDataFrame([(20, 1, "b", "B")], s.schema)
+    kept, out = changes.refresh(s, e, stale, again, spark.createDataFrame([(1, "B", "A", "Reads")], "solution_id long, src_name string, dst_name string, edge_type string"))
     assert rows(out) == [(1, 20, "Calls"), (20, 1, "Reads")] and kept.count() == 2
 
 
+def test_refresh_of_one_solution_leaves_the_others(spark, rows):
+    s = spark.createDataFrame([(1, 1, "f", "A"), (2, 1, "g", "B"), (11, 2, "f", "A"), (12, 2, "g", "B"), (13, 2, "h", "B")], "id long, solution_id long, file_path string, qualified_name string")
+    e = spark.createDataFrame([(11, 12, "Calls"), (12, 13, "Calls"), (1, 2, "Calls"), (11, 2, "Reads")], "src long, dst long, edge_type string")
+    named = "solution_id long, src_name string, dst_name string, edge_type string"
+    none = spark.createDataFrame([], named)
+    _, out = changes.refresh(s, e, spark.createDataFrame([(1, "zzz")], "solution_id long, file_path string"), s.limit(0), none)
+    assert rows(out) == rows(e)
+    again = spark.createDataFrame([(20, 1, "g", "B")], s.schema)
+    _, out = changes.refresh(s, e, spark.createDataFrame([(1, "g")], "solution_id long, file_path string"), again, spark.createDataFrame([(1, "B", "A", "Calls")], named))
+    assert rows(out) == [(1, 20, "Calls"), (11, 12, "Calls"), (11, 20, "Reads"), (12, 13, "Calls"), (20, 1, "Calls")]
+
+
 def test_solutions_and_states(spark, rows):
-    known = spark.createDataFrame([(1, "a/x.sln")], "id long, path string")
-    got = changes.get_or_create(known, spark.createDataFrame([("A\\X.sln", "x"), ("b.sln", "b")], "path string, name string")).collect()
-    assert {(r["name"], r["created"]) for r in got} == {("x", False), ("b", True)}
+    known = spark.createDataFrame([(1, "a/x.sln"), (2, "a\\y.sln")], "id long, path string")
+    got = changes.get_or_create(known, spark.createDataFrame([("A\\X.sln", "x"), ("b.sln", "b"), ("A/y.sln", "y")], "path string, name string")).collect()
+    assert {(r["name"], r["created"]) for r in got} == {("x", False), ("b", True), ("y", False)}
     states = spark.createDataFrame([("s", "a", 1), ("s", "b", 3), ("s", "c", 2)], "k string, v string, t int")
     assert rows(changes.latest(states, ["k"], "t")) == [("s", "b", 3)]
     assert changes.first_by_priority(states, "v", F.when(F.col("v") == "c", 0).otherwise(1)).first()["v"] == "c"
@@ -281,17 +296,17 @@ def test_orphans_against_brute_force(spark):
 
 def test_building(spark, rows):
     store = schemas.in_memory(spark)
-    facts = spark.createDataFrame([(1, "a", "A"), (2, "b", "B"), (3, "b", "I"), (4, "c", "C")], "id long, file_path string, qualified_name string")
+    facts = spark.createDataFrame([(1, 1, "a", "A"), (2, 1, "b", "B"), (3, 1, "b", "I"), (4, 1, "c", "C")], "id long, solution_id long, file_path string, qualified_name string")
     occ = spark.createDataFrame([("a", "A", "I", "invocation", "Method", False, False), ("b", "B", "C", "identifier", "Field", True, False), ("b", "B", "C", "identifier", "Field", False, True)], schemas.SCHEMAS["occurrences"])
     impl = spark.createDataFrame([("I", "B")], "interface_name string, member_name string")
     none = facts.limit(0)
     now = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "file_path string, content_hash string")
     empty = now.limit(0)
     e0 = store["edges"].select("src", "dst", "edge_type")
-    s1, e1, f1 = build.incremental(empty, now, none, e0, facts, occ, impl)
+    s1, e1, f1 = build.incremental(1, empty, now, none, e0, facts, occ, impl)
     assert s1.count() == 4 and rows(e1) == [(1, 2, "Calls"), (1, 3, "Calls"), (2, 4, "Writes")]
     later = spark.createDataFrame([("a", "1"), ("b", "2")], now.schema)
-    s2, e2, _ = build.incremental(f1, later, s1, e1, facts.filter("id <> 3"), occ.filter("false"), impl)
+    s2, e2, _ = build.incremental(1, f1, later, s1, e1, facts.filter("id <> 3"), occ.filter("false"), impl)
     assert rows(s2.select("id")) == [(1,), (2,)] and rows(e2) == [(1, 2, "Calls")]
     assert tuple(build.counts(now, later).first()) == (1, 1, 1)
 
@@ -300,7 +315,7 @@ def test_store(spark, tmp_path):
     store = schemas.in_memory(spark, knowledge_tags=[(1, "a")])
     store["knowledge_tags"].write.parquet(str(tmp_path / "knowledge_tags.parquet"))
     again = schemas.open_store(spark, str(tmp_path))
-    assert again["knowledge_tags"].count() == 1 and again["symbols"].count() == 0 and not schemas.exists(str(tmp_path))
+    assert again["knowledge_tags"].count() == 1 and again["symbols"].count() == 0 and not schemas.exists(spark, str(tmp_path))
 
 
 def test_updates(spark, rows):
