@@ -6,15 +6,18 @@ gives the hash of every run of words by one subtraction, so the cost is a few pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 21
+SLOTS = 1 << 20  # of a sketch of counts: 4 MB as sent to the executors, whatever the input
+PART = 4096  # slots in one row of a sketch while it is summed
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -117,3 +120,28 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[keep], h[keep]
+
+
+def slot_counts(texts: DataFrame, hashes: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+    """How often the hashes of each slot, their leading 20 bits, occur in the one column of texts. Summed by executors; SLOTS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for a, b in chunks(batch.column(0)):
+                total += np.bincount((hashes(batch.column(0).slice(a, b - a)) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        if total.any():
+            rows = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(-1, PART)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(len(rows), dtype=np.int32)), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(PART, np.int64)
+        for c in table.column("counts"):
+            total += np.frombuffer(c.as_buffer(), np.uint32)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    out = np.zeros((SLOTS // PART, PART), np.uint32)
+    for r in texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)

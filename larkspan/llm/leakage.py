@@ -1,9 +1,13 @@
 """Passages of held-out items inside a corpus: q-gram counting in diagonal bands, then banded alignment.
 
-Texts and items are brought to the consistent form and lower case, and reduced to their words with single blanks between. A passage of w
-characters that occurs in a text with at most e edits keeps at least w-q+1-qe of its q-grams (the q-gram lemma), and their diagonals, position in
-the text less position in the item, lie within e of each other. So the shared q-grams are counted in overlapping bands of diagonals, only bands that
-reach that bound for the item's shortest passage are retained, and the passages are aligned inside a retained band alone.
+Texts and items are brought to the consistent form and lower case, and reduced to their words with single blanks between and around. A passage of w characters
+that occurs in a text with at most e edits keeps at least w-q+1-qe of its q-grams (the q-gram lemma), and their diagonals, position in the text less
+position in the item, lie within e of each other.
+
+Which texts meet which items is found without comparing them: cut into e+1 pieces, a passage has one that no edit touched, so the rarest q-gram of each piece, by counts over the
+whole corpus, is an anchor, and one of the passage's anchors is in the text. Anchors and the texts' q-grams that a bit map of all anchors lets through meet in a join.
+Long texts are pieces that overlap by the longest passage. Then the q-grams that a piece and an item share are counted in overlapping bands of diagonals, only bands that reach the
+bound are retained, and in these the passages that keep enough of them are aligned, many at a time, within the band and the edit budget.
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.canonical import consistent
-from larkspan.llm.hashing import mix
+from larkspan.llm.hashing import mix, slot_counts
+from larkspan.plans.lineage import store
 
-BLOCK_CHARS = 16_000_000  # of items held by an executor at once; more items are taken in several blocks
+PIECE = 1 << 14  # characters of a text that are looked at together, besides the overlap
 CHUNK_CHARS = 1 << 20
-FILTER_BITS = 22
+Q = (16, 8, 4, 2, 1)
+BITS = (16, 27)  # the bit map of the anchors has 2 ** 16 to 2 ** 27 bits, 16 MB at most; when it is full it only lets more through
 _SEPARATORS = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
 
@@ -31,8 +37,12 @@ def plain_words(text: str | None) -> str:
     return "" if not text else _SEPARATORS.sub(" ", consistent(text).lower()).strip()
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
-    """A hash of every run of q code points."""
+    """A hash of every run of q code points; runs of another length have other hashes."""
     n = len(points)
     if n < q:
         return np.zeros(0, np.uint64)
@@ -44,156 +54,231 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
     inverse = np.multiply.accumulate(inverse)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(points.astype(np.uint64) * power[:-1], out=total[1:])
-    return mix((total[q:] - total[:-q]) * inverse[: n - q + 1])
+    return mix((total[q:] - total[:-q]) * inverse[: n - q + 1] + np.uint64(q))
 
 
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def passages(words: str, min_words: int) -> np.ndarray:
+    """Begin and end of every run of min_words words in the text with a blank at each end; the outer blanks belong to a run."""
+    blanks = np.flatnonzero(_points(f" {words} ") == 32)
+    return np.stack([blanks[:-min_words], blanks[min_words:] + 1], axis=1) if words and len(blanks) > min_words else np.zeros((0, 2), np.int64)
+
+
+def gram_size(shortest: int, edits: int) -> int:
+    """The largest q for which a passage of that length keeps a q-gram in each of its edits+1 pieces."""
+    return next(q for q in Q if q <= shortest // (edits + 1))
 
 
-class Index:
-    """The q-grams of the items, with their places, and the passages that count: all runs of min_words words."""
-
-    def __init__(self, items: list[tuple[int, str]], min_words: int, edits: int, q: int):
-        self.q, self.edits = q, edits
-        self.ids, self.texts, self.passages, need, grams, item, place = [], [], [], [], [], [], []
-        for ident, words in items:
-            starts = [0, *(m.end() for m in re.finditer(" ", words))]
-            ends = [*(m.start() for m in re.finditer(" ", words)), len(words)]
-            if not words or len(starts) < min_words:
-                continue
-            runs = [(starts[i], ends[i + min_words - 1]) for i in range(len(starts) - min_words + 1)]
-            bound = min(b - a for a, b in runs) - q + 1 - q * edits
-            if bound < 1:
-                raise ValueError(f"q={q} is too long for passages of {min_words} words with {edits} edits: item {ident} needs a smaller q")
-            g = _grams(_points(words), q)
-            grams.append(g)
-            item.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
-            need.append(bound)
-            self.ids.append(ident)
-            self.texts.append(words)
-            self.passages.append(np.array(runs))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        g = join(grams, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.grams, self.item, self.place = g[order], join(item, np.int64)[order], join(place, np.int64)[order]
-        self.need = np.array(need, np.int64)
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def find(self, texts: list[str]) -> list[tuple[int, int]]:
-        """(number of the text, id of the item) of every text with a passage of the item."""
-        out: set[tuple[int, int]] = set()
-        if not len(self.grams):
-            return []
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHUNK_CHARS):
-                size += len(texts[stop])
-                stop += 1
-            out |= self._chunk(texts, start, stop)
-            start = stop
-        return sorted(out)
-
-    def _chunk(self, texts: list[str], start: int, stop: int) -> set[tuple[int, int]]:
-        # The texts of a chunk are one string with a separator that no item has, so that no shared q-gram crosses two texts.
-        at = np.cumsum([0, *(len(t) + 1 for t in texts[start:stop])])
-        g = _grams(_points("\n".join(texts[start:stop])), self.q)
-        pos = np.flatnonzero(self.maybe[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(self.grams, g[pos], "left")
-        many = np.searchsorted(self.grams, g[pos], "right") - low
-        total = int(many.sum())
-        if not total:
-            return set()
-        hit = np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)
-        pos, item = np.repeat(pos, many), self.item[hit]
-        doc = np.searchsorted(at, pos, "right") - 1
-        place = self.place[hit]
-        diagonal = pos - at[doc] - place
-        width = self.edits + 1
-        found: set[tuple[int, int]] = set()
-        # Bands of twice the width, each overlapping the next by half, hold any e+1 neighbouring diagonals together.
-        for shift in (0, width) if self.edits else (0,):
-            span = 2 * width if self.edits else 1
-            band = (diagonal + shift) // span
-            order = np.lexsort((band, item, doc))
-            d, i, b = doc[order], item[order], band[order]
-            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])])
-            n = np.diff(np.r_[new, len(d)])
-            for x, many in zip(new[keep := n >= self.need[i[new]]], n[keep], strict=True):
-                key = (start + int(d[x]), self.ids[int(i[x])])
-                if key not in found and self._aligned(texts[key[0]], int(i[x]), int(b[x]) * span - shift, span, np.unique(place[order[x : x + many]])):
-                    found.add(key)
-        return found
-
-    def _aligned(self, text: str, item: int, first: int, span: int, places: np.ndarray) -> bool:
-        """Whether a passage of the item lies in the text, on whole words, within the diagonals first to first+span-1 and the edit budget.
-
-        Only passages that themselves keep enough of the q-grams found in the band (at these places of the item) are aligned.
-        """
-        words, runs = self.texts[item], self.passages[item]
-        seen = np.searchsorted(places, runs[:, 1] - self.q, "right") - np.searchsorted(places, runs[:, 0], "left")
-        for a, b in runs[seen >= runs[:, 1] - runs[:, 0] - self.q + 1 - self.q * self.edits].tolist():
-            if self.edits:
-                if banded_distance(words[a:b], text, a + first - self.edits, a + first + span - 1 + self.edits) <= self.edits:
-                    return True
-            else:
-                x, y = a + first, b + first
-                if x >= 0 and y <= len(text) and text[x:y] == words[a:b] and (x == 0 or text[x - 1] == " ") and (y == len(text) or text[y] == " "):
-                    return True
-        return False
-
-
-def banded_distance(pattern: str, text: str, low: int, high: int) -> int:
-    """The least number of edits that turn the pattern into some piece of the text, over alignments whose diagonals lie in low..high."""
-    big = len(pattern) + 1
-    p, t = _points(pattern), _points(text)
-    diagonals = np.arange(low, high + 1)
-    ok = (diagonals >= 0) & (diagonals <= len(t))
-    row = np.where(ok, 0, big)
-    step = np.arange(len(diagonals))
-    for i, c in enumerate(p, 1):
+def pieces_of(words: str, overlap: int, size: int = PIECE) -> list[str]:
+    """The text in pieces of whole words: every stretch of at most `overlap` characters is in a piece. Each has a blank at both ends."""
+    text = f" {words} "
+    out, low = [], 0
+    while True:
+        first = text.rindex(" ", 0, low + 1)
+        if low + size + overlap >= len(text) - 1:
+            return [*out, text[first:]]
+        out.append(text[first : text.index(" ", low + size + overlap) + 1])
+        low += size
+
+
+def anchors(words: str, min_words: int, edits: int, counts: np.ndarray) -> np.ndarray:
+    """The hashes of the rarest q-gram of each of the edits+1 pieces of every passage."""
+    runs = passages(words, min_words)
+    q = gram_size(int((runs[:, 1] - runs[:, 0]).min()), edits)
+    g = _grams(_points(f" {words} "), q)
+    seen = counts[(g >> np.uint64(44)).astype(np.int64)]
+    _, order = np.unique(np.stack([seen.astype(np.uint64), g], axis=1), axis=0, return_inverse=True)
+    order = order.reshape(-1)
+    best: set[int] = set()
+    for a, b in runs.tolist():
+        for i in range(edits + 1):
+            low, high = a + i * (b - a) // (edits + 1), a + (i + 1) * (b - a) // (edits + 1)
+            best.add(low + int(order[low : high - q + 1].argmin()))
+    return np.unique(g[sorted(best)])
+
+
+def banded_distances(pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """For each region the least number of edits that turn pattern[begin : begin + size] into some piece of text[start : stop], over alignments whose diagonals lie in
+    low .. low + width - 1. All regions advance together, a row of their matrices at a time."""
+    n, most = stop - start, int(size.max()) if len(size) else 0
+    big = np.int32(most + 1)
+    diagonals = low[:, None] + np.arange(width)
+    step = np.arange(width, dtype=np.int32)
+    row = np.where((diagonals >= 0) & (diagonals <= n[:, None]), np.int32(0), big)
+    best = np.where(size == 0, row.min(axis=1), big)
+    for i in range(1, most + 1):
         end = diagonals + i  # characters of the text used so far
-        inside = (end >= 0) & (end <= len(t))
-        here = np.zeros(len(diagonals), bool)
+        inside = (end >= 0) & (end <= n[:, None])
         used = inside & (end > 0)
-        here[used] = t[end[used] - 1] == c
+        here = text[np.where(used, start[:, None] + end - 1, 0)] == pattern[np.minimum(begin + i - 1, len(pattern) - 1)][:, None]
         new = np.where(used, row + ~here, big)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
         new = np.where(inside, new, big)
-        row = np.minimum.accumulate(new - step) + step
-        row = np.where(inside, row, big)
-    return int(row.min()) if len(row) else big
+        row = np.where(inside, np.minimum.accumulate(new - step, axis=1) + step, big)
+        best = np.where(size == i, row.min(axis=1), best)
+    return best
+
+
+def confirmed(texts: list[str], items: list[str], min_words: int, edits: int) -> np.ndarray:
+    """For each pair of a text (piece) and an item, both with outer blanks, whether the text has a passage of the item within the edit budget."""
+    runs = [passages(x[1:-1], min_words) for x in items]
+    q_of = np.array([gram_size(int((r[:, 1] - r[:, 0]).min()), edits) if len(r) else 0 for r in runs])
+    out = np.zeros(len(texts), bool)
+    for q in np.unique(q_of[q_of > 0]):
+        which = np.flatnonzero(q_of == q)
+        out[which] = _confirmed([texts[i] for i in which], [items[i] for i in which], [runs[i] for i in which], edits, int(q))
+    return out
+
+
+def _local(parts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All parts as one array of code points, where each begins, and the q-grams inside a part: their hash, part and place in it."""
+    points = _points("".join(parts))
+    at = np.cumsum([0, *map(len, parts)])
+    g = _grams(points, q)
+    part = np.searchsorted(at, np.arange(len(g)), "right") - 1
+    place = np.arange(len(g)) - at[part]
+    keep = place + q <= (at[1:] - at[:-1])[part]
+    return points, at, g[keep], part[keep], place[keep]
+
 
+def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits: int, q: int) -> np.ndarray:
+    points, at, g, pair, place = _local(texts, q)
+    ipoints, iat, ig, ipair, iplace = _local(items, q)
+    own = lambda h, p: mix(h ^ mix(p.astype(np.uint64) + np.uint64(1)))  # noqa: E731  (equal only within a pair)
+    ikey = own(ig, ipair)
+    order = np.argsort(ikey, kind="stable")
+    ikey, iplace = ikey[order], iplace[order]
+    key = own(g, pair)
+    first = np.searchsorted(ikey, key, "left")
+    many = np.searchsorted(ikey, key, "right") - first
+    hit = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    pair, spot = np.repeat(pair, many), iplace[hit]
+    diagonal = np.repeat(place, many) - spot
+    width = edits + 1
+    need = np.array([int((r[:, 1] - r[:, 0]).min()) - q + 1 - q * edits for r in runs])
+    waiting: list[tuple[int, int, np.ndarray]] = []  # pair, first diagonal, passages to be aligned
+    # Bands of twice the width, each overlapping the next by half, hold any e+1 neighbouring diagonals together.
+    span = 2 * width if edits else 1
+    for shift in (0, width) if edits else (0,):
+        band = (diagonal + shift) // span
+        order = np.lexsort((spot, band, pair))
+        p, b, s = pair[order], band[order], spot[order]
+        new = np.flatnonzero(np.r_[len(p) > 0, (p[1:] != p[:-1]) | (b[1:] != b[:-1])])
+        n = np.diff(np.r_[new, len(p)])
+        for x, many in zip(new[keep := n >= need[p[new]]], n[keep], strict=True):
+            r, places = runs[p[x]], np.unique(s[x : x + many])
+            seen = np.searchsorted(places, r[:, 1] - q, "right") - np.searchsorted(places, r[:, 0], "left")
+            r = r[seen >= r[:, 1] - r[:, 0] - q + 1 - q * edits]
+            if len(r):
+                waiting.append((int(p[x]), int(b[x]) * span - shift - edits, r))
+    out = np.zeros(len(texts), bool)
+    turn = 0
+    while waiting:  # a passage of each band in turn, until one of the pair's fits or none is left
+        which = np.array([p for p, _, _ in waiting])
+        low = np.array([d for _, d, _ in waiting])
+        a, b = np.array([r[turn] for _, _, r in waiting]).T
+        got = banded_distances(ipoints, iat[which] + a, b - a, points, at[which], at[which + 1], low + a, span + 2 * edits)
+        out[which[got <= edits]] = True
+        turn += 1
+        waiting = [w for w in waiting if not out[w[0]] and len(w[2]) > turn]
+    return out
 
-def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, item_column: str, passage_column: str, min_words: int = 12, edits: int = 0, q: int = 16) -> DataFrame:
-    """(doc_id, item_id) of every text that has min_words consecutive words of an item's passage, with at most so many edits in them; each pair once.
 
-    Null or empty texts and passages, and passages of fewer words, are no case; null ids are left out; repeated rows count once; whole texts are
-    searched, whatever their length. An empty table on either side gives no row. Only the named columns are read. The items go to all executors in
-    blocks of at most BLOCK_CHARS characters (or one item), for each of which the corpus is read once.
+def _batches(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    low = total = 0
+    for i, n in enumerate(sizes):
+        if i > low and total + n > limit:
+            yield low, i
+            low, total = i, 0
+        total += n
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def _worded(rows: DataFrame, id_column: str, text_column: str, schema: str, made) -> DataFrame:  # noqa: ANN001
+    """made(words) -> rows for each text, after its id."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, *r) for i, x in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in made(plain_words(x))]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    named = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    return named.mapInArrow(run, schema)
+
+
+def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, item_column: str, passage_column: str, min_words: int = 12, edits: int = 0) -> DataFrame:
+    """(doc_id, item_id) of every text that has min_words consecutive words of an item's passage, with at most so many edits of characters; each pair once.
+
+    An edit inserts, deletes or replaces a character of the words joined by single blanks; the blanks around the run belong to it, so without edits whole words must agree. Null or
+    empty texts and passages, and passages of fewer words, are no case; null ids are left out; repeated rows count once; an id with several texts or passages stands for
+    all of them; whole texts are searched, whatever their length. An empty table on either side gives no row. Only the named columns are read. Raises ValueError if the edits could
+    use up a whole passage of one-letter words.
     """
-    held = items.select(F.col(item_column).cast("long").alias("item_id"), F.col(passage_column).alias("passage")).filter("item_id IS NOT NULL AND passage IS NOT NULL").distinct()
-    size = held.agg(F.sum(F.length("passage"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // BLOCK_CHARS))
-    named = rows.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    if min_words < 1 or edits < 0 or 2 * min_words + 1 < edits + 1:
+        raise ValueError(f"passages of {min_words} words can be edited away with {edits} edits")
     spark = rows.sparkSession
-    out: DataFrame | None = None
-    for block in range(blocks):
-        part = held.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], plain_words(r["passage"])) for r in part], min_words, edits, q))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("id").to_pylist()
-                found = index.value.find([plain_words(x) for x in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[i] for i, _ in found], pa.int64()), "item_id": pa.array([x for _, x in found], pa.int64())})
-
-        got = named.mapInArrow(run, "doc_id long, item_id long")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+
+    def item(words: str) -> list[tuple]:
+        r = passages(words, min_words)
+        size = r[:, 1] - r[:, 0]
+        return [(f" {words} ", int(size.max()), gram_size(int(size.min()), edits))] if len(r) else []
+
+    held = store(_worded(items, item_column, passage_column, "item_id long, item string, longest int, q int", item).distinct(), "items")
+    known = held.agg(F.max("longest").alias("longest"), F.collect_set("q").alias("sizes")).first()  # at most one of each of Q
+    overlap, sizes = (known["longest"] or 0) + 2 * edits + 2, sorted(known["sizes"])
+    texts = store(_worded(rows, id_column, text_column, "doc_id long, piece int, words string", lambda w: list(enumerate(pieces_of(w, overlap))) if w and sizes else []), "texts")
+
+    def every_gram(column: pa.Array) -> np.ndarray:
+        parts = column.to_pylist()
+        return np.concatenate([_local(parts[a:b], q)[2] for a, b in _batches(list(map(len, parts)), CHUNK_CHARS) for q in sizes] or [np.zeros(0, np.uint64)])
+
+    counts = spark.sparkContext.broadcast(slot_counts(texts.select("words"), every_gram))  # SLOTS numbers
+
+    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ident, x in zip(batch.column("item_id").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                g = anchors(x[1:-1], min_words, edits, counts.value).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(g), "item_id": pa.array([ident] * len(g), pa.int64())})
+
+    marks = store(held.mapInArrow(find_anchors, "gram long, item_id long").distinct(), "anchors")
+    bits = int(np.clip(int(marks.count() * 16).bit_length(), *BITS))
+    word = F.shiftrightunsigned("gram", 64 - bits + 6)
+    rows_of_map = marks.groupBy(word.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 AS INT))")).alias("bits")).toPandas()  # 2 ** 21 rows at most
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[rows_of_map["at"].to_numpy(np.int64)] = rows_of_map["bits"].to_numpy(np.int64)
+    maybe = spark.sparkContext.broadcast(table)
+
+    def find_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = maybe.value.view(np.uint64)
+        for batch in batches:
+            ids, piece, parts = batch.column("doc_id").to_numpy(), batch.column("piece").to_numpy(), batch.column("words").to_pylist()
+            for a, b in _batches(list(map(len, parts)), CHUNK_CHARS):
+                for q in sizes:
+                    _, _, g, part, _ = _local(parts[a:b], q)
+                    slot = g >> np.uint64(64 - bits)
+                    hit = np.flatnonzero(known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                    g, part = g[hit], part[hit]
+                    order = np.lexsort((g, part))
+                    g, part = g[order], part[order]
+                    keep = np.r_[len(g) > 0, (g[1:] != g[:-1]) | (part[1:] != part[:-1])][: len(g)]
+                    g, part = g[keep], a + part[keep]
+                    yield pa.RecordBatch.from_pydict({"gram": pa.array(g.view(np.int64)), "doc_id": pa.array(ids[part]), "piece": pa.array(piece[part])})
+
+    hits = texts.mapInArrow(find_hits, "gram long, doc_id long, piece int")
+    pairs = hits.join(marks, "gram").select("doc_id", "piece", "item_id").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, item = batch.column("words").to_pylist(), batch.column("item").to_pylist()
+            good = [confirmed(words[a:b], item[a:b], min_words, edits) for a, b in _batches([len(x) + len(y) for x, y in zip(words, item, strict=True)], CHUNK_CHARS)]
+            keep = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
+            yield batch.select(["doc_id", "item_id"]).filter(keep)
+
+    both = pairs.join(texts, ["doc_id", "piece"]).join(held.select("item_id", "item"), "item_id").select("doc_id", "item_id", "words", "item")
+    return both.mapInArrow(verify, "doc_id long, item_id long").distinct()
 
 
 def leaked_items(found: DataFrame, items: DataFrame, item_column: str) -> DataFrame:

@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm.bktree import Forest
-from larkspan.llm.hashing import chunks, distinct, mix, shingles, word_form
+from larkspan.llm.hashing import SLOTS, chunks, distinct, mix, shingles, slot_counts, word_form
 from larkspan.plans.lineage import store
 
-SLOTS = 1 << 20  # of the rarity sketch: 4 MB as sent to the executors, whatever the input
-PART = 4096  # slots in one row of the sketch while it is summed
 HOT = 20_000  # texts of one tree; beyond that it is split into several, each searched by all
 PRINT_WORDS = 8  # fingerprint of 512 bits: unrelated texts of up to some 400 shingles lie well beyond the radius
 
@@ -46,32 +44,6 @@ def word_forms(rows: DataFrame, id_column: str, text_columns: list[str], least:
     return rows.select(F.col(id_column).cast("long").alias("id"), *texts).filter("id IS NOT NULL").mapInArrow(run, "id long, w string")
 
 
-def _sketch(texts: DataFrame, k: int) -> np.ndarray:
-    """How often the shingles of each slot occur in all texts. Summed by executors; SLOTS numbers reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for a, b in chunks(batch.column("w")):
-                _, h = shingles(batch.column("w").slice(a, b - a), k)
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            rows = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(-1, PART)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(len(rows), dtype=np.int32)), "counts": pa.array([r.tobytes() for r in rows], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(PART, np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_buffer(), np.uint32)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
-
-    schema = "part int, counts binary"
-    out = np.zeros((SLOTS // PART, PART), np.uint32)
-    for r in texts.select("w").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
-        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.reshape(-1)
-
-
 def _pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, member: np.ndarray, rank: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
     """A row for each partition: its keys, and what is known of the texts that have them, column by column in one binary."""
     order = np.lexsort((doc, part))
@@ -158,7 +130,7 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     t = Fraction(threshold).limit_denominator(1000)
     up, down = t.numerator, t.denominator
     spark = texts.sparkSession
-    table = _sketch(texts, k)
+    table = slot_counts(texts.select("w"), lambda column: shingles(column, k)[1])
     noise = int(table.sum(dtype=np.int64) // SLOTS)
     known = spark.sparkContext.broadcast(table)  # SLOTS numbers
     # A print goes once to each part that has a shingle of its text, so parts are fewer than partitions.

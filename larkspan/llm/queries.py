@@ -68,14 +68,19 @@ def p5_surprising(spark: SparkSession, d: str) -> DataFrame:
     return _tags(spark, d, 1).filter("significant")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", min_words=12)
+def _leaks(spark: SparkSession, d: str, edits: int = 0) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage", min_words=12, edits=edits)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p6_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 12 words of a passage in which up to two characters were changed, added or lost."""
+    return _leaks(spark, d, 2)
+
+
 def p6_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"), "item_id")
 
@@ -101,7 +106,7 @@ def p8_consistent_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p1_note_groups, p3_found, p3_term_frequencies, p4_found, p4_top10, p5_found, p5_tag_pairs, p5_surprising, p6_found, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_consistent_texts)
+    every = (p1_found, p1_note_groups, p3_found, p3_term_frequencies, p4_found, p4_top10, p5_found, p5_tag_pairs, p5_surprising, p6_found, p6_edited, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_consistent_texts)
     return {f.__name__: f for f in every}
 
 
@@ -134,8 +139,38 @@ p AS (SELECT x.i AS a, y.i AS b, count(*) AS n_ab FROM t x JOIN t y ON x.r = y.r
 """
 
 
+_GROUPS = """
+WITH RECURSIVE e AS (SELECT DISTINCT id, list_transform(regexp_extract_all(coalesce(title, '') || chr(10) || coalesce(content, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM knowledge_entries),
+k AS (SELECT id, min(id) OVER (PARTITION BY w) AS class_id, w FROM e WHERE len(w) >= 20), c AS (SELECT id, w FROM k WHERE id = class_id),
+g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM c)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL), l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c * 10 >= 6 * (x.n + y.n - c)),
+s AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id, id AS top FROM c UNION SELECT s.b, r.top FROM r JOIN s ON s.a = r.id), m AS (SELECT id, min(top) AS group_id FROM r GROUP BY id)
+SELECT k.id, class_id, count(*) OVER (PARTITION BY class_id) AS n_copies, (SELECT count(*) FROM s WHERE s.a = class_id) AS n_links, group_id FROM k JOIN m ON m.id = class_id
+"""
+
+
+def _forms(query: str) -> str:
+    """SQL over f(doc_id, text, form) and i(item_id, form): every character is looked up in the table of forms, and the result is composed."""
+    made = [(p, f) for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (f := canonical.form(chr(p))) != chr(p)]
+    codes, forms = ", ".join(str(p) for p, _ in made), ", ".join("'" + f.replace("'", "''") + "'" for _, f in made)
+    per = "SELECT {1}, nfc_normalize(coalesce(string_agg(coalesce(m.f, c), '' ORDER BY n), '')) AS form FROM (SELECT {1}, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS n FROM {0}) LEFT JOIN m ON m.p = unicode(c) GROUP BY {1}"
+    docs, items = per.format("d", "doc_id"), per.format("q", "item_id")
+    return f"""WITH m AS (SELECT unnest([{codes}]) AS p, unnest([{forms}]) AS f), d AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), q AS (SELECT item_id, any_value(passage) AS t FROM eval_items WHERE passage IS NOT NULL GROUP BY item_id),
+f AS (SELECT doc_id, t AS text, coalesce(form, '') AS form FROM d LEFT JOIN ({docs}) USING (doc_id)), i AS ({items}) {query}"""
+
+
+_LEAKS = """, dw AS (SELECT doc_id, list_filter(string_split_regex(lower(form), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM f), iw AS (SELECT item_id, list_filter(string_split_regex(lower(form), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM i),
+ds AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 11) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw)), si AS (SELECT DISTINCT item_id, list_slice(w, k, k + 11) AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw)),
+x AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (s)) """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_note_groups": _GROUPS,
+        "p6_found": _forms(_LEAKS + "SELECT doc_id, item_id FROM x"),
+        "p6_leaked_items": _forms(_LEAKS + "SELECT e.item_id, count(x.doc_id) AS n_documents FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN x USING (item_id) GROUP BY e.item_id"),
+        "p8_found": _forms("SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"),
+        "p8_consistent_texts": _forms("SELECT doc_id, form AS text FROM f UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
         "p1_found": _PAIRS,
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark <> 'usable'",
         "p3_term_frequencies": _TERMS + "SELECT * FROM m",

@@ -1,5 +1,7 @@
+import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 from larkspan.llm import canonical, leakage, mixture
@@ -76,21 +78,70 @@ def test_leaks(spark, rows):
     assert rows(leakage.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "passage")) == []
 
 
-def test_leaks_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
+def test_leaks_across_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(leakage, "PIECE", 100)
     texts = {i: " ".join(f"w{i}x{j}" for j in range(14)) for i in range(9)}
     items = spark.createDataFrame(list(texts.items()), "item_id long, passage string")
-    docs = spark.createDataFrame([(i, "z " + texts[i] + " " + texts[(i + 1) % 9]) for i in range(9)], "doc_id long, text string")
-    assert rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage")) == sorted((i, j) for i in range(9) for j in (i, (i + 1) % 9))
-
-
-def test_leaks_with_edits():
-    index = leakage.Index([(1, ITEM)], 12, 2, 6)
-    hit = ITEM.replace("five", "fve").replace("nine", "nines")
-    assert index.find([hit, "no such text at all", ITEM[:30], ITEM.replace("five", "fv").replace("nine", "xx")]) == [(0, 1)]
-    assert leakage.banded_distance("abcdef", "xxabdefyy", -3, 5) == 1
-    with pytest.raises(ValueError, match="too long"):
-        leakage.Index([(1, ITEM)], 12, 9, 16)
+    docs = spark.createDataFrame([(i, "z " * (13 * i) + texts[i] + " y " * 40 + texts[(i + 1) % 9]) for i in range(9)], "doc_id long, text string")
+    for edits in (0, 1):
+        assert rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "passage", edits=edits)) == sorted((i, j) for i in range(9) for j in (i, (i + 1) % 9))
+
+
+def test_pieces_hold_every_stretch():
+    words = " ".join("x" * (i % 17 + 1) for i in range(300)) + " " + "y" * 400 + " z"
+    text = f" {words} "
+    for size in (40, 150, 10_000):
+        parts = leakage.pieces_of(words, 60, size)
+        assert all(p[0] == p[-1] == " " for p in parts)
+        blanks = [i for i, c in enumerate(text) if c == " "]
+        for i, a in enumerate(blanks):
+            for b in blanks[i + 1 :]:
+                if b + 1 - a <= 60:
+                    assert any(text[a : b + 1] in p for p in parts)
+
+
+def edit_distance_inside(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 5])
+def test_leaks_against_brute_force(spark, rows, edits):
+    rng = random.Random(edits)
+    words = [f"w{i}" for i in range(40)]
+    passages = {i: " ".join(rng.choice(words) for _ in range(rng.choice([5, 6, 9]))) for i in range(12)}
+    passages[12] = passages[3]
+    passages[13] = "a b c d e f"
+    texts = {}
+    for i in range(50):
+        x = passages[rng.randrange(14)]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(x))
+            x = x[:at] + rng.choice(["", "q", x[at] + " "]) + x[at + 1 :]
+        texts[i] = " ".join([rng.choice(words) for _ in range(rng.randrange(4))] + x.split() + [rng.choice(words) for _ in range(rng.randrange(4))])
+    expected = []
+    for i, x in texts.items():
+        for j, p in passages.items():
+            w = p.split()
+            runs = [" " + " ".join(w[k : k + 6]) + " " for k in range(len(w) - 5)]
+            if any(edit_distance_inside(r, f" {x} ") <= edits for r in runs):
+                expected.append((i, j))
+    docs, items = (spark.createDataFrame(list(x.items()), f"{c} long, text string") for c, x in (("doc_id", texts), ("item_id", passages)))
+    got = rows(leakage.leaks(docs, "doc_id", "text", items, "item_id", "text", min_words=6, edits=edits))
+    assert got == sorted(expected, key=repr) and got
+
+
+def test_banded_distances():
+    pattern, text = (leakage._points(x) for x in ("abcdefabc", "xxabdefyyabcxx"))
+    got = leakage.banded_distances(pattern, np.array([0, 6, 0]), np.array([6, 3, 0]), text, np.array([0, 9, 0]), np.array([9, 14, 3]), np.array([-3, -1, 0]), 9)
+    assert got.tolist() == [1, 0, 0]
+    with pytest.raises(ValueError, match="edited away"):
+        leakage.leaks(None, "a", "b", None, "c", "d", 2, 9)
 
 
 TARGETS = "source string, target_share double, max_repeats int"
