@@ -6,6 +6,9 @@ One tree over everything would have to be visited almost whole, as unrelated tex
 broadcast. So the trees are shards, one for each shingle: a text of n shingles is a member of the trees of its rarest n-ceil(2tn/(1+t))+1 shingles and
 searches those of its rarest n-ceil(tn)+1 for texts that are not larger. Under any total order two texts of similarity t share a shingle that is among
 the former of the smaller and the latter of the larger, so each pair meets in a tree, and the trees are spread by a shuffle instead of a broadcast.
+
+Fingerprints have some two bits for each shingle of their text, in powers of two; a longer one is folded to the length of a shorter one, which keeps every bit the parity of what hashes
+to it. Trees are parted by size, so all fingerprints of a tree are equally long. The trees are routed in as many parts as hold PART_BYTES each, whatever the cluster's settings.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import functions as F
 
 from larkspan.llm.bktree import Forest
 from larkspan.llm.hashing import SLOTS, chunks, distinct, mix, shingles, slot_counts, word_form
-from larkspan.plans.lineage import store
+from larkspan.plans.lineage import drop, store
 
 HOT = 20_000  # texts of one tree; beyond that it is split into several, each searched by all
-PRINT_WORDS = 8  # fingerprint of 512 bits: unrelated texts of up to some 400 shingles lie well beyond the radius
+PART_BYTES = 48 << 20  # of routed trees that a task holds
+TOKEN_BYTES = 52  # of a text in one tree: its share of the fingerprint, id and size, and the key
+WIDEST = 64  # words of the longest fingerprints: those of longer texts tell less, and more of them are compared in full
 
 
 def word_forms(rows: DataFrame, id_column: str, text_columns: list[str], least: int) -> DataFrame:
@@ -44,38 +49,77 @@ def word_forms(rows: DataFrame, id_column: str, text_columns: list[str], least:
     return rows.select(F.col(id_column).cast("long").alias("id"), *texts).filter("id IS NOT NULL").mapInArrow(run, "id long, w string")
 
 
-def _pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, member: np.ndarray, rank: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+def print_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words in the fingerprint of a text of n shingles: 2 up to 64 shingles, and twice as many whenever n doubles."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 33) / 32)).astype(np.int64), WIDEST)
+
+
+def fingerprints(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints of texts with n distinct shingles each, one after another, and where each begins; row and h are the shingles' texts and hashes."""
+    width = print_words(n)
+    at = np.cumsum(width) - width
+    bit = (h & (width[row].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    flips = np.zeros(int(width.sum()), np.uint64)
+    np.bitwise_xor.at(flips, at[row] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return flips, at
+
+
+def folded(flips: np.ndarray, at: np.ndarray, width: np.ndarray, to: int) -> np.ndarray:
+    """The fingerprints that begin there and have at least `to` words, folded to that many."""
+    out = np.empty((len(at), to), np.uint64)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        whole = flips[at[own][:, None] + np.arange(w)].reshape(len(own), w // to, to)
+        out[own] = np.bitwise_xor.reduce(whole, axis=1)
+    return out
+
+
+def _spans(at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """All positions of the spans, one after another."""
+    return np.repeat(at - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+
+
+def _pack(part: np.ndarray, key: np.ndarray, doc: np.ndarray, member: np.ndarray, rank: np.ndarray, ids: np.ndarray, n: np.ndarray, flips: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """A row for each partition: its keys, and what is known of the texts that have them, column by column in one binary."""
     order = np.lexsort((doc, part))
     part, key, doc, member, rank = part[order], key[order], doc[order], member[order], rank[order]
     parts, first = np.unique(part, return_index=True)
+    width = print_words(n)
     blobs = []
     for a, b in zip(first, [*first[1:], len(part)], strict=True):
         own, local = np.unique(doc[a:b], return_inverse=True)
         head = np.array([len(own), b - a], np.int64)
-        blobs.append(b"".join(x.tobytes() for x in (head, ids[own], n[own], prints[own], key[a:b], (local * 2 + member[a:b]).astype(np.uint32), rank[a:b])))
+        prints = flips[_spans(at[own], width[own])]
+        blobs.append(b"".join(x.tobytes() for x in (head, ids[own], n[own].astype(np.int32), prints, key[a:b], (local * 2 + member[a:b]).astype(np.uint32), rank[a:b])))
     return pa.RecordBatch.from_pydict({"part": pa.array(parts.astype(np.int32)), "blob": pa.array(blobs, pa.binary())})
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    out: list[list[np.ndarray]] = [[] for _ in range(7)]
-    docs = 0
+    ids, sizes, prints, keys, docs, members, ranks = out = [], [], [], [], [], [], []
+    seen = 0
     for blob in blobs:
-        nd, nk = np.frombuffer(blob, np.int64, 2)
-        at = 16
-        for slot, (kind, many) in enumerate(((np.int64, nd), (np.int64, nd), (np.uint64, nd * PRINT_WORDS), (np.uint32, nk), (np.uint32, nk), (np.uint8, nk))):
-            x = np.frombuffer(blob, kind, int(many), at)
-            at += x.nbytes
-            out[slot if slot < 5 else 6].append(x)
-        last = out[4].pop()
-        out[4].append((last >> np.uint32(1)).astype(np.int64) + docs)
-        out[5].append((last & np.uint32(1)).astype(bool))
-        docs += int(nd)
-    ids, n, prints, key, doc, member, rank = (np.concatenate(x) for x in out)
-    return ids, n, prints.reshape(-1, PRINT_WORDS), key, doc, member, rank
+        nd, nk = map(int, np.frombuffer(blob, np.int64, 2))
+        place = 16
+
+        def take(kind: type, many: int) -> np.ndarray:
+            nonlocal place
+            x = np.frombuffer(blob, kind, many, place)  # noqa: B023 - used before the next blob
+            place += x.nbytes
+            return x
 
+        ids.append(take(np.int64, nd))
+        sizes.append(take(np.int32, nd).astype(np.int64))
+        prints.append(take(np.uint64, int(print_words(sizes[-1]).sum())))
+        keys.append(take(np.uint32, nk))
+        last = take(np.uint32, nk)
+        docs.append((last >> np.uint32(1)).astype(np.int64) + seen)
+        members.append((last & np.uint32(1)).astype(bool))
+        ranks.append(take(np.uint8, nk))
+        seen += nd
+    return tuple(np.concatenate(x) for x in out)
 
-_EDGES = np.unique(np.ceil(1.25 ** np.arange(0, 63)).astype(np.int64))  # fewer than 64 bands
+
+_EDGES = np.unique(np.r_[np.ceil(1.25 ** np.arange(0, 63)).astype(np.int64), 64 * 2 ** np.arange(6) + 1])  # fewer than 128 bands, each of one length of fingerprints
 
 
 def _band(n: np.ndarray) -> np.ndarray:
@@ -93,7 +137,9 @@ def _bands(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def _meet(blobs: list[bytes], up: int, down: int) -> pa.RecordBatch:
     """The pairs within each other's radius in the trees of a part, each once."""
-    ids, n, prints, key, doc, member, rank = _unpack(blobs)
+    ids, n, flips, key, doc, member, rank = _unpack(blobs)
+    width = print_words(n)
+    at = np.cumsum(width) - width
     found = []
     order = np.lexsort((ids[doc], n[doc], key))
     key, doc, member, rank = key[order].astype(np.int64), doc[order], member[order], rank[order].astype(np.int64)
@@ -110,22 +156,32 @@ def _meet(blobs: list[bytes], up: int, down: int) -> pa.RecordBatch:
         # A key has a tree for each band of sizes, and a text searches the bands that hold its possible partners.
         least = -(-x * up // down)
         n_bands, low = _bands(least, np.minimum(most, x)), _band(least)
-        band = np.cumsum(n_bands) - n_bands
-        at = np.repeat(np.arange(len(x)), n_bands)
-        own = (key[at] << 6) | (low[at] + np.arange(len(at)) - band[at])
-        query, before, radius = doc[at], before[at], (2 * x * (down - up) // (down + up))[at]
-        forest = Forest((tree << 6) | _band(n[item]), prints[item])
-        for q, i, d in forest.within(own, prints[query], radius, before):
-            x, y = n[query[q]], n[item[i]]
-            fit = (d * (down + up) <= (down - up) * (x + y)) & (y * down >= x * up)
-            one, two = ids[query[q[fit]]], ids[item[i[fit]]]
-            found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
+        first = np.cumsum(n_bands) - n_bands
+        entry = np.repeat(np.arange(len(x)), n_bands)
+        band = low[entry] + np.arange(len(entry)) - first[entry]
+        own = (key[entry] << 7) | band
+        highest = np.minimum(x[entry], np.r_[_EDGES, np.iinfo(np.int64).max][band] - 1)  # no partner of the band is larger
+        radius = (down - up) * (x[entry] + highest) // (down + up)
+        for to in np.unique(width[item]):
+            some = np.flatnonzero(width[item] == to)  # in order of key and size still
+            asks = np.flatnonzero((print_words(np.r_[1, _EDGES][band]) == to))
+            members, query = item[some], doc[entry[asks]]
+            limit = np.searchsorted(some, before[entry[asks]], "left")
+            forest = Forest((tree[some] << 7) | _band(n[members]), folded(flips, at[members], width[members], int(to)))
+            for low_q in range(0, len(asks), 1 << 15):
+                part = slice(low_q, low_q + (1 << 15))
+                prints = folded(flips, at[query[part]], width[query[part]], int(to))
+                for q, i, d in forest.within(own[asks[part]], prints, radius[asks[part]], limit[part]):
+                    one, two = query[part][q], members[i]
+                    fit = (d * (down + up) <= (down - up) * (n[one] + n[two])) & (n[two] * down >= n[one] * up)
+                    one, two = ids[one[fit]], ids[two[fit]]
+                    found.append(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def candidates(texts: DataFrame, k: int, threshold: float, parts: int | None = None) -> DataFrame:
     """Pairs (a, b) with a < b of texts (id, w) that lie within each other's radius in some tree: every pair of similarity threshold, and others."""
     t = Fraction(threshold).limit_denominator(1000)
     up, down = t.numerator, t.denominator
@@ -133,8 +189,9 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     table = slot_counts(texts.select("w"), lambda column: shingles(column, k)[1])
     noise = int(table.sum(dtype=np.int64) // SLOTS)
     known = spark.sparkContext.broadcast(table)  # SLOTS numbers
-    # A print goes once to each part that has a shingle of its text, so parts are fewer than partitions.
-    spread = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # A print goes once to each part that has a shingle of its text, so there are no more parts than their size and the cores ask for.
+    routed_bytes = int(table.sum(dtype=np.int64)) * (down - up) // down * TOKEN_BYTES
+    spread = parts or max(4, spark.sparkContext.defaultParallelism, -(-routed_bytes // PART_BYTES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +201,7 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
                 if not len(h):
                     continue
                 n = np.bincount(row, minlength=len(ids))
-                bit = (h & np.uint64(64 * PRINT_WORDS - 1)).astype(np.int64)
-                flips = np.zeros(len(ids) * PRINT_WORDS, np.uint64)
-                np.bitwise_xor.at(flips, row * PRINT_WORDS + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+                flips, at = fingerprints(row, h, n)
                 seen = known.value[(h >> np.uint64(44)).astype(np.int64)].astype(np.int64)
                 order = np.lexsort((h, seen, row))
                 row, h, seen = row[order], h[order], seen[order]
@@ -156,11 +211,11 @@ def candidates(texts: DataFrame, k: int, threshold: float) -> DataFrame:
                 early = rank < (n - (2 * n * up + up + down - 1) // (up + down) + 1)[row]
                 blocks = 1 + np.maximum(seen - 2 * noise, 0) // HOT
                 own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % blocks
-                at = np.repeat(np.arange(len(row)), blocks)  # a query of every block, a member of its own
-                block = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                key = np.where(blocks[at] > 1, mix(h[at] + block.astype(np.uint64)), h[at])
+                again = np.repeat(np.arange(len(row)), blocks)  # a query of every block, a member of its own
+                block = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                key = np.where(blocks[again] > 1, mix(h[again] + block.astype(np.uint64)), h[again])
                 part = (key >> np.uint64(32)).astype(np.int64) % spread
-                yield _pack(part, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[at], early[at] & (block == own[at]), (rank * 255 // n[row]).astype(np.uint8)[at], ids, n, flips.reshape(-1, PRINT_WORDS))
+                yield _pack(part, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), row[again], early[again] & (block == own[again]), (rank * 255 // n[row]).astype(np.uint8)[again], ids, n, flips, at)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [c.as_py() for batch in batches for c in batch.column("blob")]
@@ -205,13 +260,13 @@ def near_duplicates(rows: DataFrame, id_column: str, text_columns: list[str], k:
     table gives empty results. Only the named columns are read. Every pair of classes of the threshold's similarity is linked; none is lost.
     """
     least = max(least_words, k)
-    named = word_forms(rows, id_column, text_columns, least)
-    classes = store(named.groupBy("w").agg(F.min("id").alias("id"), F.max("id").alias("most")), "classes")
+    prints = [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2")]
+    named = store(word_forms(rows, id_column, text_columns, least).select("id", "w", *prints), "words")
+    classes = store(named.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.any_value("w").alias("w")), "classes")
     links = verified(candidates(classes, k, threshold), classes, k, threshold)
     # Only classes of several ids need a look at the members; the rest stand for themselves.
-    prints = [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2")]
-    several = classes.filter("id <> most").select(F.col("id").alias("class_id"), *prints)
-    copies = named.select("id", *prints).join(several, ["h1", "h2"]).select("id", "class_id").distinct()
+    several = classes.filter("id <> most").select(F.col("id").alias("class_id"), "h1", "h2")
+    copies = named.select("id", "h1", "h2").join(several, ["h1", "h2"]).select("id", "class_id").distinct()
     single = classes.filter("id = most").select("id", F.col("id").alias("class_id"))
     return links, single.unionByName(copies)
 
@@ -240,7 +295,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store(small.unionByName(least.toDF("u", "v")).distinct(), "stars")
+        old, edges = edges, store(small.unionByName(least.toDF("u", "v")).distinct(), "stars")
+        drop(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
