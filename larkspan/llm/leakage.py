@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +42,25 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        power = np.full(n, base, np.uint64)
+        power[0] = 1
+        out.append(np.multiply.accumulate(power))
+    return out[0], out[1]
+
+
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
     """A hash of every run of q code points; runs of another length have other hashes."""
     n = len(points)
     if n < q:
         return np.zeros(0, np.uint64)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
+    power, inverse = _powers(1 << max(16, n.bit_length()))
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(points.astype(np.uint64) * power[:-1], out=total[1:])
+    np.cumsum(points * power[:n], out=total[1:])
     return mix((total[q:] - total[:-q]) * inverse[: n - q + 1] + np.uint64(q))
 
 
@@ -134,10 +141,11 @@ def _local(parts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     points = _points("".join(parts))
     at = np.cumsum([0, *map(len, parts)])
     g = _grams(points, q)
-    part = np.searchsorted(at, np.arange(len(g)), "right") - 1
-    place = np.arange(len(g)) - at[part]
-    keep = place + q <= (at[1:] - at[:-1])[part]
-    return points, at, g[keep], part[keep], place[keep]
+    sizes = np.diff(at)
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[: len(g)]
+    keep = np.arange(len(g)) + q <= at[1:][part]
+    part = part[keep]
+    return points, at, g[keep], part, np.flatnonzero(keep) - at[part]
 
 
 def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits: int, q: int) -> np.ndarray:

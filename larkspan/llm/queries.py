@@ -101,12 +101,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_looking(table(spark, d, "documents"), "doc_id", "text").select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_consistent_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.consistent_texts(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("form").alias("text"))
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p1_note_groups, p3_found, p3_term_frequencies, p4_found, p4_top10, p5_found, p5_tag_pairs, p5_surprising, p6_found, p6_edited, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_consistent_texts)
+    every = (p1_found, p1_note_groups, p3_found, p3_term_frequencies, p4_found, p4_top10, p5_found, p5_tag_pairs, p5_surprising, p6_found, p6_edited, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_classes, p8_consistent_texts)
     return {f.__name__: f for f in every}
 
 
@@ -170,6 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _forms(_LEAKS + "SELECT doc_id, item_id FROM x"),
         "p6_leaked_items": _forms(_LEAKS + "SELECT e.item_id, count(x.doc_id) AS n_documents FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN x USING (item_id) GROUP BY e.item_id"),
         "p8_found": _forms("SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"),
+        "p8_classes": _forms("SELECT min(doc_id) AS class_id, count(*) AS n_documents, count(DISTINCT text) AS n_texts FROM f GROUP BY form HAVING count(DISTINCT text) > 1"),
         "p8_consistent_texts": _forms("SELECT doc_id, form AS text FROM f UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"),
         "p1_found": _PAIRS,
         "p3_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark <> 'usable'",

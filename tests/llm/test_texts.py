@@ -40,6 +40,15 @@ def test_forms_are_their_own_forms():
     assert not set(canonical.LOOKALIKES.values()) & set(canonical.LOOKALIKES)
 
 
+def test_clusters_against_normalisation():
+    rng = random.Random(3)
+    marks = [chr(p) for p in range(0x300, 0x370)] + ["\u200b", "\u05b0", "\u0f71", "\u0f72", "\u3099", "\uff9e", "\u1161", "\u11a8", "\u0653", "\u093c", "\u09be"]
+    bases = list("aеЕoοÉửẅ가각ᄀかｶﾊ\u0915\u09c7 ﬁ㎏Ａ½Ω\n")
+    for _ in range(60_000):
+        text = "".join(rng.choice(bases if rng.random() < 0.5 else marks) for _ in range(rng.randrange(1, 7)))
+        assert consistent(text) == canonical.form(text), [hex(ord(c)) for c in text]
+
+
 DOCS = "doc_id long, text string, form string, id int"
 
 
@@ -48,6 +57,7 @@ def test_same_looking(spark, rows):
     df = spark.createDataFrame(data, DOCS)
     assert rows(canonical.same_looking(df, "doc_id", "text")) == [(1, 2), (2, 3), (5, 6), (7, 8)]
     assert rows(canonical.same_looking(df.limit(0), "doc_id", "text")) == []
+    assert rows(canonical.look_alike_classes(df, "doc_id", "text")) == [(1, 3, 2), (5, 2, 2), (7, 2, 2)]
     forms = {r["id"]: r["form"] for r in canonical.consistent_texts(df, "doc_id", "text").collect()}
     assert forms[2] == "abc" and forms[4] is None and forms[6] == "" and len(forms[8]) == 300_000
 
