@@ -148,6 +148,16 @@ def _local(parts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return points, at, g[keep], part, np.flatnonzero(keep) - at[part]
 
 
+def _repairable(there: np.ndarray, runs: np.ndarray, q: int, edits: int) -> np.ndarray:
+    """Which runs keep q-grams (there: at which places of the item one was found) but for what so many edits can take: an edit spoils q neighbouring places at most."""
+    gone = np.where(there, len(there), np.arange(len(there)))
+    following = np.append(np.minimum.accumulate(gone[::-1])[::-1], len(there))  # the next place without a q-gram
+    at, last = runs[:, 0], runs[:, 1] - q
+    for _ in range(edits):
+        at = np.minimum(following[np.minimum(at, len(there))] + q, len(there))
+    return following[at] > last
+
+
 def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits: int, q: int) -> np.ndarray:
     points, at, g, pair, place = _local(texts, q)
     ipoints, iat, ig, ipair, iplace = _local(items, q)
@@ -161,7 +171,7 @@ def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits
     hit = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
     pair, spot = np.repeat(pair, many), iplace[hit]
     diagonal = np.repeat(place, many) - spot
-    width = edits + 1
+    width, sizes = edits + 1, np.diff(iat)
     need = np.array([int((r[:, 1] - r[:, 0]).min()) - q + 1 - q * edits for r in runs])
     waiting: list[tuple[int, int, np.ndarray]] = []  # pair, first diagonal, passages to be aligned
     # Bands of twice the width, each overlapping the next by half, hold any e+1 neighbouring diagonals together.
@@ -173,9 +183,9 @@ def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits
         new = np.flatnonzero(np.r_[len(p) > 0, (p[1:] != p[:-1]) | (b[1:] != b[:-1])])
         n = np.diff(np.r_[new, len(p)])
         for x, many in zip(new[keep := n >= need[p[new]]], n[keep], strict=True):
-            r, places = runs[p[x]], np.unique(s[x : x + many])
-            seen = np.searchsorted(places, r[:, 1] - q, "right") - np.searchsorted(places, r[:, 0], "left")
-            r = r[seen >= r[:, 1] - r[:, 0] - q + 1 - q * edits]
+            r, there = runs[p[x]], np.zeros(sizes[p[x]] + 1, bool)
+            there[s[x : x + many]] = True
+            r = r[_repairable(there, r, q, edits)]
             if len(r):
                 waiting.append((int(p[x]), int(b[x]) * span - shift - edits, r))
     out = np.zeros(len(texts), bool)
