@@ -50,8 +50,8 @@ def p4_top10(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("id", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-def _tags(spark: SparkSession, d: str, min_count: int) -> DataFrame:
-    return cooccurrence.together(table(spark, d, "knowledge_tags"), "knowledge_id", frequencies.term("tag"), min_count)
+def _tags(spark: SparkSession, d: str, min_count: int, significance: bool = False) -> DataFrame:
+    return cooccurrence.together(table(spark, d, "knowledge_tags"), "knowledge_id", frequencies.term("tag"), min_count, significance=significance)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p5_tag_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_surprising(spark: SparkSession, d: str) -> DataFrame:
-    return _tags(spark, d, 1).filter("significant")
+    return _tags(spark, d, 1, True).filter("significant")
 
 
 def _leaks(spark: SparkSession, d: str, edits: int = 0) -> DataFrame:

@@ -129,6 +129,38 @@ def test_model_keeps_the_margins():
     assert np.allclose((p * records).sum(axis=1), counts, rtol=1e-6) and np.allclose((p * items[:, None]).sum(axis=0), sizes, rtol=1e-6)
 
 
+def test_bins(spark, monkeypatch):
+    values = [1, 1, 2, 255, 256, 257, 258, 10_000, 10_020, 10**9]
+    n, many = cooccurrence.binned(spark.createDataFrame([(v,) for v in values], "n long"))
+    assert many.sum() == len(values) and (n * many).sum() == sum(values) and (np.diff(n) > 0).all()
+    assert n[:4].tolist() == [1, 2, 255, 256] and n[-1] == 10**9
+    x = np.array([0.1, 0.2, 4.0])
+    assert np.allclose(cooccurrence.interpolated(np.array([1, 2, 8]), np.array([1.0, 2, 8]), x), x)
+    with pytest.warns(UserWarning, match="within"):
+        cooccurrence.fit(np.array([1.0, 3]), np.array([2.0, 2]), np.array([1.0, 2]), np.array([4.0, 2]), rounds=1)
+
+
+def test_model_of_the_full_and_the_empty():
+    # One item in all 10 records, one only in the two records that have all 12 items.
+    counts, items = np.array([2.0, 4.8, 10]), np.array([1.0, 10, 1])
+    sizes, records = np.array([1.0, 5, 12]), np.array([1.0, 7, 2])
+    x, y = cooccurrence.fit(counts, items, sizes, records)
+    p = x[:, None] * y / (1 + x[:, None] * y)
+    assert np.allclose(p[2], 1) and np.allclose(p[:, 2], 1) and p[0, :2].max() < 1e-9 and p[:2, 0].max() < 1e-9
+    assert cooccurrence.fit(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))[0].size == 0
+
+
+def test_step_up_rule(spark):
+    rng = np.random.default_rng(1)
+    p = np.r_[10 ** rng.uniform(-9, -3, 40), rng.uniform(0, 1, 400)]
+    df = spark.createDataFrame([(float(v),) for v in np.log10(p)], "log10_p double")
+    for tests in (440, 5000):
+        ranked = np.sort(p)
+        ok = np.flatnonzero(ranked <= 0.05 * np.arange(1, len(p) + 1) / tests)
+        limit = cooccurrence.rejection_limit(df, tests, 0.05)
+        assert (np.log10(p) <= limit).sum() == (ok[-1] + 1 if len(ok) else 0)
+
+
 def test_tail_against_the_exact_distribution():
     m, q = np.array([30, 12, 5]), np.array([0.02, 0.2, 0.5])
     exact = np.array([1.0])
