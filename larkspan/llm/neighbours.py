@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from larkspan.plans.lineage import new_path
 
 TILE = 2048  # vectors of a tile of the collection
-QUERIES = 4096  # query vectors that meet the tiles together
+QUERIES = 4096  # query vectors that meet a tile together
+HELD = 1 << 16  # query vectors that a task holds, some 100 MB, for which it reads the tiles once
+SALTS = 64  # tasks over which the ids of one vector are spread
 DENSE = 0.02  # part of a tile beyond which its survivors are computed by one product instead of one by one
 
 
@@ -78,10 +80,10 @@ def join_tile(best: Best, q: np.ndarray, qs: np.ndarray, qe: np.ndarray, qunit:
     # |cos - approx| <= qe |t'| + |q'| te + qe te with |q'| <= 1 + qe, |t'| <= 1 + te; the last term holds what double precision itself rounds.
     slack = lambda a, b: a * (1 + b) + (1 + a) * b + a * b + 1e-9
     worst = float(te.max())
-    product = q.astype(np.float32) @ t.astype(np.float32).T  # whole numbers below 2**24: exact
-    needed = (best.bound() - slack(qe, worst)) / qs
-    scaled = product * ts.astype(np.float32)[None, :]
-    mask = scaled >= (needed - 1e-6 * np.abs(needed)).astype(np.float32)[:, None]
+    scaled = q.astype(np.float32) @ (t.astype(np.float32) * ts.astype(np.float32)[:, None]).T
+    # Whole numbers up to 127 times scaled ones: single precision is off by less than 64 roundings, a cosine of 1e-5.
+    needed = (best.bound() - slack(qe, worst) - 1e-5) / qs
+    mask = scaled >= needed.astype(np.float32)[:, None]
     a, b = np.nonzero(mask)
     if not len(a):
         return 0
@@ -89,7 +91,7 @@ def join_tile(best: Best, q: np.ndarray, qs: np.ndarray, qe: np.ndarray, qunit:
         sims = qunit @ tunit().T
         best.merge(a, sims[a, b], number[b])
         return mask.size
-    keep = scaled[a, b] * qs[a] + slack(qe[a], te[b]) + 1e-6 >= best.bound()[a]
+    keep = scaled[a, b] * qs[a] + slack(qe[a], te[b]) + 1e-5 >= best.bound()[a]
     a, b = a[keep], b[keep]
     units = tunit()
     for low in range(0, len(a), 1 << 16):
@@ -104,7 +106,8 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, group_column: s
     Only neighbours of similarity floor or more come out. A vector is usable if it has so many finite numbers, not all zero; other rows, null groups and null ids are
     left out. Repeated rows count once; an id with several vectors or groups is a row of each, and never its own neighbour. queries is a condition on the column
     id that says which ids get a list; all rows are searched for each. Groups of fewer than k+1 ids give shorter lists, an empty table gives none.
-    Costs the product of queries and rows in int8 tiles, spread evenly; the tiles are read from the shared folder, so no task holds more than one tile besides its queries.
+    Costs the product of queries and rows in int8 tiles, spread evenly; the tiles are read from the shared folder, once for HELD queries, so no task holds more than one tile besides
+    its queries.
     """
     spark = rows.sparkSession
     named = rows.select(F.col(id_column).cast("long").alias("id"), F.col(group_column).cast("string").alias("grp"), F.col(vector_column).cast("array<float>").alias("v"))
@@ -124,40 +127,53 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, group_column: s
     stored = spark.read.schema("raw binary, id long, most long, asked int, grp string").parquet(path)
     prints = [F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(3), "raw").alias("h2")]
     several = stored.filter("id <> most").select("grp", F.col("id").alias("class_id"), *prints)
-    copies = vectors.select("id", "grp", *prints).join(several, ["grp", "h1", "h2"]).select("grp", "class_id", "id")
-    members = stored.filter("id = most").select("grp", F.col("id").alias("class_id"), "id").unionByName(copies)
+    copies = vectors.select("id", "grp", *prints).join(several, ["grp", "h1", "h2"]).select("grp", "class_id", "id", F.lit(True).alias("shared"))
+    members = stored.filter("id = most").select("grp", F.col("id").alias("class_id"), "id", F.lit(False).alias("shared")).unionByName(copies)
 
     # The classes of a group, block by block: a block and the files of its group are one unit of work.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, base = fs.FileSystem.from_uri(path)
         folders: dict[str, ds.Dataset] = {}
+        held: dict[str, list[pa.RecordBatch]] = {}
+        waiting = 0
         for batch in batches:
             groups = np.array(batch.column("grp").to_pylist(), dtype=object)
             for g in dict.fromkeys(groups):
                 if g not in folders:
                     folders[g] = ds.dataset(f"{base}/{_escaped(g)}", filesystem=disk, format="parquet", exclude_invalid_files=False)
                 own = batch.filter(pa.array(groups == g))
-                for low in range(0, own.num_rows, QUERIES):
-                    yield from _block(own.slice(low, QUERIES), folders[g], g)
-
-    def _block(own: pa.RecordBatch, folder: ds.Dataset, g: str) -> Iterator[pa.RecordBatch]:
+                held.setdefault(g, []).append(own)
+                waiting += own.num_rows
+                # Rows come in order of groups: what another group left waiting is complete.
+                for done in [x for x in held if x != g or waiting >= HELD]:
+                    yield from _block(pa.Table.from_batches(held.pop(done)).combine_chunks(), folders[done], done)
+                waiting = sum(x.num_rows for xs in held.values() for x in xs)
+        for g, own in held.items():
+            yield from _block(pa.Table.from_batches(own).combine_chunks(), folders[g], g)
+
+    def _block(own: pa.Table, folder: ds.Dataset, g: str) -> Iterator[pa.RecordBatch]:
         unit = _unit(b"".join(x.as_py() for x in own.column("raw")), dimensions)
         q, qs, qe = quantised(unit)
         ids = own.column("id").to_numpy()
-        best = Best(len(ids), k + 1, floor)
+        shared = own.column("most").to_numpy() != ids
+        best = [Best(len(ids[low : low + QUERIES]), k + 1, floor) for low in range(0, len(ids), QUERIES)]
         for piece in folder.to_batches(columns=["raw", "id"], batch_size=TILE, batch_readahead=1, fragment_readahead=1, use_threads=False):
             if not piece.num_rows:
                 continue
             tile = _unit(b"".join(x.as_py() for x in piece.column("raw")), dimensions)
             t, ts, te = quantised(tile)
-            join_tile(best, q, qs, qe, unit, t, ts, te, lambda tile=tile: tile, piece.column("id").to_numpy())
-        a, place = np.nonzero(np.isfinite(best.sim))
-        yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(a), pa.string()), "class_id": pa.array(ids[a]), "near_class": pa.array(best.row[a, place]), "similarity": pa.array(best.sim[a, place])})
-
-    asked = stored.filter("asked = 1").select("grp", "raw", "id")
+            number = piece.column("id").to_numpy()
+            for i, b in enumerate(best):
+                part = slice(i * QUERIES, (i + 1) * QUERIES)
+                join_tile(b, q[part], qs[part], qe[part], unit[part], t, ts, te, lambda tile=tile: tile, number)
+        for i, b in enumerate(best):
+            a, place = np.nonzero(np.isfinite(b.sim))
+            yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(a), pa.string()), "class_id": pa.array(ids[i * QUERIES + a]), "shared": pa.array(shared[i * QUERIES + a]), "near_class": pa.array(b.row[a, place]), "similarity": pa.array(b.sim[a, place])})
+
+    asked = stored.filter("asked = 1").select("grp", "raw", "id", "most")
     n = spark.sparkContext.defaultParallelism
     found = asked.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("raw")).sortWithinPartitions("grp")
-    found = found.mapInArrow(search, "grp string, class_id long, near_class long, similarity double")
+    found = found.mapInArrow(search, "grp string, class_id long, shared boolean, near_class long, similarity double")
     return _expanded(found, members, k, queries)
 
 
@@ -175,8 +191,10 @@ def _expanded(found: DataFrame, members: DataFrame, k: int, queries: str) -> Dat
     lists = found.join(near, ["grp", "near_class"])
     # For each class the k+1 best of (similarity, id), then for each of its ids the k best others.
     lists = lists.withColumn("place", F.expr("row_number() OVER (PARTITION BY grp, class_id ORDER BY similarity DESC, neighbour)")).filter(F.col("place") <= k + 1)
-    asking = members.filter(F.expr(queries))
-    out = asking.join(lists, ["grp", "class_id"]).filter("id <> neighbour")
+    # A vector that many ids have is one row of a list and many of the asking: these are spread, and its list with them.
+    asking = members.filter(F.expr(queries)).withColumn("salt", F.when(F.col("shared"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    shared = F.when(F.col("shared"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    out = asking.drop("shared").join(lists.withColumn("salt", F.explode(shared)), ["grp", "class_id", "salt"]).filter("id <> neighbour")
     out = out.withColumn("rank", F.expr("row_number() OVER (PARTITION BY grp, class_id, id ORDER BY similarity DESC, neighbour)"))
     return out.filter(F.col("rank") <= k).select("id", "neighbour", "rank", "similarity")
 
