@@ -30,8 +30,13 @@ def test_oversized_partitions_are_split(spark, rows):
 def test_spill_leaves(tmp_path):
     spill = frequencies.Spill(str(tmp_path / "s"), leaf_bytes=3000, bits=2)
     table = pa.table({"h": pa.array(np.arange(5000) * (1 << 50), pa.int64()), "r": pa.array(range(5000), pa.int64())})
-    sizes = [os.path.getsize(p) for p in spill.leaves(iter([table]))]
-    assert len(sizes) > 4 and os.listdir(tmp_path / "s") == []
+    sizes = [leaf.count_rows() for leaf in spill.leaves(iter([table]))]
+    assert sum(sizes) == 5000 and max(sizes) * 16 <= 3000 and os.listdir(tmp_path / "s") == []
+
+
+def test_a_row_that_is_most_rows(spark, rows):
+    df = spark.range(300_000).select(F.lit("t").alias("field_name"), (F.col("id") % 3).cast("long").alias("record"), F.lit("Same").alias("value"))
+    assert rows(frequencies.frequencies(df)) == [("t", "same", 3, 3)]
 
 
 def test_marks(spark, rows):
@@ -72,6 +77,15 @@ def test_nearest(spark):
     assert neighbours.nearest(df.limit(0), "id", "v", "m", dimensions=8).count() == 0
 
 
+def test_queries_beyond_what_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HELD", 40)
+    monkeypatch.setattr(neighbours, "QUERIES", 16)
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=8).astype(np.float32).tolist(), "m%d" % (i % 2), 1, 1) for i in range(150)]
+    got = neighbours.nearest(spark.createDataFrame(data, VECTORS), "id", "v", "m", k=4, dimensions=8).collect()
+    assert sorted((r["id"], r["neighbour"], r["rank"]) for r in got) == nearest([r[:3] for r in data], 4)
+
+
 @pytest.mark.parametrize("dense", [0.0, 1.1])
 def test_tiles_lose_nothing(monkeypatch, dense):
     monkeypatch.setattr(neighbours, "DENSE", dense)
