@@ -20,25 +20,29 @@ from larkspan.plans.lineage import store
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern that goes with the ranks of the 50k byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RANGE_BITS = 12
+RANGE_ROWS = 50_000  # texts of a range of hashes, about
 
 
 @cache
-def _encoding(path: str):  # noqa: ANN202
+def _encoding(vocabulary: bytes):  # noqa: ANN202
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(rows: DataFrame, text_column: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """rows with the column text_column replaced by n_tokens, its size in tokens; null and empty texts have 0. Strings of special tokens are ordinary text."""
+    """rows with the column text_column replaced by n_tokens, its size in tokens; null and empty texts have 0. Strings of special tokens are ordinary text.
+
+    Only the driver reads the vocabulary file; the executors get its bytes, about a megabyte.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = rows.sparkSession.sparkContext.broadcast(f.read())
     keep = [c for c in rows.columns if c != text_column]
     schema = rows.select(*keep).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(vocabulary.value).encode_ordinary
         for batch in batches:
             sizes = [len(encode(x)) if x else 0 for x in batch.column(text_column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64())], names=[*keep, "n_tokens"])
@@ -69,9 +73,11 @@ def mixture(rows: DataFrame, id_column: str, text_column: str, source_column: st
     named = named.filter("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL").join(wanted.select("source"), "source", "left_semi")
     counted = token_counts(named.select("doc_id", "source", "text"), "text", tokenizer).filter("n_tokens > 0")
     counted = counted.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"))
-    counted = store(counted.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("key", 64 - RANGE_BITS).cast("int")), "tokens")
+    counted = store(counted.withColumn("key", F.xxhash64(F.lit(seed), "doc_id")), "tokens")
+    bits = 1 + (counted.count() // RANGE_ROWS).bit_length()
+    counted = counted.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits).cast("int"))
 
-    # At most 2 ** RANGE_BITS rows a listed source.
+    # At most 2 ** bits rows a listed source.
     sums = counted.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
     order = Window.partitionBy("source").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))

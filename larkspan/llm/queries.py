@@ -86,7 +86,8 @@ def p6_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixture.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+    vocabulary = spark.conf.get("larkspan.tokenizer", mixture.TOKENIZER)
+    return mixture.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"), tokenizer=vocabulary)
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
