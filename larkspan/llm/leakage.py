@@ -4,8 +4,9 @@ Texts and items are brought to the consistent form and lower case, and reduced t
 that occurs in a text with at most e edits keeps at least w-q+1-qe of its q-grams (the q-gram lemma), and their diagonals, position in the text less
 position in the item, lie within e of each other.
 
-Which texts meet which items is found without comparing them: cut into e+1 pieces, a passage has one that no edit touched, so the rarest q-gram of each piece, by counts over the
-whole corpus, is an anchor, and one of the passage's anchors is in the text. Anchors and the texts' q-grams that a bit map of all anchors lets through meet in a join.
+Which texts meet which items is found without comparing them: cut into p pieces, more than e, a passage has p-e that no edit touched, so the rarest q-gram of each piece, by counts over the
+whole corpus, is an anchor, and p-e of the passage's anchors are in the text, on neighbouring diagonals. Anchors and the texts' q-grams that a bit map of all anchors lets through meet
+in a join, and are counted in bands of diagonals.
 Long texts are pieces that overlap by the longest passage. Then the q-grams that a piece and an item share are counted in overlapping bands of diagonals, only bands that reach the
 bound are retained, and in these the passages that keep enough of them are aligned, many at a time, within the band and the edit budget.
 """
@@ -18,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from larkspan.plans.lineage import store
 
 PIECE = 1 << 14  # characters of a text that are looked at together, besides the overlap
 CHUNK_CHARS = 1 << 20
-Q = (16, 8, 4, 2, 1)
+Q = (16, 12, 8, 4, 2, 1)  # each that the items need is a pass over the corpus
+LONG_ENOUGH = 12
 BITS = (16, 27)  # the bit map of the anchors has 2 ** 16 to 2 ** 27 bits, 16 MB at most; when it is full it only lets more through
 _SEPARATORS = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -70,9 +73,10 @@ def passages(words: str, min_words: int) -> np.ndarray:
     return np.stack([blanks[:-min_words], blanks[min_words:] + 1], axis=1) if words and len(blanks) > min_words else np.zeros((0, 2), np.int64)
 
 
-def gram_size(shortest: int, edits: int) -> int:
-    """The largest q for which a passage of that length keeps a q-gram in each of its edits+1 pieces."""
-    return next(q for q in Q if q <= shortest // (edits + 1))
+def gram_size(shortest: int, edits: int) -> tuple[int, int]:
+    """q, and in how many pieces of at least q characters every passage is cut: more than edits+1, if these are still long enough to be rare."""
+    pieces = next((p for p in (edits + 3, edits + 2) if shortest // p >= LONG_ENOUGH), edits + 1)
+    return next(q for q in Q if q <= shortest // pieces), pieces
 
 
 def pieces_of(words: str, overlap: int, size: int = PIECE) -> list[str]:
@@ -87,20 +91,21 @@ def pieces_of(words: str, overlap: int, size: int = PIECE) -> list[str]:
         low += size
 
 
-def anchors(words: str, min_words: int, edits: int, counts: np.ndarray) -> np.ndarray:
-    """The hashes of the rarest q-gram of each of the edits+1 pieces of every passage."""
+def anchors(words: str, min_words: int, edits: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes and places of the rarest q-gram of each piece of every passage, and how many of its anchors a passage keeps at least."""
     runs = passages(words, min_words)
-    q = gram_size(int((runs[:, 1] - runs[:, 0]).min()), edits)
+    q, pieces = gram_size(int((runs[:, 1] - runs[:, 0]).min()), edits)
     g = _grams(_points(f" {words} "), q)
     seen = counts[(g >> np.uint64(44)).astype(np.int64)]
     _, order = np.unique(np.stack([seen.astype(np.uint64), g], axis=1), axis=0, return_inverse=True)
     order = order.reshape(-1)
     best: set[int] = set()
     for a, b in runs.tolist():
-        for i in range(edits + 1):
-            low, high = a + i * (b - a) // (edits + 1), a + (i + 1) * (b - a) // (edits + 1)
+        for i in range(pieces):
+            low, high = a + i * (b - a) // pieces, a + (i + 1) * (b - a) // pieces
             best.add(low + int(order[low : high - q + 1].argmin()))
-    return np.unique(g[sorted(best)])
+    at = np.array(sorted(best))
+    return g[at], at, pieces - edits
 
 
 def banded_distances(pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
@@ -128,7 +133,7 @@ def banded_distances(pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, t
 def confirmed(texts: list[str], items: list[str], min_words: int, edits: int) -> np.ndarray:
     """For each pair of a text (piece) and an item, both with outer blanks, whether the text has a passage of the item within the edit budget."""
     runs = [passages(x[1:-1], min_words) for x in items]
-    q_of = np.array([gram_size(int((r[:, 1] - r[:, 0]).min()), edits) if len(r) else 0 for r in runs])
+    q_of = np.array([gram_size(int((r[:, 1] - r[:, 0]).min()), edits)[0] if len(r) else 0 for r in runs])
     out = np.zeros(len(texts), bool)
     for q in np.unique(q_of[q_of > 0]):
         which = np.flatnonzero(q_of == q)
@@ -159,35 +164,36 @@ def _repairable(there: np.ndarray, runs: np.ndarray, q: int, edits: int) -> np.n
 
 
 def _confirmed(texts: list[str], items: list[str], runs: list[np.ndarray], edits: int, q: int) -> np.ndarray:
-    points, at, g, pair, place = _local(texts, q)
-    ipoints, iat, ig, ipair, iplace = _local(items, q)
-    own = lambda h, p: mix(h ^ mix(p.astype(np.uint64) + np.uint64(1)))  # noqa: E731  (equal only within a pair)
-    ikey = own(ig, ipair)
-    order = np.argsort(ikey, kind="stable")
-    ikey, iplace = ikey[order], iplace[order]
-    key = own(g, pair)
-    first = np.searchsorted(ikey, key, "left")
-    many = np.searchsorted(ikey, key, "right") - first
-    hit = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-    pair, spot = np.repeat(pair, many), iplace[hit]
-    diagonal = np.repeat(place, many) - spot
-    width, sizes = edits + 1, np.diff(iat)
-    need = np.array([int((r[:, 1] - r[:, 0]).min()) - q + 1 - q * edits for r in runs])
+    points, at = _points("".join(texts)), np.cumsum([0, *map(len, texts)])
+    ipoints, iat = _points("".join(items)), np.cumsum([0, *map(len, items)])
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     waiting: list[tuple[int, int, np.ndarray]] = []  # pair, first diagonal, passages to be aligned
     # Bands of twice the width, each overlapping the next by half, hold any e+1 neighbouring diagonals together.
-    span = 2 * width if edits else 1
-    for shift in (0, width) if edits else (0,):
-        band = (diagonal + shift) // span
-        order = np.lexsort((spot, band, pair))
-        p, b, s = pair[order], band[order], spot[order]
-        new = np.flatnonzero(np.r_[len(p) > 0, (p[1:] != p[:-1]) | (b[1:] != b[:-1])])
-        n = np.diff(np.r_[new, len(p)])
-        for x, many in zip(new[keep := n >= need[p[new]]], n[keep], strict=True):
-            r, there = runs[p[x]], np.zeros(sizes[p[x]] + 1, bool)
-            there[s[x : x + many]] = True
-            r = r[_repairable(there, r, q, edits)]
-            if len(r):
-                waiting.append((int(p[x]), int(b[x]) * span - shift - edits, r))
+    span = 2 * (edits + 1) if edits else 1
+    for i, (text, item, run) in enumerate(zip(texts, items, runs, strict=True)):
+        if text not in known:
+            g = _grams(points[at[i] : at[i + 1]], q)
+            order = np.argsort(g, kind="stable")
+            known = {text: (g[order], order)}  # the items of a text stand together
+        sorted_grams, places = known[text]
+        g = _grams(ipoints[iat[i] : iat[i + 1]], q)
+        first = np.searchsorted(sorted_grams, g, "left")
+        hit = np.flatnonzero(sorted_grams[np.minimum(first, len(sorted_grams) - 1)] == g) if len(sorted_grams) else first[:0]
+        need = int((run[:, 1] - run[:, 0]).min()) - q + 1 - q * edits
+        if len(hit) < need:
+            continue
+        first = first[hit]
+        many = np.searchsorted(sorted_grams, g[hit], "right") - first
+        spot = np.repeat(hit, many)
+        diagonal = places[np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(spot))] - spot
+        for shift in (0, edits + 1) if edits else (0,):
+            band, which, n = np.unique((diagonal + shift) // span, return_inverse=True, return_counts=True)
+            for x in np.flatnonzero(n >= need):
+                there = np.zeros(len(item) + 1, bool)
+                there[spot[which == x]] = True
+                fit = run[_repairable(there, run, q, edits)]
+                if len(fit):
+                    waiting.append((i, int(band[x]) * span - shift - edits, fit))
     out = np.zeros(len(texts), bool)
     turn = 0
     while waiting:  # a passage of each band in turn, until one of the pair's fits or none is left
@@ -242,7 +248,7 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
     def item(words: str) -> list[tuple]:
         r = passages(words, min_words)
         size = r[:, 1] - r[:, 0]
-        return [(f" {words} ", int(size.max()), gram_size(int(size.min()), edits))] if len(r) else []
+        return [(f" {words} ", int(size.max()), gram_size(int(size.min()), edits)[0])] if len(r) else []
 
     held = store(_worded(items, item_column, passage_column, "item_id long, item string, longest int, q int", item).distinct(), "items")
     known = held.agg(F.max("longest").alias("longest"), F.collect_set("q").alias("sizes")).first()  # at most one of each of Q
@@ -258,10 +264,11 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, x in zip(batch.column("item_id").to_pylist(), batch.column("item").to_pylist(), strict=True):
-                g = anchors(x[1:-1], min_words, edits, counts.value).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(g), "item_id": pa.array([ident] * len(g), pa.int64())})
+                g, at, keeps = anchors(x[1:-1], min_words, edits, counts.value)
+                print_of = int(xxhash.xxh64_intdigest(x) >> 1)  # tells several passages of one id apart
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(g.view(np.int64)), "item_id": pa.array([ident] * len(g), pa.int64()), "passage": pa.array([print_of] * len(g), pa.int64()), "place": pa.array(at.astype(np.int32)), "keeps": pa.array([keeps] * len(g), pa.int32())})
 
-    marks = store(held.mapInArrow(find_anchors, "gram long, item_id long").distinct(), "anchors")
+    marks = store(held.mapInArrow(find_anchors, "gram long, item_id long, passage long, place int, keeps int"), "anchors")
     bits = int(np.clip(int(marks.count() * 16).bit_length(), *BITS))
     word = F.shiftrightunsigned("gram", 64 - bits + 6)
     rows_of_map = marks.groupBy(word.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 AS INT))")).alias("bits")).toPandas()  # 2 ** 21 rows at most
@@ -275,18 +282,18 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
             ids, piece, parts = batch.column("doc_id").to_numpy(), batch.column("piece").to_numpy(), batch.column("words").to_pylist()
             for a, b in _batches(list(map(len, parts)), CHUNK_CHARS):
                 for q in sizes:
-                    _, _, g, part, _ = _local(parts[a:b], q)
+                    _, _, g, part, spot = _local(parts[a:b], q)
                     slot = g >> np.uint64(64 - bits)
                     hit = np.flatnonzero(known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-                    g, part = g[hit], part[hit]
-                    order = np.lexsort((g, part))
-                    g, part = g[order], part[order]
-                    keep = np.r_[len(g) > 0, (g[1:] != g[:-1]) | (part[1:] != part[:-1])][: len(g)]
-                    g, part = g[keep], a + part[keep]
-                    yield pa.RecordBatch.from_pydict({"gram": pa.array(g.view(np.int64)), "doc_id": pa.array(ids[part]), "piece": pa.array(piece[part])})
+                    own = a + part[hit]
+                    yield pa.RecordBatch.from_pydict({"gram": pa.array(g[hit].view(np.int64)), "doc_id": pa.array(ids[own]), "piece": pa.array(piece[own]), "pos": pa.array(spot[hit].astype(np.int32))})
 
-    hits = texts.mapInArrow(find_hits, "gram long, doc_id long, piece int")
-    pairs = hits.join(marks, "gram").select("doc_id", "piece", "item_id").distinct()
+    hits = texts.mapInArrow(find_hits, "gram long, doc_id long, piece int, pos int")
+    diagonal, span = F.col("pos") - F.col("place"), 2 * (edits + 1) if edits else 1
+    bands = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.floor((diagonal + s) / span).alias("band")) for s in ((0, edits + 1) if edits else (0,))]))
+    met = hits.join(marks, "gram").select("doc_id", "piece", "item_id", "passage", "keeps", "place", bands.alias("b")).distinct()
+    met = met.groupBy("doc_id", "piece", "item_id", "passage", "b").agg(F.count("*").alias("n"), F.any_value("keeps").alias("keeps")).filter("n >= keeps")
+    pairs = met.select("doc_id", "piece", "item_id").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +302,9 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
             keep = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield batch.select(["doc_id", "item_id"]).filter(keep)
 
-    both = pairs.join(texts, ["doc_id", "piece"]).join(held.select("item_id", "item"), "item_id").select("doc_id", "item_id", "words", "item")
+    both = pairs.join(texts, ["doc_id", "piece"]).join(held.select("item_id", "item"), "item_id").select("doc_id", "piece", "item_id", "words", "item")
+    # The items of a piece stand together, whose q-grams are then sorted once.
+    both = both.sortWithinPartitions("doc_id", "piece")
     return both.mapInArrow(verify, "doc_id long, item_id long").distinct()
 
 
