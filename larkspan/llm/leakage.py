@@ -4,9 +4,9 @@ Texts and items are brought to the consistent form and lower case, and reduced t
 that occurs in a text with at most e edits keeps at least w-q+1-qe of its q-grams (the q-gram lemma), and their diagonals, position in the text less
 position in the item, lie within e of each other.
 
-Which texts meet which items is found without comparing them: cut into p pieces, more than e, a passage has p-e that no edit touched, so the rarest q-gram of each piece, by counts over the
-whole corpus, is an anchor, and p-e of the passage's anchors are in the text, on neighbouring diagonals. Anchors and the texts' q-grams that a bit map of all anchors lets through meet
-in a join, and are counted in bands of diagonals.
+Which texts meet which items is found without comparing them: of e+1 q-grams of a passage that do not overlap, e edits leave one as it was. So each passage names its e+1 rarest such
+q-grams, by counts over the whole corpus, as anchors, and one of them is in every text that has the passage. Anchors and the texts' q-grams that a bit map of all anchors lets through
+meet in a join.
 Long texts are pieces that overlap by the longest passage. Then the q-grams that a piece and an item share are counted in overlapping bands of diagonals, only bands that reach the
 bound are retained, and in these the passages that keep enough of them are aligned, many at a time, within the band and the edit budget.
 """
@@ -19,7 +19,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ from larkspan.plans.lineage import store
 PIECE = 1 << 14  # characters of a text that are looked at together, besides the overlap
 CHUNK_CHARS = 1 << 20
 Q = (16, 12, 8, 4, 2, 1)  # each that the items need is a pass over the corpus
-LONG_ENOUGH = 12
+LONG_ENOUGH, FREEDOM = 8, 0.7
 BITS = (16, 27)  # the bit map of the anchors has 2 ** 16 to 2 ** 27 bits, 16 MB at most; when it is full it only lets more through
 _SEPARATORS = re.compile(r"[\W_]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -73,10 +72,10 @@ def passages(words: str, min_words: int) -> np.ndarray:
     return np.stack([blanks[:-min_words], blanks[min_words:] + 1], axis=1) if words and len(blanks) > min_words else np.zeros((0, 2), np.int64)
 
 
-def gram_size(shortest: int, edits: int) -> tuple[int, int]:
-    """q, and in how many pieces of at least q characters every passage is cut: more than edits+1, if these are still long enough to be rare."""
-    pieces = next((p for p in (edits + 3, edits + 2) if shortest // p >= LONG_ENOUGH), edits + 1)
-    return next(q for q in Q if q <= shortest // pieces), pieces
+def gram_size(shortest: int, edits: int) -> int:
+    """The largest q for which passages of that length have edits+1 q-grams that do not overlap, and some freedom to choose them where there is room for it."""
+    room = [q for q in Q if q * (edits + 1) <= shortest]
+    return next((q for q in room if q >= LONG_ENOUGH and q * (edits + 1) <= shortest * FREEDOM), room[0])
 
 
 def pieces_of(words: str, overlap: int, size: int = PIECE) -> list[str]:
@@ -91,21 +90,28 @@ def pieces_of(words: str, overlap: int, size: int = PIECE) -> list[str]:
         low += size
 
 
-def anchors(words: str, min_words: int, edits: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The hashes and places of the rarest q-gram of each piece of every passage, and how many of its anchors a passage keeps at least."""
+def anchors(words: str, min_words: int, edits: int, counts: np.ndarray) -> np.ndarray:
+    """The hashes of the edits+1 rarest q-grams of each passage that do not overlap: those of the least sum of the logarithms of their counts."""
     runs = passages(words, min_words)
-    q, pieces = gram_size(int((runs[:, 1] - runs[:, 0]).min()), edits)
+    q = gram_size(int((runs[:, 1] - runs[:, 0]).min()), edits)
     g = _grams(_points(f" {words} "), q)
     seen = counts[(g >> np.uint64(44)).astype(np.int64)]
-    _, order = np.unique(np.stack([seen.astype(np.uint64), g], axis=1), axis=0, return_inverse=True)
-    order = order.reshape(-1)
+    cost = np.log2(1.0 + seen) + g.astype(np.float64) / 2.0**84  # passages that overlap agree among equals
     best: set[int] = set()
     for a, b in runs.tolist():
-        for i in range(pieces):
-            low, high = a + i * (b - a) // pieces, a + (i + 1) * (b - a) // pieces
-            best.add(low + int(order[low : high - q + 1].argmin()))
-    at = np.array(sorted(best))
-    return g[at], at, pieces - edits
+        own = cost[a : b - q + 1]
+        least, steps = np.zeros(len(own)), []
+        for _ in range(edits + 1):  # least[i]: the best choice so far that ends before i; at[i]: where its last q-gram begins
+            total = least + own
+            low = np.minimum.accumulate(total)
+            at = np.maximum.accumulate(np.where(total == low, np.arange(len(own)), 0))
+            steps.append(at)
+            least = np.r_[np.full(min(q, len(own)), np.inf), low[:-q]]
+        i = len(own) - 1
+        for at in reversed(steps):
+            best.add(a + int(at[i]))
+            i = int(at[i]) - q
+    return np.unique(g[sorted(best)])
 
 
 def banded_distances(pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
@@ -133,7 +139,7 @@ def banded_distances(pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, t
 def confirmed(texts: list[str], items: list[str], min_words: int, edits: int) -> np.ndarray:
     """For each pair of a text (piece) and an item, both with outer blanks, whether the text has a passage of the item within the edit budget."""
     runs = [passages(x[1:-1], min_words) for x in items]
-    q_of = np.array([gram_size(int((r[:, 1] - r[:, 0]).min()), edits)[0] if len(r) else 0 for r in runs])
+    q_of = np.array([gram_size(int((r[:, 1] - r[:, 0]).min()), edits) if len(r) else 0 for r in runs])
     out = np.zeros(len(texts), bool)
     for q in np.unique(q_of[q_of > 0]):
         which = np.flatnonzero(q_of == q)
@@ -248,7 +254,7 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
     def item(words: str) -> list[tuple]:
         r = passages(words, min_words)
         size = r[:, 1] - r[:, 0]
-        return [(f" {words} ", int(size.max()), gram_size(int(size.min()), edits)[0])] if len(r) else []
+        return [(f" {words} ", int(size.max()), gram_size(int(size.min()), edits))] if len(r) else []
 
     held = store(_worded(items, item_column, passage_column, "item_id long, item string, longest int, q int", item).distinct(), "items")
     known = held.agg(F.max("longest").alias("longest"), F.collect_set("q").alias("sizes")).first()  # at most one of each of Q
@@ -264,11 +270,10 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, x in zip(batch.column("item_id").to_pylist(), batch.column("item").to_pylist(), strict=True):
-                g, at, keeps = anchors(x[1:-1], min_words, edits, counts.value)
-                print_of = int(xxhash.xxh64_intdigest(x) >> 1)  # tells several passages of one id apart
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(g.view(np.int64)), "item_id": pa.array([ident] * len(g), pa.int64()), "passage": pa.array([print_of] * len(g), pa.int64()), "place": pa.array(at.astype(np.int32)), "keeps": pa.array([keeps] * len(g), pa.int32())})
+                g = anchors(x[1:-1], min_words, edits, counts.value).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(g), "item_id": pa.array([ident] * len(g), pa.int64())})
 
-    marks = store(held.mapInArrow(find_anchors, "gram long, item_id long, passage long, place int, keeps int"), "anchors")
+    marks = store(held.mapInArrow(find_anchors, "gram long, item_id long").distinct(), "anchors")
     bits = int(np.clip(int(marks.count() * 16).bit_length(), *BITS))
     word = F.shiftrightunsigned("gram", 64 - bits + 6)
     rows_of_map = marks.groupBy(word.alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 AS INT))")).alias("bits")).toPandas()  # 2 ** 21 rows at most
@@ -282,18 +287,18 @@ def leaks(rows: DataFrame, id_column: str, text_column: str, items: DataFrame, i
             ids, piece, parts = batch.column("doc_id").to_numpy(), batch.column("piece").to_numpy(), batch.column("words").to_pylist()
             for a, b in _batches(list(map(len, parts)), CHUNK_CHARS):
                 for q in sizes:
-                    _, _, g, part, spot = _local(parts[a:b], q)
+                    _, _, g, part, _ = _local(parts[a:b], q)
                     slot = g >> np.uint64(64 - bits)
                     hit = np.flatnonzero(known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-                    own = a + part[hit]
-                    yield pa.RecordBatch.from_pydict({"gram": pa.array(g[hit].view(np.int64)), "doc_id": pa.array(ids[own]), "piece": pa.array(piece[own]), "pos": pa.array(spot[hit].astype(np.int32))})
-
-    hits = texts.mapInArrow(find_hits, "gram long, doc_id long, piece int, pos int")
-    diagonal, span = F.col("pos") - F.col("place"), 2 * (edits + 1) if edits else 1
-    bands = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.floor((diagonal + s) / span).alias("band")) for s in ((0, edits + 1) if edits else (0,))]))
-    met = hits.join(marks, "gram").select("doc_id", "piece", "item_id", "passage", "keeps", "place", bands.alias("b")).distinct()
-    met = met.groupBy("doc_id", "piece", "item_id", "passage", "b").agg(F.count("*").alias("n"), F.any_value("keeps").alias("keeps")).filter("n >= keeps")
-    pairs = met.select("doc_id", "piece", "item_id").distinct()
+                    g, part = g[hit], part[hit]
+                    order = np.lexsort((g, part))
+                    g, part = g[order], part[order]
+                    keep = np.r_[len(g) > 0, (g[1:] != g[:-1]) | (part[1:] != part[:-1])][: len(g)]
+                    g, part = g[keep], a + part[keep]
+                    yield pa.RecordBatch.from_pydict({"gram": pa.array(g.view(np.int64)), "doc_id": pa.array(ids[part]), "piece": pa.array(piece[part])})
+
+    hits = texts.mapInArrow(find_hits, "gram long, doc_id long, piece int")
+    pairs = hits.join(marks, "gram").select("doc_id", "piece", "item_id").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
