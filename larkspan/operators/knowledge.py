@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions.text import search_terms, tokens
@@ -30,6 +30,42 @@ def postings(entries: DataFrame) -> DataFrame:
     return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
 
 
+class TextIndex:
+    """Postings stored in order of terms, so that a query reads the row groups of its own terms alone, and one row of totals. Built once for each state of the entries."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings = spark.read.schema("id bigint, term string, length int, tf bigint").parquet(f"{path}/postings")
+        self.totals = spark.read.schema("n_all bigint, mean double").parquet(f"{path}/totals")
+
+    @classmethod
+    def build(cls, entries: DataFrame, path: str, partitions: int | None = None) -> TextIndex:
+        spark = entries.sparkSession
+        p = postings(entries).select("id", "term", "length", "tf")
+        ordered = p.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "id").sortWithinPartitions("term", "id")
+        ordered.write.mode("overwrite").parquet(f"{path}/postings")
+        lengths = entries.select(F.size(tokens(F.concat_ws(" ", "title", "content"))).alias("length"))
+        lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+        return cls(spark, path)
+
+    def bm25(self, query: str, most: int = 20) -> DataFrame:
+        """The same as bm25() of the entries."""
+        parts = None
+        for i, t in enumerate(search_terms(query)):
+            hits = self.postings.filter(F.col("term").startswith(t)).groupBy("id").agg(F.sum("tf").alias("f"), F.first("length").alias("length")).withColumn("i", F.lit(i))
+            parts = hits if parts is None else parts.unionByName(hits)
+        if parts is None:
+            return self.postings.select("id", F.lit(0.0).alias("score")).filter("false")
+        n = parts.groupBy("i").agg(F.count("*").alias("n"))  # a row for each word of the query
+        known = parts.join(F.broadcast(n), "i").crossJoin(F.broadcast(self.totals))
+        scored = known.withColumn("score", _term_score(F.col("f"), F.col("n"), F.col("n_all"), F.col("length"), F.col("mean")))
+        return scored.groupBy("id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "id").limit(most)
+
+
+def _term_score(f: Column, n: Column, n_all: Column, length: Column, mean: Column) -> Column:
+    idf = F.greatest(F.log((n_all - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
+
+
 def _beginning(words: str, prefix: str) -> Column:
     """How many of the words begin with the prefix."""
     return F.size(F.filter(words, lambda w: w.startswith(prefix)))
@@ -38,7 +74,8 @@ def _beginning(words: str, prefix: str) -> Column:
 def bm25(entries: DataFrame, query: str, most: int = 20) -> DataFrame:
     """(id, score) of the best matches. Each word of the query is a prefix; counts are of tokens that begin with it.
 
-    Texts are tokenised once, in the JVM, and reduced to a few numbers a row before anything is shuffled: the shuffle carries only rows with a match.
+    Without an index all texts are read, once for the totals and once for the scores, tokenised in the JVM and reduced to a few numbers a row; nothing but the best rows of each task is
+    shuffled. TextIndex answers the same from the postings of the query's words.
     """
     terms = search_terms(query)
     words = entries.select("id", tokens(F.concat_ws(" ", "title", "content")).alias("words"))
@@ -47,8 +84,7 @@ def bm25(entries: DataFrame, query: str, most: int = 20) -> DataFrame:
     score = F.lit(0.0)
     for i in range(len(terms)):
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("n_all") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))).otherwise(0.0)
+        score = score + F.when(f > 0, _term_score(f, n, F.col("n_all"), F.col("length"), F.col("mean"))).otherwise(0.0)
     hit = F.lit(False)
     for i in range(len(terms)):
         hit = hit | (F.col(f"f{i}") > 0)
@@ -103,16 +139,16 @@ def ranked(hits: DataFrame, by: str) -> DataFrame:
     return hits.withColumn("rank", F.coalesce(-F.col(by), F.lit(float("inf"))))
 
 
-def hybrid(entries: DataFrame, links: DataFrame, query: str, vector: list[float] | None, names: list[str] | None = None, most: int = 10) -> DataFrame:
-    """Links (weight 1), full text (0.7) and vectors (0.8; left out without a vector) in one list."""
+def hybrid(entries: DataFrame, links: DataFrame, query: str, vector: list[float] | None, names: list[str] | None = None, most: int = 10, index: TextIndex | None = None, floor: float = 0.3) -> DataFrame:
+    """Links (weight 1), full text (0.7; from the index if there is one) and vectors above the floor (0.8; left out without a vector) in one list."""
     layers = []
     if names:
         hits = entries.select("id", "confidence").join(link_hits(links, names), "id", "left_semi")
         layers.append(("symbol", 1.0, ranked(hits.withColumn("score", F.lit(1.0)), "confidence")))
     if search_terms(query):
-        layers.append(("fts", 0.7, ranked(scaled(bm25(entries, query)), "score")))
+        layers.append(("fts", 0.7, ranked(scaled(index.bm25(query) if index else bm25(entries, query)), "score")))
     if vector is not None:
-        layers.append(("vector", 0.8, ranked(vector_hits(entries, vector), "score")))
+        layers.append(("vector", 0.8, ranked(vector_hits(entries, vector, floor), "score")))
     return fuse(layers, most)
 
 

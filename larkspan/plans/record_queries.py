@@ -144,6 +144,13 @@ def fts_minmax(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.scaled(knowledge.bm25(_entries(spark, d), QUERY)).select("id", F.round("score", 4).alias("score"))
 
 
+@_add("fts_indexed_top20", _ENT + _BM25 + "z AS (SELECT 1) SELECT id, round(score, 4) AS score FROM b")
+def fts_indexed_top20(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index in the shared folder, which a store would keep."""
+    index = knowledge.TextIndex.build(_entries(spark, d), new_path(spark, "index"))
+    return index.bm25(QUERY).select("id", F.round("score", 4).alias("score"))
+
+
 @_add("vector_top20", _ENT + _VECTOR + "z AS (SELECT 1) SELECT id, round(score, 4) AS score FROM vec")
 def vector_top20(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.vector_hits(_entries(spark, d), _QUERY_VECTOR, 0.2).select("id", F.round("score", 4).alias("score"))
@@ -169,13 +176,7 @@ def link_hits(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, round(sum(score), 4) AS score, string_agg(source, '+' ORDER BY layer) AS sources FROM lay GROUP BY id ORDER BY sum(score) DESC, min(layer), min(rank), id LIMIT 10""",
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    e = _entries(spark, d)
-    layers = [
-        ("symbol", 1.0, knowledge.ranked(e.join(knowledge.link_hits(_links(spark, d), _NAMES), "id", "left_semi").select("id", "confidence", F.lit(1.0).alias("score")), "confidence")),
-        ("fts", 0.7, knowledge.ranked(knowledge.scaled(knowledge.bm25(e, QUERY)), "score")),
-        ("vector", 0.8, knowledge.ranked(knowledge.vector_hits(e, _QUERY_VECTOR, 0.2), "score")),
-    ]
-    return knowledge.fuse(layers, 10).select("id", F.round("score", 4).alias("score"), "sources")
+    return knowledge.hybrid(_entries(spark, d), _links(spark, d), QUERY, _QUERY_VECTOR, _NAMES, floor=0.2).select("id", F.round("score", 4).alias("score"), "sources")
 
 
 @_add("knowledge_list", _ENT + "z AS (SELECT 1) SELECT id, category, title FROM ent WHERE category = 'gotcha' ORDER BY updated_at DESC NULLS LAST, id LIMIT 100 OFFSET 10")

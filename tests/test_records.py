@@ -109,9 +109,12 @@ def entries(spark):
     return spark.createDataFrame([(1, "gotcha", "cache", "cache cache trap", [1.0, 0.0], 1.0, t), (2, "lesson", "other", "cached value", [0.3, 0.953939], 0.5, t), (3, "lesson", None, None, None, None, None), (4, "x", "plain", "nothing", [0.0, 0.0], 0.1, t), (5, "x", "plain", "nothing", [1.0], 0.1, t)], ENTRIES)
 
 
-def test_search_layers(spark, rows):
+def test_search_layers(spark, rows, tmp_path):
     e = entries(spark)
     assert [r["id"] for r in knowledge.bm25(e, "cache").collect()] == [1, 2]
+    index = knowledge.TextIndex.build(e, str(tmp_path / "index"))
+    for q in ("cache", "ca pl", "plain nothing value", "zebra", "*"):
+        assert rows(index.bm25(q).select("id", F.round("score", 9))) == (rows(knowledge.bm25(e, q).select("id", F.round("score", 9))) if knowledge.search_terms(q) else [])
     assert knowledge.bm25(e, "zebra").count() == 0
     assert [round(r["score"], 6) for r in knowledge.scaled(spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 1.0)], "id long, score double")).orderBy("id").collect()] == [1.0, 0.5, 0.0]
     assert [r["score"] for r in knowledge.scaled(spark.createDataFrame([(1, 3.0)], "id long, score double")).collect()] == [1.0]
