@@ -82,12 +82,13 @@ def test_word_form_and_shingles():
     assert row.tolist() == [0, 0, 0, 1, 1] and h[0] == h[2] == h[4] and h[1] == h[3]
 
 
-def test_forest_finds_all_within_radius():
+@pytest.mark.parametrize("bucket", [0, 1, 7, 48, 1000])
+def test_forest_finds_all_within_radius(bucket):
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 8, (400, 2), dtype=np.uint64)
     prints[50:60] = prints[0]
     tree = np.sort(rng.integers(0, 5, 400))
-    forest = bktree.Forest(tree, prints)
+    forest = bktree.Forest(tree, prints, bucket)
     radius = rng.integers(0, 6, 400)
     got = set()
     for q, i, d in forest.within(tree, prints, radius, np.arange(400), block=64):
@@ -97,6 +98,55 @@ def test_forest_finds_all_within_radius():
     assert got == expected
 
 
+def test_a_small_radius_prunes():
+    """Where the radius is small against the spread of the distances, most of a tree is never looked at."""
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    prints = np.repeat(centres, 100, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (4000, 4), dtype=np.uint64))
+    prints = prints[rng.permutation(4000)]
+    forest = bktree.Forest(np.zeros(4000, np.int64), prints)
+    found = sum(len(q) for q, _, _ in forest.within(np.zeros(4000, np.int64), prints, np.full(4000, 8), np.arange(4000)))
+    assert found == 40 * 100 * 99 // 2 and forest.compared < 0.35 * 4000 * 3999 // 2
+    assert list(bktree.Forest(np.zeros(0, np.int64), prints[:0]).within(np.zeros(3, np.int64), prints[:3], np.full(3, 8), np.full(3, 3))) == []
+
+
+def corpus(n, rng):
+    """Word forms of which a tenth are edited copies; phrases recur."""
+    phrases = [" ".join(f"w{rng.randrange(900)}" for _ in range(6)) for _ in range(400)]
+    texts = []
+    for i in range(n):
+        x = " ".join(rng.choice(phrases) for _ in range(8)).split() if i % 10 or not texts else rng.choice(texts).split()
+        for _ in range(3):
+            x[rng.randrange(len(x))] = f"w{rng.randrange(900)}"
+        texts.append(" ".join(x))
+    return texts
+
+
+def test_distances_and_routed_bytes(spark, monkeypatch):
+    """Trees compare a small part of all pairs, parts change what is found in nothing, and a text costs no more than TOKEN_BYTES in each of its trees, however many parts there are."""
+    texts = corpus(3000, random.Random(1))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, w string").repartition(3)
+    seen = {}
+    pack, meet = near_duplicates._pack, near_duplicates._meet
+    for parts in (2, 50, 1000):
+        seen[parts] = sorted(map(tuple, near_duplicates.candidates(df, 3, 0.6, parts).collect()))
+    assert seen[2] == seen[50] == seen[1000] and seen[2]
+    row, h = hashing.distinct(*hashing.shingles(pa.array(texts), 3))
+    n = np.bincount(row)
+    flips, at = near_duplicates.fingerprints(row, h, n)
+    rank = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    keep = rank < (n - (n * 3 + 4) // 5 + 1)[row]
+    row, key = row[keep], h[keep] >> np.uint64(32)
+    early = rank[keep] < (n - (n * 6 + 7) // 8 + 1)[row]
+    for parts in (1, 10, 100, 1000):
+        out = pack((key % np.uint64(parts)).astype(np.int64), key.astype(np.uint32), row, early, (rank[keep] * 255 // n[row]).astype(np.uint8), np.arange(len(n)), n, flips, at)
+        assert sum(len(x.as_py()) for x in out.column("blob")) <= near_duplicates.TOKEN_BYTES * len(row) + 16 * parts
+    compared = []
+    monkeypatch.setattr(near_duplicates, "Forest", lambda *a: compared.append(bktree.Forest(*a)) or compared[-1])
+    meet([x.as_py() for x in out.column("blob")], 3, 5)
+    assert 0 < sum(f.compared for f in compared) < 0.1 * 3000 * 2999 / 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(1, 40)] + [(i, i + rng.randrange(1, 9)) for i in range(100, 160, 2)] + [(500, i) for i in range(501, 540)]
