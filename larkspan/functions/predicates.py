@@ -142,6 +142,17 @@ def required(args: dict, name: str) -> str:
     return v
 
 
+def optional(args: dict, name: str, default, kind: type | None = None):  # noqa: ANN001, ANN201
+    """An argument or its default where it is absent or null; a ValueError if it is of another kind (by default that of the default). Lists of texts lose their empty ones."""
+    v = args.get(name)
+    if v is None:
+        return default
+    wanted = kind or type(default)
+    if isinstance(v, bool) != (wanted is bool) or not isinstance(v, (int, float) if wanted is float else wanted):
+        raise ValueError(f"{name} must be {wanted.__name__}")
+    return [x for x in v if x] if isinstance(v, list) else v
+
+
 def required_int(args: dict, name: str, least: int) -> int:
     v = args.get(name)
     if isinstance(v, bool) or not isinstance(v, int) or v < least:

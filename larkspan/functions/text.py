@@ -153,9 +153,22 @@ def grouped_number(x: Column | str, digits: int = 0) -> Column:
     return F.format_number(_c(x), digits)
 
 
-def signature(kind: str, modifiers: Column, result: Column, name: Column, params: Column) -> Column:
-    """One line for a member: modifiers, result and name, with params (array of strings) for methods and accessors for properties."""
-    head = F.concat_ws(" ", modifiers, result, name)
-    if kind == "method":
-        return F.concat(head, F.lit("("), F.array_join(params, ", "), F.lit(")"))
-    return F.concat(head, F.lit(" { get; set; }")) if kind == "property" else head
+def signature(kind: Column, result: Column, name: Column, params: Column, accessors: Column) -> Column:
+    """One line for a member or type, by its kind (letter case ignored).
+
+    Methods: result, name and params (array of struct<type, name>); constructors the same without a result; properties: result, name and accessors (array) in braces; events: a leading
+    word; fields: result and name; any other kind is a type: the kind in lower case, the name, and the names of params, if any, in angle brackets.
+    """
+    k = F.lower(kind)
+    listed = F.array_join(F.transform(params, lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
+    call = F.concat(name, F.lit("("), listed, F.lit(")"))
+    plain = F.concat_ws(" ", result, name)
+    made_of = F.when(F.size(params) > 0, F.concat(F.lit("<"), F.array_join(F.transform(params, lambda p: p["name"]), ", "), F.lit(">"))).otherwise(F.lit(""))
+    return (
+        F.when(k == "method", F.concat_ws(" ", result, call))
+        .when(k == "constructor", call)
+        .when(k == "property", F.concat(plain, F.lit(" { "), F.array_join(accessors, "; "), F.lit("; }")))
+        .when(k == "event", F.concat(F.lit("event "), plain))
+        .when(k == "field", plain)
+        .otherwise(F.concat(k, F.lit(" "), name, made_of))
+    )

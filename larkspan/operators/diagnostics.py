@@ -31,6 +31,20 @@ def line_of(d: str = "") -> Column:
     return F.concat(F.col(d + "file"), F.lit(":"), F.col(d + "line").cast("string"), F.lit(":"), F.col(d + "col_no").cast("string"), F.lit(" "), F.col(d + "severity"), F.lit(" "), F.col(d + "id"), F.lit(": "), F.col(d + "message"))
 
 
+def summary_line() -> Column:
+    """A compact line for a row of summary(): id (severity) [fix]: title (number) (number suppressed)."""
+    fix = F.when(F.col("has_fix"), " [fix]").otherwise("")
+    hidden = F.when(F.col("n_suppressed") > 0, F.concat(F.lit(" ("), F.col("n_suppressed"), F.lit(" suppressed)"))).otherwise("")
+    return F.concat(F.col("id"), F.lit(" ("), F.col("severity"), F.lit(")"), fix, F.lit(": "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col("n"), F.lit(")"), hidden)
+
+
+def place_line(file: Column) -> Column:
+    """A compact line for a diagnostic: file:line Type.Method - message; without a containing type nothing stands for it."""
+    inside = F.coalesce("containing_type", F.lit("")) != ""
+    owner = F.when(inside, F.concat(F.col("containing_type"), F.lit("."), F.coalesce("containing_method", F.lit("")))).otherwise("")
+    return F.concat(file, F.lit(":"), F.col("line"), F.lit(" "), owner, F.lit(" - "), F.coalesce("message", F.lit("")))
+
+
 def first_per_line(diagnostics: DataFrame) -> DataFrame:
     """The first to arrive of each file and line."""
     rest = [c for c in diagnostics.columns if c not in ("file", "line")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions.predicates import entry_point, excluded, private_name, test_file
 from larkspan.functions.text import containing_type, project_name
-from larkspan.plans.lineage import store
+from larkspan.plans.lineage import drop, store
 
 EXTERNAL = "external"
 
@@ -48,7 +48,7 @@ def reach(edges: DataFrame, seeds: DataFrame, callers: bool = True, max_depth: i
     used = edges.filter(F.col(at).isNotNull() & F.col(to).isNotNull())
     used = (used if edge_type is None else used.filter(F.col("edge_type") == edge_type)).select(F.col(at).alias("id"), F.col(to).alias("next"))
     visited = store(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "visited")
-    frontier, depth = visited, 0
+    frontier, depth, parts = visited, 0, [visited]
     while max_depth < 0 or depth < max_depth:
         few = [r["id"] for r in frontier.select("id").limit(IN_LIST + 1).collect()]
         if not few:
@@ -58,8 +58,12 @@ def reach(edges: DataFrame, seeds: DataFrame, callers: bool = True, max_depth: i
         found = out.select(F.col("next").alias("id")).distinct()
         frontier = store(found.join(visited.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         visited = visited.unionByName(frontier)
+        parts.append(frontier)
         if depth % 8 == 0:  # else a long walk would read a table for each of its levels
             visited = store(visited, "visited")
+            for old in parts[:-1]:
+                drop(old)
+            parts = [frontier, visited]
     return visited.filter("depth > 0")
 
 

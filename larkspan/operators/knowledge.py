@@ -188,7 +188,7 @@ def add_entries(entries: DataFrame, links: DataFrame, tags: DataFrame, new: Data
     """new (category, title, content, symbols, tags, and embedding unless an embedder makes it of title and content) added: unknown categories fail the job, ids come from a hash,
     links are of type about, tags in lower case."""
     if embedder is not None:
-        new = embedded(new, F.concat_ws("\n", "title", "content"), embedder)
+        new = embedded(new, F.concat_ws(". ", "title", "content"), embedder)
     bad = F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce("category", F.lit("null"))))
     ok = new.withColumn("category", F.when(F.lower("category").isin(*categories), F.col("category")).otherwise(bad))
     ok = ok.withColumn("id", F.xxhash64("title", "content"))

@@ -109,6 +109,11 @@ def pure_models(members: DataFrame) -> DataFrame:
     return members.groupBy("type_name").agg(F.every(plain).alias("pure")).filter("pure").select("type_name")
 
 
+def without_attributes(symbols: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Symbols (file_path, line) at whose place no attribute (file_path, line) stands."""
+    return symbols.join(attributes.select("file_path", "line"), ["file_path", "line"], "left_anti").select(*symbols.columns)
+
+
 def add_using(usings: DataFrame, file: str, name: str) -> DataFrame:
     """usings (file, name) with the new one, each once, in order."""
     new = usings.sparkSession.createDataFrame([(file, name)], usings.select("file", "name").schema)

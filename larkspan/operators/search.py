@@ -26,7 +26,8 @@ def suggestions(symbols: DataFrame, pattern: str, most: int = 5) -> DataFrame:
     first = Window.partitionBy(F.lower("name")).orderBy("id")
     scored = symbols.select("id", "name", "qualified_name", fuzzy_score(pattern, "name").alias("score")).filter("score IS NOT NULL")
     scored = scored.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
-    return scored.orderBy("score", "name").limit(most).withColumn("label", suggestion_label(pattern, "name"))
+    # Names in the order of a dictionary, as a reader expects them.
+    return scored.orderBy("score", F.collate("name", "UNICODE"), "name").limit(most).withColumn("label", suggestion_label(pattern, "name"))
 
 
 def first_per_name(symbols: DataFrame) -> DataFrame:
@@ -59,6 +60,12 @@ def reference_line(file: str, line: str, preview: str) -> Column:
     return F.concat(F.col(file), F.lit(":"), F.col(line).cast("string"), F.lit(" - "), F.col(preview))
 
 
+def member_line(kind: str, signature: str) -> Column:
+    """The signature; a property's without what stands in braces, and the blanks before."""
+    cut = F.rtrim(F.regexp_extract(signature, r"(?s)^([^{]+)", 1))
+    return F.when((F.col(kind) == "Property") & F.col(signature).rlike(r"(?s)^[^{]+\{"), cut).otherwise(F.col(signature))
+
+
 def by_kind(members: DataFrame) -> DataFrame:
     """One row for each type: a map of kind to its sorted members; kinds without members are not in it."""
     kinds = members.groupBy("type_name", "kind").agg(F.sort_array(F.collect_list("name")).alias("names"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import predicates as P
 from larkspan.functions import text as T
-from larkspan.operators import build, changes, graph, knowledge, members
+from larkspan.operators import build, changes, graph, knowledge, members, search
 from larkspan.plans.graph_queries import SQL as GRAPH
 from larkspan.plans.graph_queries import edg, sym
 from larkspan.plans.record_queries import _entries, _links, _tags
@@ -170,6 +170,35 @@ def grouped_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", T.grouped_number(F.floor("o_totalprice")).alias("n"))
 
 
+_SIGNED = """, k AS (SELECT id, name, CASE id % 6 WHEN 0 THEN 'Method' WHEN 1 THEN 'Constructor' WHEN 2 THEN 'Property' WHEN 3 THEN 'Event' WHEN 4 THEN 'Field' ELSE 'Class' END AS kind, coalesce(line, 0) % 3 AS n FROM sym),
+g AS (SELECT id, kind, CASE kind WHEN 'Method' THEN 'int ' || name || '(' || repeat('T x, ', (n - 1)::INT) || CASE WHEN n > 0 THEN 'T x' ELSE '' END || ')' WHEN 'Constructor' THEN name || '(' || repeat('T x, ', (n - 1)::INT) || CASE WHEN n > 0 THEN 'T x' ELSE '' END || ')'
+ WHEN 'Property' THEN 'int ' || name || ' { get; set; }' WHEN 'Event' THEN 'event int ' || name WHEN 'Field' THEN 'int ' || name ELSE 'class ' || name || CASE WHEN n > 0 THEN '<' || repeat('x, ', (n - 1)::INT) || 'x>' ELSE '' END END AS signature FROM k WHERE name IS NOT NULL)
+"""
+
+
+@_add("member_signatures", GRAPH + _SIGNED + "SELECT id, signature, CASE WHEN kind = 'Property' THEN rtrim(split_part(signature, '{', 1)) ELSE signature END AS compact FROM g")
+def member_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every kind with up to two parameters, in full and compact."""
+    kinds = F.array(*[F.lit(k) for k in ("Method", "Constructor", "Property", "Event", "Field", "Class")])
+    one = F.struct(F.lit("T").alias("type"), F.lit("x").alias("name"))
+    s = sym(spark, d).filter("name IS NOT NULL").withColumn("kind", F.get(kinds, (F.col("id") % 6).cast("int"))).withColumn("params", F.array_repeat(one, (F.coalesce("line", F.lit(0)) % 3).cast("int")))
+    signed = s.select("id", "kind", T.signature(F.col("kind"), F.lit("int"), F.col("name"), F.col("params"), F.array(F.lit("get"), F.lit("set"))).alias("signature"))
+    return signed.select("id", "signature", search.member_line("kind", "signature").alias("compact"))
+
+
+@_add("plain_symbols", GRAPH + "SELECT id FROM sym s WHERE NOT EXISTS (SELECT 1 FROM sym a WHERE a.id % 5 = 0 AND a.file_path = s.file_path AND a.line = s.line)")
+def plain_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols without an attribute, where every fifth has one."""
+    s = sym(spark, d)
+    return members.without_attributes(s, s.filter("id % 5 = 0")).select("id")
+
+
+@_add("kind_labels", GRAPH + "SELECT id, CASE WHEN id % 3 = 0 OR kind = 'Type' THEN 'Interface' ELSE kind END AS label FROM sym")
+def kind_labels(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("id") % 3 == 0, "Type").otherwise(F.col("kind"))
+    return sym(spark, d).select("id", P.kind_label(kind, F.lit("interface")).alias("label"))
+
+
 # predicates
 @_add("source_files", GRAPH + "SELECT id FROM sym WHERE NOT (lower(file_path) LIKE '%.g.cs' OR lower(file_path) LIKE '%.designer.cs' OR contains(lower(file_path), '/obj/'))")
 def source_files(spark: SparkSession, d: str) -> DataFrame:

@@ -244,7 +244,7 @@ def overload_pick(spark: SparkSession, d: str) -> DataFrame:
 _FUZZY = """, s AS (SELECT id, name, qualified_name, levenshtein('countofsets', lower(name)) AS dist, regexp_matches(lower(name), 'c.*o.*u.*n.*t.*o.*f.*s.*e.*t.*s') AS sub,
  starts_with(lower(array_to_string(regexp_extract_all(name, '(^.|\\p{Lu})', 1), '')), 'countofsets') AS ini, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS n FROM sym),
 c AS (SELECT *, CASE WHEN ini AND sub THEN -11 WHEN sub AND dist <= 3 THEN dist - 11 WHEN dist <= 3 THEN dist WHEN sub AND length(name) <= 22 THEN dist END AS score FROM s WHERE n = 1)
-SELECT id, name, score, CASE WHEN sub AND dist > 3 THEN 'subsequence' ELSE 'distance: ' || dist END AS label FROM c WHERE score IS NOT NULL ORDER BY score, name LIMIT 5"""
+SELECT id, name, score, CASE WHEN sub AND dist > 3 THEN 'subsequence' ELSE 'distance: ' || dist END AS label FROM c WHERE score IS NOT NULL ORDER BY score, lower(name), name DESC LIMIT 5"""
 
 
 @_add("fuzzy_suggestions", _FUZZY)

@@ -326,6 +326,20 @@ def diagnostics_summary(spark: SparkSession, d: str) -> DataFrame:
     return diagnostics.summary(diags(spark, d), spark.createDataFrame([("click",), ("View",)], "id string"))
 
 
+@_add("diagnostics_summary_lines", _DIAGS + """, s AS (SELECT id, arg_min(severity, seq) AS severity, arg_min(title, seq) AS title, count(*) AS n, count(suppressed) AS k FROM dg GROUP BY id)
+SELECT id || ' (' || severity || ')' || CASE WHEN id = 'CLICK' THEN ' [fix]' ELSE '' END || ': ' || title || ' (' || n || ')' || CASE WHEN k > 0 THEN ' (' || k || ' suppressed)' ELSE '' END AS line FROM s""")
+def diagnostics_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([("Click",)], "id string")
+    return diagnostics.summary(diags(spark, d), known).select(diagnostics.summary_line().alias("line"))
+
+
+@_add("diagnostics_place_lines", _DIAGS + "SELECT seq, file || ':' || line || ' ' || CASE WHEN line % 2 = 0 THEN 'T' || line || '.' || CASE WHEN line % 4 = 0 THEN 'M' ELSE '' END ELSE '' END || ' - ' || title AS text FROM dg")
+def diagnostics_place_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("line")
+    g = diags(spark, d).withColumns({"containing_type": F.when(line % 2 == 0, F.concat(F.lit("T"), line)), "containing_method": F.when(line % 4 == 0, "M"), "message": F.col("title")})
+    return g.select("seq", diagnostics.place_line(F.col("file")).alias("text"))
+
+
 @_add("diagnostics_detail", _DIAGS + "SELECT seq, file || ':' || line || ':' || col_no || ' ' || severity || ' ' || id || ': m' AS compact FROM dg WHERE lower(id) = 'click' AND severity = 'Error' ORDER BY seq LIMIT 100 OFFSET 20")
 def diagnostics_detail(spark: SparkSession, d: str) -> DataFrame:
     kept = diags(spark, d).filter(P.severity_matches("severity", "error"))

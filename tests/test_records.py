@@ -55,6 +55,10 @@ def test_other_predicates(spark):
     assert rule("CS1", "Suppress") == rule("CA1", "hidden") == "project settings" and rule("CS1", None, False) is None and rule("CA1", "warn", False) is None
     assert rule("CA1", None, False) == rule("CA1", None, True, "Hidden") == "disabled by default" and rule("CA1", None) is None
     assert P.required({"a": "x"}, "a") == "x" and P.required_int({"a": 2}, "a", 1) == 2
+    assert P.optional({}, "a", 5) == 5 and P.optional({"a": 7}, "a", 5) == 7 and P.optional({"a": ["x", ""]}, "a", None, list) == ["x"] and P.optional({"a": 1}, "a", 0.5) == 1
+    for bad in ({"a": "x"}, {"a": True}):
+        with pytest.raises(ValueError, match="must be int"):
+            P.optional(bad, "a", 1)
     for bad in ({}, {"a": " "}):
         with pytest.raises(ValueError, match="required"):
             P.required(bad, "a")
