@@ -83,14 +83,16 @@ def join_tile(best: Best, q: np.ndarray, qs: np.ndarray, qe: np.ndarray, qunit:
     scaled = q.astype(np.float32) @ (t.astype(np.float32) * ts.astype(np.float32)[:, None]).T
     # Whole numbers up to 127 times scaled ones: single precision is off by less than 64 roundings, a cosine of 1e-5.
     needed = (best.bound() - slack(qe, worst) - 1e-5) / qs
-    mask = scaled >= needed.astype(np.float32)[:, None]
-    a, b = np.nonzero(mask)
+    needed = needed.astype(np.float32)
+    rows = np.flatnonzero(scaled.max(axis=1) >= needed)  # most queries have nothing in a tile
+    at = np.flatnonzero((scaled[rows] >= needed[rows, None]).ravel())
+    a, b = rows[at // len(t)], at % len(t)
     if not len(a):
         return 0
-    if len(a) > DENSE * mask.size:
+    if len(a) > DENSE * scaled.size:
         sims = qunit @ tunit().T
         best.merge(a, sims[a, b], number[b])
-        return mask.size
+        return scaled.size
     keep = scaled[a, b] * qs[a] + slack(qe[a], te[b]) + 1e-5 >= best.bound()[a]
     a, b = a[keep], b[keep]
     units = tunit()
