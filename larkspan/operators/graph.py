@@ -15,9 +15,14 @@ from larkspan.plans.lineage import drop, store
 EXTERNAL = "external"
 
 
+def live_rows(symbols: DataFrame) -> DataFrame:
+    """The rows of symbols that were not removed, repeats and all: for operators that look at few symbols and drop repeats afterwards."""
+    return symbols.filter("removed_at IS NULL").drop("removed_at", "added_at")
+
+
 def live_symbols(symbols: DataFrame) -> DataFrame:
     """Symbols that were not removed, a row for each id: what lives under an id is one symbol, however often it is repeated. Only the columns a query uses are read and shuffled."""
-    return symbols.filter("removed_at IS NULL").drop("removed_at", "added_at").dropDuplicates(["id"])
+    return live_rows(symbols).dropDuplicates(["id"])
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -26,12 +31,15 @@ def edge_set(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(symbols: DataFrame, edges: DataFrame, ids: list[int], callers: bool = True, edge_type: str | None = None) -> DataFrame:
-    """The symbols that call the given ones, or are called by them, with target and edge_type. A caller by two edge types is two rows."""
+    """The symbols that call the given ones, or are called by them, with target and edge_type. A caller by two edge types is two rows.
+
+    The ids go to the scan of the edges as a filter; repeated rows of either side are dropped at the end, when few are left, so neither table is made distinct as a whole.
+    """
     at, to = ("dst", "src") if callers else ("src", "dst")
     e = edges.filter(F.col(at).isin(ids))
     if edge_type:
         e = e.filter(F.col("edge_type") == edge_type)
-    return e.select(F.col(to).alias("id"), F.col(at).alias("target"), "edge_type").join(symbols, "id")
+    return e.select(F.col(to).alias("id"), F.col(at).alias("target"), "edge_type").join(symbols, "id").dropDuplicates(["id", "target", "edge_type"])
 
 
 IN_LIST = 1000  # ids that are sent to a scan as a list of values
@@ -75,7 +83,8 @@ def bucketed(edges: DataFrame, name: str, path: str, buckets: int, by: str = "ds
 
 
 def reached_symbols(symbols: DataFrame, reached: DataFrame) -> DataFrame:
-    return symbols.join(reached, "id")
+    """The symbols (their rows may be repeated) that a walk reached, with its depth."""
+    return symbols.join(reached, "id").dropDuplicates(["id"])
 
 
 def caller_files(symbols: DataFrame, reached: DataFrame) -> DataFrame:

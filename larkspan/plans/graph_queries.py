@@ -22,6 +22,10 @@ def sym(spark: SparkSession, d: str) -> DataFrame:
     return graph.live_symbols(table(spark, d, "symbols"))
 
 
+def live(spark: SparkSession, d: str) -> DataFrame:
+    return graph.live_rows(table(spark, d, "symbols"))
+
+
 def edg(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_set(table(spark, d, "edges"))
 
@@ -37,17 +41,17 @@ def _add(name: str, sql: str | None):  # noqa: ANN202
 # neighbours
 @_add("direct_callers", f"SELECT s.id, name, qualified_name, edge_type FROM edg JOIN sym s ON s.id = src WHERE dst = {HUB}")
 def direct_callers(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(sym(spark, d), edg(spark, d), [HUB]).select("id", "name", "qualified_name", "edge_type")
+    return graph.neighbours(live(spark, d), table(spark, d, "edges"), [HUB]).select("id", "name", "qualified_name", "edge_type")
 
 
 @_add("direct_callees", f"SELECT s.id, name, qualified_name, edge_type FROM edg JOIN sym s ON s.id = dst WHERE src = {OTHER}")
 def direct_callees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(sym(spark, d), edg(spark, d), [OTHER], callers=False).select("id", "name", "qualified_name", "edge_type")
+    return graph.neighbours(live(spark, d), table(spark, d, "edges"), [OTHER], callers=False).select("id", "name", "qualified_name", "edge_type")
 
 
 @_add("callers_by_edge_type", f"SELECT s.id, name FROM edg JOIN sym s ON s.id = src WHERE dst = {HUB} AND edge_type = 'Calls'")
 def callers_by_edge_type(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(sym(spark, d), edg(spark, d), [HUB], edge_type="Calls").select("id", "name")
+    return graph.neighbours(live(spark, d), table(spark, d, "edges"), [HUB], edge_type="Calls").select("id", "name")
 
 
 def _seed(spark: SparkSession, i: int) -> DataFrame:
@@ -63,28 +67,28 @@ def _walk(at: str, to: str, seed: int, depth: int | None, where: str = "") -> st
 @_add("recursive_callers_d3", _walk("dst", "src", OTHER, 3) + "SELECT s.id, qualified_name, depth FROM r JOIN sym s USING (id)")
 def recursive_callers_d3(spark: SparkSession, d: str) -> DataFrame:
     found = graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), max_depth=3)
-    return graph.reached_symbols(sym(spark, d), found).select("id", "qualified_name", "depth")
+    return graph.reached_symbols(live(spark, d), found).select("id", "qualified_name", "depth")
 
 
 @_add("recursive_callees_d3", _walk("src", "dst", OTHER, 3) + "SELECT s.id, qualified_name, depth FROM r JOIN sym s USING (id)")
 def recursive_callees_d3(spark: SparkSession, d: str) -> DataFrame:
     found = graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), callers=False, max_depth=3)
-    return graph.reached_symbols(sym(spark, d), found).select("id", "qualified_name", "depth")
+    return graph.reached_symbols(live(spark, d), found).select("id", "qualified_name", "depth")
 
 
 @_add("recursive_callers_all", _walk("dst", "src", OTHER, None) + "SELECT s.id, qualified_name FROM r JOIN sym s USING (id)")
 def recursive_callers_all(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reached_symbols(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER))).select("id", "qualified_name")
+    return graph.reached_symbols(live(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER))).select("id", "qualified_name")
 
 
 @_add("recursive_callers_typed", _walk("dst", "src", OTHER, None, " AND edge_type = 'Calls'") + "SELECT s.id FROM r JOIN sym s USING (id)")
 def recursive_callers_typed(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reached_symbols(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), edge_type="Calls")).select("id")
+    return graph.reached_symbols(live(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER), edge_type="Calls")).select("id")
 
 
 @_add("transitive_caller_files", _walk("dst", "src", OTHER, None) + "SELECT min(file_path) AS file_path FROM r JOIN sym s USING (id) WHERE file_path <> 'external' GROUP BY lower(file_path)")
 def transitive_caller_files(spark: SparkSession, d: str) -> DataFrame:
-    return graph.caller_files(sym(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER)))
+    return graph.caller_files(live(spark, d), graph.reach(table(spark, d, "edges"), _seed(spark, OTHER)))
 
 
 @_add("no_caller_symbols", "SELECT id, kind, qualified_name FROM sym WHERE file_path <> 'external' AND NOT EXISTS (SELECT 1 FROM edg WHERE dst = sym.id)")
@@ -269,7 +273,7 @@ _LINE = "coalesce(CASE WHEN len(string_split(split_part(qualified_name, '(', 1),
 
 @_add("callers_paged", f", h AS (SELECT DISTINCT s.* FROM edg JOIN sym s ON s.id = src WHERE dst = {HUB} AND contains(lower(file_path), 'src') AND contains(lower(string_split(file_path, '/')[-1]), 'er')) SELECT id, {_LINE} AS compact, (SELECT count(*) FROM h) AS total FROM h ORDER BY file_path, line, id LIMIT 50 OFFSET 20")
 def callers_paged(spark: SparkSession, d: str) -> DataFrame:
-    callers = graph.neighbours(sym(spark, d), edg(spark, d), [HUB]).drop("edge_type", "target").distinct()
+    callers = graph.neighbours(live(spark, d), table(spark, d, "edges"), [HUB]).drop("edge_type", "target").distinct()
     return search.callers_page(callers, 50, 20, "src*", "er").select("id", "compact", "total")
 
 

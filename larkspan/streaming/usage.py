@@ -110,7 +110,8 @@ class _Registry(StatefulProcessor):
 def stream_tokens(events: DataFrame, ttl_seconds: int = 60) -> DataFrame:
     """(token_id, topic, known) of every check in a stream of events (token_id, topic, kind: issue or check): known if the token was issued for the topic within the time to live.
 
-    The issued tokens are keyed state that the store itself forgets; it must be the RocksDB state store (ROCKS), which alone can.
+    The issued tokens are keyed state that the store itself forgets; it must be the RocksDB state store (ROCKS), which alone can. As forgetting goes by the clock, the stream has a batch for
+    each trigger whether there is data or not: start it with a processing-time trigger.
     """
     keyed = events.select("token_id", "topic", "kind").groupBy("token_id")
     return keyed.transformWithStateInPandas(statefulProcessor=_Registry(ttl_seconds), outputStructType="token_id string, topic string, known boolean", outputMode="Append", timeMode="ProcessingTime")

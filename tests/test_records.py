@@ -193,6 +193,29 @@ def test_tokens(spark):
     assert [r["token_id"] for r in streams.live_tokens(issued, "2030-01-01 00:02:30").collect()] == ["2"]
 
 
+def test_tokens_as_keyed_state(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    events = [{"token_id": "1", "topic": "t", "kind": "issue"}, {"token_id": "2", "topic": "u", "kind": "issue"}, {"token_id": "1", "topic": "T", "kind": "check"}, {"token_id": "2", "topic": "x", "kind": "check"}, {"token_id": "3", "topic": None, "kind": "check"}]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, events)))
+    for k, v in streams.ROCKS.items():
+        spark.conf.set(k, v)
+    try:
+        got = []
+        source = spark.readStream.schema("token_id string, topic string, kind string").json(str(tmp_path / "in"))
+        q = streams.stream_tokens(source, 600).writeStream.foreachBatch(lambda batch, epoch: got.extend(map(tuple, batch.collect()))).option("checkpointLocation", str(tmp_path / "at")).trigger(processingTime="3 seconds").start()
+        for _ in range(60):
+            if len(got) >= 3 or not q.isActive:
+                break
+            time.sleep(1)
+        q.stop()
+        assert sorted(got) == [("1", "T", True), ("2", "x", False), ("3", None, False)]
+    finally:
+        for k in streams.ROCKS:
+            spark.conf.unset(k)
+
+
 def test_source_tree(spark, rows, tmp_path):
     for name, text in (("a/X.cs", "x"), ("a/obj/Y.cs", "y"), ("a/Z.g.cs", "z"), ("a/obj/W.g.cs", "w"), ("a/n.txt", "n"), ("b/Q.cs", "\ufeffx")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
