@@ -155,14 +155,15 @@ def rejection_limit(scored: DataFrame, tests: int, rate: float) -> float:
     return limit
 
 
-def pair_counts(baskets: DataFrame, min_count: int, long: int = LONG, longest: float = float("inf")) -> DataFrame:
+def pair_counts(baskets: DataFrame, min_count: int, long: int = LONG, longest: float = float("inf"), counts: DataFrame | None = None) -> DataFrame:
     """(a, b, n_ab), a < b, of items in at least min_count common records; baskets is (record, item), each once.
 
     Items of fewer than min_count records are dropped first, as no pair with them can count. Where fewer than min_count records are longer than long, they are
     only looked up for the pairs that shorter records make possible; otherwise their items are split into chunks that meet in separate tasks. longest is the size of
-    the longest record, if known. An item of many records is a skewed key of the joins on items, which adaptive execution splits.
+    the longest record and counts the number of records of each item (item, n), if known. An item of many records is a skewed key of the joins on items, which adaptive execution splits.
     """
-    often = baskets.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("item")
+    counts = baskets.groupBy("item").agg(F.count("*").alias("n")) if counts is None else counts
+    often = counts.filter(F.col("n") >= min_count).select("item")
     kept = baskets.join(often, "item") if min_count > 1 else baskets
     sizes = kept.groupBy("record").agg(F.count("*").alias("size"))
     lengthy = sizes.filter(F.col("size") > long)
@@ -223,7 +224,7 @@ def together(rows: DataFrame, record_column: str, item: F.Column, min_count: int
             which = which.reshape(-1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected[which]), pa.array(log10_p[which])], [*batch.schema.names, "expected", "log10_p"])
 
-    counted = pair_counts(baskets, min_count, long, float(sizes.max()) if len(sizes) else 0.0)
+    counted = pair_counts(baskets, min_count, long, float(sizes.max()) if len(sizes) else 0.0, counts)
     counted = counted.join(counts.select(F.col("item").alias("a"), F.col("n").alias("n_a")), "a").join(counts.select(F.col("item").alias("b"), F.col("n").alias("n_b")), "b")
     counted = counted.select("a", "b", "n_a", "n_b", "n_ab")
     scored = store(counted.mapInArrow(score, "a string, b string, n_a long, n_b long, n_ab long, expected double, log10_p double"), "pairs")
