@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan import schemas
 from larkspan.functions import predicates as P
 from larkspan.functions import text as T
 from larkspan.operators import build, changes, graph, knowledge, members, search
@@ -130,6 +131,35 @@ def get_or_create_solutions(spark: SparkSession, d: str) -> DataFrame:
     return changes.get_or_create(s, wanted).select("name", "created", F.when(~F.col("created"), F.col("id")).alias("known"))
 
 
+@_add("build_counts", """WITH c AS (SELECT doc_id, 'f/' || doc_id AS p FROM documents) SELECT count(*) FILTER (WHERE doc_id % 11 = 0 OR doc_id % 7 = 0) AS analysed, count(*) FILTER (WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0) AS kept, (SELECT count(*) FROM c WHERE doc_id % 13 = 0) AS dropped FROM c""")
+def build_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of the documents as files every eleventh is new and every seventh differs; every thirteenth was also stored under a path that is gone."""
+    key = F.col("doc_id")
+    now = table(spark, d, "documents").select("doc_id", F.concat(F.lit("f/"), key).alias("file_path"), F.lit("h").alias("content_hash"))
+    before = now.filter(key % 11 != 0).withColumn("content_hash", F.when(key % 7 == 0, "old").otherwise("h"))
+    gone = now.filter(key % 13 == 0).withColumn("file_path", F.concat(F.lit("gone/"), "file_path"))
+    return build.counts(before.unionByName(gone), now)
+
+
+@_add("files_added", GRAPH + ", k AS (SELECT DISTINCT file_path AS p FROM sym WHERE id % 2 = 0 AND file_path IS NOT NULL) SELECT lower(p) AS path FROM k UNION ALL SELECT DISTINCT lower(file_path) FROM sym WHERE file_path IS NOT NULL AND lower(file_path) NOT IN (SELECT lower(p) FROM k)")
+def files_added(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of half the symbols, with those of the others, in capitals, where they are missing."""
+    s = sym(spark, d).filter("file_path IS NOT NULL")
+    known = s.filter("id % 2 = 0").select(F.col("file_path").alias("path")).distinct()
+    return logs.add_missing_files(known, s.select(F.upper("file_path").alias("path"))).select(F.lower("path").alias("path"))
+
+
+@_add("store_counts", """SELECT 'solutions' AS name, count(*) AS n FROM solutions UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'knowledge_entries', count(*) FROM knowledge_entries
+UNION ALL SELECT 'knowledge_links', count(*) FROM knowledge_links UNION ALL SELECT 'knowledge_tags', count(*) FROM knowledge_tags UNION ALL SELECT unnest(['files', 'tool_calls', 'diagnostics', 'references', 'members', 'projects', 'occurrences']), 0""")
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of every relation of a store opened from the folder; what the folder lacks is empty."""
+    out = None
+    for name, rows in schemas.open_store(spark, d).items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # texts
 @_add("param_signature", GRAPH + "SELECT id, lower(replace(regexp_extract(qualified_name, '\\((.*)\\)', 1), ' ', '')) AS params FROM sym WHERE contains(qualified_name, '(')")
 def param_signature(spark: SparkSession, d: str) -> DataFrame:
