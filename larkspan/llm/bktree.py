@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 _EDGE = 1 << 16
-BUCKET = 48  # items below an edge that are not worth a tree
+BUCKET = 96  # items below an edge that are not worth a tree
+WHOLE, ROWS = 2048, 4096  # pairs of a bucket and its queries that are worth a block of their own, and queries of a block
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,6 +89,16 @@ class Forest:
                 entry += self.roots
 
     def _bucket(self, q: np.ndarray, entry: np.ndarray, prints: np.ndarray, radius: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        order = np.lexsort((before[q], entry))
+        q, entry = q[order], entry[order]
+        groups = np.flatnonzero(np.r_[len(entry) > 0, entry[1:] != entry[:-1]])
+        visits = np.diff(np.r_[groups, len(entry)])
+        whole = visits * (self.start[entry[groups] + 1] - self.start[entry[groups]]) >= WHOLE
+        for a, n in zip(groups[whole].tolist(), visits[whole].tolist(), strict=True):
+            for low in range(a, a + n, step := max(1, min(ROWS, max(64, n // 4)))):
+                yield from self._block(q[low : min(low + step, a + n)], int(entry[a]), prints, radius, before)
+        rest = np.repeat(~whole, visits)
+        q, entry = q[rest], entry[rest]
         first, last = self.start[entry], np.searchsorted(self.place, entry << 32 | before[q], "left")  # items of an entry stand in their order
         size = np.cumsum(last - first)
         low = 0
@@ -101,6 +112,21 @@ class Forest:
                 yield at[hit], self.items[place[hit]], d[hit]
             low = high
 
+    def _block(self, q: np.ndarray, entry: int, prints: np.ndarray, radius: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A bucket and queries in the order of what they are before: all of them with all items up to the last query's."""
+        items = slice(self.start[entry], np.searchsorted(self.place, entry << 32 | int(before[q[-1]]), "left"))
+        x, y = prints[q], self.item_prints[items]
+        d = np.zeros((len(x), len(y)), np.uint16)
+        for w in range(x.shape[1]):
+            d += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+        self.compared += d.size
+        at, place = np.nonzero(d <= radius[q, None])
+        item = self.items[items][place]
+        keep = item < before[q[at]]
+        if keep.any():
+            at, place = at[keep], place[keep]
+            yield q[at], item[keep], d[at, place].astype(np.int32)
+
     def _equal(self, q: np.ndarray, entry: np.ndarray, d: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         at, place = _expanded(np.arange(len(q)), self.start[entry], self.start[entry + 1])
         item, q, d = self.items[place], q[at], d[at]

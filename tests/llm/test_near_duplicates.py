@@ -82,8 +82,10 @@ def test_word_form_and_shingles():
     assert row.tolist() == [0, 0, 0, 1, 1] and h[0] == h[2] == h[4] and h[1] == h[3]
 
 
-@pytest.mark.parametrize("bucket", [0, 1, 7, 48, 1000])
-def test_forest_finds_all_within_radius(bucket):
+@pytest.mark.parametrize(("bucket", "whole"), [(0, 4096), (1, 4096), (7, 4096), (48, 4096), (1000, 1 << 30), (7, 1), (48, 100)])
+def test_forest_finds_all_within_radius(bucket, whole, monkeypatch):
+    monkeypatch.setattr(bktree, "WHOLE", whole)
+    monkeypatch.setattr(bktree, "ROWS", 50)
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 8, (400, 2), dtype=np.uint64)
     prints[50:60] = prints[0]
