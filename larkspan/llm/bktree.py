@@ -14,7 +14,7 @@ import numpy as np
 
 _EDGE = 1 << 16
 BUCKET = 96  # items below an edge that are not worth a tree
-WHOLE, ROWS = 2048, 4096  # pairs of a bucket and its queries that are worth a block of their own, and queries of a block
+WHOLE, ROWS = 4096, 4096  # pairs of a bucket and its queries that are worth a block of their own, and queries of a block
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ class Forest:
         visits = np.diff(np.r_[groups, len(entry)])
         whole = visits * (self.start[entry[groups] + 1] - self.start[entry[groups]]) >= WHOLE
         for a, n in zip(groups[whole].tolist(), visits[whole].tolist(), strict=True):
-            for low in range(a, a + n, step := max(1, min(ROWS, max(64, n // 4)))):
+            for low in range(a, a + n, step := max(1, min(ROWS, max(32, n // 8)))):
                 yield from self._block(q[low : min(low + step, a + n)], int(entry[a]), prints, radius, before)
         rest = np.repeat(~whole, visits)
         q, entry = q[rest], entry[rest]
