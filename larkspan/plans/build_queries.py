@@ -112,9 +112,9 @@ def set_hashes(spark: SparkSession, d: str) -> DataFrame:
     return graph.set_hashes(s, hashes).select("id", "file_hash", "status")
 
 
-@_add("set_analyzed", "SELECT id, CASE WHEN id = 2 THEN TIMESTAMPTZ '2030-01-01 00:00:00+00' ELSE last_analyzed END AS last_analyzed, CASE WHEN id = 2 THEN 'h' ELSE solution_hash END AS solution_hash FROM solutions")
+@_add("set_analyzed", "SELECT id, epoch_us(CASE WHEN id = 2 THEN TIMESTAMPTZ '2030-01-01 00:00:00+00' ELSE last_analyzed END) AS analyzed_us, CASE WHEN id = 2 THEN 'h' ELSE solution_hash END AS solution_hash FROM solutions")
 def set_analyzed(spark: SparkSession, d: str) -> DataFrame:
-    return graph.set_analyzed(table(spark, d, "solutions"), 2, "2030-01-01", "h").select("id", "last_analyzed", "solution_hash")
+    return graph.set_analyzed(table(spark, d, "solutions"), 2, "2030-01-01", "h").select("id", F.unix_micros("last_analyzed").alias("analyzed_us"), "solution_hash")
 
 
 @_add("symbols_added", GRAPH + "SELECT solution_id, kind, qualified_name FROM sym UNION ALL SELECT DISTINCT solution_id, 'Event', qualified_name FROM sym WHERE kind = 'Method'")

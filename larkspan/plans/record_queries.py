@@ -220,11 +220,12 @@ def valid_categories(spark: SparkSession, d: str) -> DataFrame:
     return _entries(spark, d).select("id", F.coalesce(P.valid_category("category", list(P.CATEGORIES)), F.lit(False)).alias("valid"))
 
 
-@_add("vector_codec", "SELECT id, list_transform(any_value(embedding), lambda x: CASE WHEN isnan(x) THEN NULL ELSE x END) AS vector FROM knowledge_entries WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY id")
+@_add("vector_codec", "WITH v AS (SELECT id, any_value(embedding) AS v FROM knowledge_entries WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY id), p AS (SELECT id, generate_subscripts(v, 1) AS place, unnest(v) AS value FROM v) SELECT id, place, CASE WHEN NOT isnan(value) THEN value::DOUBLE END AS value FROM p")
 def vector_codec(spark: SparkSession, d: str) -> DataFrame:
     """Vectors to bytes and back; what is not a number, which equals nothing, comes out as null."""
     e = _entries(spark, d).filter("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)").select("id", "embedding").withColumn("raw", knowledge.encode_vector("embedding"))
-    return e.select("id", F.transform(knowledge.decode_vector("raw"), lambda x: F.when(~F.isnan(x), x)).alias("vector"))
+    parts = e.select("id", F.posexplode(knowledge.decode_vector("raw")).alias("place", "value"))
+    return parts.select("id", (F.col("place") + 1).cast("long").alias("place"), F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"))
 
 
 # usage log: the events
@@ -280,10 +281,11 @@ def log_by_tool(spark: SparkSession, d: str) -> DataFrame:
     return usage.by_tool(logs.read_log(spark, _log(spark, d)))
 
 
-@_add("log_stream_hourly", _CALLS + "SELECT date_trunc('hour', ts) AS hour, tool, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS failed FROM calls GROUP BY ALL")
+@_add("log_stream_hourly", _CALLS + "SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, tool, count(*) AS calls, count(*) FILTER (WHERE NOT success) AS failed FROM calls GROUP BY ALL")
 def log_stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     """Hourly figures of a stream over the log."""
-    return streams.run_to_end(streams.stream_hourly(logs.stream_log(spark, _log(spark, d))), "hourly")
+    hourly = streams.run_to_end(streams.stream_hourly(logs.stream_log(spark, _log(spark, d))), "hourly")
+    return hourly.select(F.unix_micros("hour").alias("hour_us"), "tool", "calls", "failed")
 
 
 @_add("usage_report", None)
