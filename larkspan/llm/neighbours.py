@@ -4,27 +4,37 @@ Unit vectors are rounded to int8 with a scale of their own, and the length of wh
 single precision, then bounds every cosine from both sides. Only pairs whose upper bound reaches the floor and the query's k-th best so far are computed in double
 precision, and merged into the query's k best. Nothing is lost: the result is that of comparing all pairs in double precision.
 
+With a high floor and a list for every id each pair is computed once for both its ends: blocks of vectors stand in a circle and each meets the half of it that follows. The leading
+principal axes of a block, and the lengths of what they leave, bound a cosine from above in one short product; what reaches the floor is computed in double precision.
+
 Equal vectors are one row of the matrix with their k+1 smallest ids, more of which no list of k can hold; so a vector that a third of all rows share costs no more than another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.plans.lineage import new_path
+from larkspan.plans.lineage import new_path, store
 
 TILE = 2048  # vectors of a tile of the collection
 QUERIES = 4096  # query vectors that meet a tile together
 HELD = 1 << 16  # query vectors that a task holds, some 100 MB, for which it reads the tiles once
 SALTS = 64  # tasks over which the ids of one vector are spread
 DENSE = 0.02  # part of a tile beyond which its survivors are computed by one product instead of one by one
+MUTUAL = 0.5  # floor from which similar pairs are so few that each is computed once for both its ends
+AXES = 27  # principal axes of a block that are tried first
+LOOSE = 0.01  # part of all pairs computed in double precision beyond which a block takes twice the axes
+STRIP = 512  # query vectors of one short product, which stays in the cache
+WAITING = 1 << 14  # similar pairs that are merged together
 
 
 def usable(column: str, dimensions: int) -> F.Column:
@@ -102,12 +112,83 @@ def join_tile(best: Best, q: np.ndarray, qs: np.ndarray, qe: np.ndarray, qunit:
     return len(a)
 
 
+def axes(unit: np.ndarray) -> np.ndarray:
+    """An orthogonal basis as columns, the directions in which the vectors spread most first."""
+    return np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
+
+
+def leading(rotated: np.ndarray, m: int) -> np.ndarray:
+    """The first m coordinates and the length of the rest: the products of such rows are upper bounds of the products of the vectors."""
+    return np.hstack([rotated[:, :m], np.linalg.norm(rotated[:, m:], axis=1)[:, None]]).astype(np.float32)
+
+
+def candidates(q: np.ndarray, t: np.ndarray, floor: float, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the products of rows of q and t that reach the floor. room is where the products go."""
+    # Up to 65 terms of at most 1 in sum: single precision is off by less than 1e-5.
+    hit = np.matmul(q, t.T, out=room[: len(q)]) >= np.float32(floor - 1e-5)
+    if hit.size % 64:
+        return np.nonzero(hit)
+    # Hits are few: eight parts of eight bytes each are looked at together.
+    words = hit.reshape(-1).view(np.uint64).reshape(8, -1)
+    some = words[:4] | words[4:]
+    some = np.flatnonzero(some[0] | some[1] | some[2] | some[3])
+    at = np.flatnonzero(words.take(some, axis=1).view(bool))
+    part, at = np.divmod(at, 8 * len(some)) if len(some) else (at, at)
+    return np.divmod((part * words.shape[1] + some[at // 8]) * 8 + at % 8, len(t))
+
+
+def meet(best: Best, qunit: np.ndarray, q: np.ndarray, number: np.ndarray, tunit: np.ndarray, t: np.ndarray, tnumber: np.ndarray, before: int | None) -> tuple[Best, int]:
+    """Merges a tile into the best of the queries, and the queries into the best of the tile, which it gives with the number of pairs computed in double precision. q and t are leading().
+
+    before: for a tile of the queries' own rows, how many of these stand before its first; then only pairs count whose end in the tile stands later than the query.
+    """
+    back, done, wait, waiting = Best(len(tunit), best.k, best.floor), 0, [], 0
+    room = np.empty((min(STRIP, len(q)), len(t)), np.float32)
+
+    def merge() -> None:
+        nonlocal waiting
+        if waiting:
+            a, b, sim = (np.concatenate(x) for x in zip(*wait, strict=True))
+            best.merge(a, sim, tnumber[b])
+            back.merge(b, sim, number[a])
+            wait.clear()
+            waiting = 0
+
+    for low in range(0, len(q), STRIP):
+        if before is not None and low >= before + len(t):
+            break
+        a, b = candidates(q[low : low + STRIP], t, best.floor, room)
+        a = a + low
+        if before is not None:
+            later = b + before > a
+            a, b = a[later], b[later]
+        done += len(a)
+        dense = qunit[low : low + STRIP] @ tunit.T if len(a) > DENSE * STRIP * len(t) else None
+        for first in range(0, len(a), 1 << 16):
+            x, y = a[first : first + (1 << 16)], b[first : first + (1 << 16)]
+            sim = np.einsum("ij,ij->i", qunit[x], tunit[y]) if dense is None else dense[x - low, y]
+            keep = (sim >= best.floor) & ((sim >= best.bound()[x]) | (sim >= back.bound()[y]))
+            if keep.any():
+                wait.append((x[keep], y[keep], sim[keep]))
+                waiting += len(wait[-1][0])
+            if waiting >= WAITING:
+                merge()
+    merge()
+    return back, done
+
+
+def ahead(block: int, blocks: int) -> list[int]:
+    """The blocks that a block meets, so that each two meet once: the half of the circle that follows it; of two that stand opposite the first meets the second."""
+    return [(block + i) % blocks for i in range(1, blocks // 2 + 1) if 2 * i < blocks or block < blocks // 2]
+
+
 def nearest(rows: DataFrame, id_column: str, vector_column: str, group_column: str, k: int = 10, floor: float = -1.0, dimensions: int = 64, queries: str = "true") -> DataFrame:
     """(id, neighbour, rank, similarity): for each id its k most similar other ids of the same group, by cosine in double precision; ties: smaller id first.
 
     Only neighbours of similarity floor or more come out. A vector is usable if it has so many finite numbers, not all zero; other rows, null groups and null ids are
     left out. Repeated rows count once; an id with several vectors or groups is a row of each, and never its own neighbour. queries is a condition on the column
     id that says which ids get a list; all rows are searched for each. Groups of fewer than k+1 ids give shorter lists, an empty table gives none.
+    With a floor of MUTUAL or more and no condition, a block of up to HELD vectors sends at most k+1 rows for each vector that it meets.
     Costs the product of queries and rows in int8 tiles, spread evenly; the tiles are read from the shared folder, once for HELD queries, so no task holds more than one tile besides
     its queries.
     """
@@ -125,7 +206,9 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, group_column: s
     # A row for each distinct vector: its class is numbered by its smallest id, so equal similarities stand in order of ids.
     path = new_path(spark, "tiles")
     classes = vectors.groupBy("grp", "raw").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.max(F.expr(queries).cast("int")).alias("asked"))
-    classes.repartition(F.xxhash64("raw")).write.partitionBy("grp").option("compression", "none").option("maxRecordsPerFile", TILE * 16).parquet(path)
+    n = spark.sparkContext.defaultParallelism
+    parts = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    classes.repartition(parts, F.xxhash64("raw")).write.partitionBy("grp").option("compression", "none").option("maxRecordsPerFile", TILE * 16).parquet(path)
     stored = spark.read.schema("raw binary, id long, most long, asked int, grp string").parquet(path)
     prints = [F.xxhash64("raw").alias("h1"), F.xxhash64(F.lit(3), "raw").alias("h2")]
     several = stored.filter("id <> most").select("grp", F.col("id").alias("class_id"), *prints)
@@ -172,11 +255,78 @@ def nearest(rows: DataFrame, id_column: str, vector_column: str, group_column: s
             a, place = np.nonzero(np.isfinite(b.sim))
             yield pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(a), pa.string()), "class_id": pa.array(ids[i * QUERIES + a]), "shared": pa.array(shared[i * QUERIES + a]), "near_class": pa.array(b.row[a, place]), "similarity": pa.array(b.sim[a, place])})
 
+    result = "grp string, class_id long, shared boolean, near_class long, similarity double"
+    if floor >= MUTUAL and queries == "true":
+        blocks = min(parts, max(2 * n, -(-stored.count() // HELD)))
+        found = spark.range(0, blocks, 1, blocks).mapInArrow(_circle(path, parts, blocks, k, floor, dimensions), result)
+        return _expanded(store(found, "near"), members, k, queries)  # stored, as the planner takes it for as small as the list of blocks
     asked = stored.filter("asked = 1").select("grp", "raw", "id", "most")
-    n = spark.sparkContext.defaultParallelism
-    found = asked.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("raw")).sortWithinPartitions("grp")
-    found = found.mapInArrow(search, "grp string, class_id long, shared boolean, near_class long, similarity double")
-    return _expanded(found, members, k, queries)
+    found = asked.repartition(parts, F.xxhash64("raw")).sortWithinPartitions("grp")
+    return _expanded(found.mapInArrow(search, result), members, k, queries)
+
+
+def _circle(path: str, parts: int, blocks: int, k: int, floor: float, dimensions: int):  # noqa: ANN202
+    """For each number of a block, the lists of the pairs it computes. A block is the files of some parts of the tiles."""
+
+    def tiles(disk: fs.FileSystem, files: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for file in files:
+            with disk.open_input_file(file) as f:
+                for piece in pq.ParquetFile(f).iter_batches(batch_size=TILE // 2, columns=["raw", "id", "most"], use_threads=False):
+                    if piece.num_rows:
+                        ids = piece.column("id").to_numpy()
+                        yield _unit(b"".join(x.as_py() for x in piece.column("raw")), dimensions), ids, piece.column("most").to_numpy() != ids
+
+    def out(g: str, best: Best, ids: np.ndarray, shared: np.ndarray) -> pa.RecordBatch:
+        a, place = np.nonzero(np.isfinite(best.sim))
+        return pa.RecordBatch.from_pydict({"grp": pa.array([g] * len(a), pa.string()), "class_id": pa.array(ids[a]), "shared": pa.array(shared[a]), "near_class": pa.array(best.row[a, place]), "similarity": pa.array(best.sim[a, place])})
+
+    def held(g: str, own: list, disk: fs.FileSystem, mine: list[str], others: list[str], first: int) -> Iterator[pa.RecordBatch]:
+        """own: tiles of the block, of which `first` rows were held before."""
+        unit, ids, shared = (np.concatenate(x) for x in zip(*own, strict=True))
+        best, same = Best(len(ids), k + 1, floor), np.flatnonzero(shared)
+        best.merge(same, np.einsum("ij,ij->i", unit[same], unit[same]), ids[same])  # a vector of several ids is on its own list
+        basis, m = axes(unit), AXES
+        rotated = unit @ basis
+        q, at = leading(rotated, m), 0
+        for files, within in ((mine, True), (others, False)):
+            for tunit, tids, tshared in tiles(disk, files):
+                at += len(tids)
+                if within and at <= first:
+                    continue
+                back, done = meet(best, unit, q, ids, tunit, leading(tunit @ basis, m), tids, at - len(tids) - first if within else None)
+                if np.isfinite(back.sim[:, 0]).any():
+                    yield out(g, back, tids, tshared)
+                if done > LOOSE * len(ids) * len(tids) and m < dimensions:
+                    m = min(2 * m, dimensions)
+                    q = leading(rotated, m)
+        yield out(g, best, ids, shared)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, base = fs.FileSystem.from_uri(path)
+        for block in [i for batch in batches for i in batch.column(0).to_pylist()]:
+            for folder in [x for x in disk.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.Directory and x.base_name.startswith("grp=")]:
+                g = _unescaped(folder.base_name)
+                files: dict[int, list[str]] = {}
+                for x in sorted(disk.get_file_info(fs.FileSelector(folder.path)), key=lambda x: x.base_name):
+                    if x.base_name.startswith("part-"):
+                        files.setdefault(int(x.base_name.split("-")[1]) * blocks // parts, []).append(x.path)
+                mine, others = files.get(block, []), [x for other in ahead(block, blocks) for x in files.get(other, [])]
+                own, first, rows = [], 0, 0
+                for tile in tiles(disk, mine):
+                    own.append(tile)
+                    rows += len(tile[1])
+                    if rows >= HELD:
+                        yield from held(g, own, disk, mine, others, first)
+                        own, first, rows = [], first + rows, 0
+                if own:
+                    yield from held(g, own, disk, mine, others, first)
+
+    return search
+
+
+def _unescaped(folder: str) -> str:
+    name = folder.removeprefix("grp=")
+    return "" if name == "__HIVE_DEFAULT_PARTITION__" else unquote(name)
 
 
 def _escaped(group: str) -> str:

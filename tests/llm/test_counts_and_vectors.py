@@ -104,6 +104,51 @@ def test_tiles_lose_nothing(monkeypatch, dense):
     assert dense == 0.0 or done < 100_000
 
 
+def test_each_two_blocks_meet_once():
+    for blocks in range(1, 12):
+        met = [frozenset((b, o)) for b in range(blocks) for o in neighbours.ahead(b, blocks)]
+        assert len(met) == len(set(met)) == blocks * (blocks - 1) // 2
+
+
+@pytest.mark.parametrize(("dense", "strip"), [(0.0, 64), (1.1, 64), (1.1, 50)])
+def test_one_product_serves_both_ends(monkeypatch, dense, strip):
+    monkeypatch.setattr(neighbours, "DENSE", dense)
+    monkeypatch.setattr(neighbours, "STRIP", strip)
+    monkeypatch.setattr(neighbours, "WAITING", 100)
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(640, 64)) + 2 * rng.normal(size=(60, 64))[rng.integers(0, 60, 640)]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    basis, ids = neighbours.axes(unit), np.arange(640)
+    q = neighbours.leading(unit @ basis, 24)
+    assert (q @ q.T >= unit @ unit.T - 1e-5).all()
+    best, done = neighbours.Best(640, 5, 0.75), 0
+    lists = [[] for _ in ids]
+    for low in range(0, 640, 128):
+        part = slice(low, low + 128)
+        back, n = neighbours.meet(best, unit, q, ids, unit[part], q[part], ids[part], low)
+        done += n
+        for i, place in zip(*np.nonzero(np.isfinite(back.sim)), strict=True):
+            lists[low + i].append((-back.sim[i, place], back.row[i, place]))
+    sims = unit @ unit.T
+    for i in ids:
+        both = lists[i] + [(-s, r) for s, r in zip(best.sim[i], best.row[i], strict=True) if np.isfinite(s)]
+        assert [r for _, r in sorted(both)[:5]] == [j for j in np.lexsort((ids, -sims[i])) if j != i and sims[i, j] >= 0.75][:5]
+    assert done < 640 * 639 // 2 / 4  # each pair once at most, and most are ruled out by the leading axes
+
+
+@pytest.mark.parametrize("held", [40, 1 << 16])
+def test_pairs_computed_once(spark, monkeypatch, held):
+    monkeypatch.setattr(neighbours, "HELD", held)
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    rng = np.random.default_rng(7)
+    data = [(i, (rng.normal(size=8) + 3 * np.eye(8)[i % 5]).astype(np.float32).tolist(), ("m", "m%2/ü")[i % 3 == 0]) for i in range(900)]
+    data += [(1000 + i, data[1][1], "m") for i in range(25)] + [(2000, [2.0] * 8, "alone"), (2001, None, "m")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in data], VECTORS)
+    got = neighbours.nearest(df, "id", "v", "m", k=4, floor=0.6, dimensions=8).collect()
+    assert sorted((r["id"], r["neighbour"], r["rank"]) for r in got) == nearest(data, 4, 0.6)
+    assert neighbours.nearest(df.limit(0), "id", "v", "m", floor=0.6, dimensions=8).count() == 0
+
+
 BASKETS = "record long, item string, a int, n int"
 
 
