@@ -329,9 +329,7 @@ _IMPL = ", i AS (SELECT a.id AS im, b.id AS m FROM sym a JOIN sym b ON a.name =
 @_add("interface_expansion", _IMPL + " SELECT src, dst, edge_type FROM edg WHERE edge_type = 'Calls' UNION SELECT src, m, edge_type FROM edg JOIN i ON dst = im WHERE edge_type = 'Calls'")
 def interface_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Methods of one name stand for an interface member (the smallest id) and what implements it."""
-    m = sym(spark, d).filter("kind = 'Method'").select("id", "name")
-    impl = m.select(F.col("id").alias("interface_member"), "name").join(m.select(F.col("id").alias("member"), "name"), "name").filter("interface_member < member")
-    return graph.through_interfaces(edg(spark, d).filter("edge_type = 'Calls'"), impl)
+    return graph.through_names(edg(spark, d).filter("edge_type = 'Calls'"), sym(spark, d).filter("kind = 'Method'").select("id", "name"))
 
 
 @_add("pending_targets", """SELECT DISTINCT solution_id + 1 AS solution_id, 'Method' AS kind, qualified_name, 'Pending' AS status FROM sym s

@@ -165,3 +165,22 @@ def test_places_for_members(spark):
 def test_types_without_files_and_usings(spark):
     u = spark.createDataFrame([("a", "System"), ("a", "Zeta")], "file string, name string")
     assert [r["name"] for r in members.add_using(u, "a", "Linq").collect()] == ["Linq", "System", "Zeta"]
+
+
+def test_members_of_a_name(spark, rows):
+    m = [(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, None), (6, None)]
+    calls = edges(spark, [(9, 2, "Calls"), (9, 3, "Calls"), (1, 1, "Calls"), (9, 4, "Calls"), (9, 5, "Calls"), (9, 7, "Calls")])
+    got = graph.through_names(calls, spark.createDataFrame(m, "id long, name string"))
+    assert rows(got) == [(1, 1, "Calls"), (1, 2, "Calls"), (1, 3, "Calls"), (9, 2, "Calls"), (9, 3, "Calls"), (9, 4, "Calls"), (9, 5, "Calls"), (9, 7, "Calls")]
+    pairs = spark.createDataFrame([(a, b) for a, x in m for b, y in m if x and x == y and a < b], "interface_member long, member long")
+    assert rows(graph.through_interfaces(calls, pairs)) == rows(got)
+
+
+def test_result_of_a_common_name_is_not_shuffled(spark):
+    # 300 members of a name, of which each of 200 sources calls 30: far more pairs than rows of the input.
+    m = spark.range(300).selectExpr("id", "'A' AS name")
+    calls = spark.range(6000).selectExpr("1000 + id % 200 AS src", "id DIV 200 * 10 AS dst", "'Calls' AS edge_type")
+    got = graph.through_names(calls, m)
+    assert got.count() == 200 * 300 and got.distinct().count() == 200 * 300
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join", 1)[0]  # nothing is made distinct after the join
