@@ -32,7 +32,8 @@ SALTS = 64  # tasks over which the ids of one vector are spread
 DENSE = 0.02  # part of a tile beyond which its survivors are computed by one product instead of one by one
 MUTUAL = 0.5  # floor from which similar pairs are so few that each is computed once for both its ends
 AXES = 27  # principal axes of a block that are tried first
-LOOSE = 0.01  # part of all pairs computed in double precision beyond which a block takes twice the axes
+LOOSE = 0.0005  # part of all pairs computed in double precision beyond which a block takes MORE axes
+MORE = 8
 STRIP = 512  # query vectors of one short product, which stays in the cache
 WAITING = 1 << 14  # similar pairs that are merged together
 
@@ -297,7 +298,7 @@ def _circle(path: str, parts: int, blocks: int, k: int, floor: float, dimensions
                 if np.isfinite(back.sim[:, 0]).any():
                     yield out(g, back, tids, tshared)
                 if done > LOOSE * len(ids) * len(tids) and m < dimensions:
-                    m = min(2 * m, dimensions)
+                    m = min(m + MORE, dimensions)
                     q = leading(rotated, m)
         yield out(g, best, ids, shared)
 
